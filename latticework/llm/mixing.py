@@ -89,7 +89,7 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -
     plan = seats.join(named.withColumnRenamed("_source", "_named"), F.col("_source").eqNullSafe(F.col("_named"))).drop("_named")
 
     shard = F.pmod(F.col("slot"), F.col("n_shards")).alias("shard")
-    cells = parts.join(F.broadcast(plan) if False else plan, F.col("source").eqNullSafe(F.col("_source")))
+    cells = parts.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     cells = cells.select("source", "source_size", "target", "blocks", "n_shards", shard, "words").groupBy("source", "source_size", "target", "blocks", "n_shards", "shard").agg(F.sum("words").alias("cell"))
     cells = apportion(cells, "cell", "blocks", ["source"], ["shard"], "quota")
     own = F.xxhash64("source", "shard", F.lit(seed))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, mixing, near_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 

@@ -103,17 +103,34 @@ def _unpacked(gaps: bytes, counts: bytes, values: bytes, width: int) -> tuple[np
 
 
 _MESSAGE = "bucket int, gaps binary, counts binary, entries binary, told binary"
+_PARCEL = "dest int, docs binary, keys binary"
 _REPLY = "doc_id long, keys binary"
 
 
-def _replies(docs: np.ndarray, keys: np.ndarray):
-    """A batch of one row per id with its keys."""
+def _parcels(docs: np.ndarray, keys: np.ndarray, buckets: int):
+    """A batch of one row for each destination: a hash part of the ids, with what they are told."""
+    to = (mix(docs.view(np.uint64)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    docs, keys = docs[order], keys[order]
+    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    rows = [(b, docs[x:y].tobytes(), keys[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["dest", "docs", "keys"])
+
+
+def _delivered(batches):
+    """One row for each id with all that it is told."""
+    docs, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for batch in batches:
+        docs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        keys += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+    docs, keys = np.concatenate(docs), np.concatenate(keys)
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
     begin = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, np.int64)
-    ends = np.append(begin[1:], len(docs)) * 8
-    raw = keys.tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(docs[begin], pa.int64()), pa.array([raw[a:b] for a, b in zip(begin * 8, ends)], pa.binary())], ["doc_id", "keys"])
+    ends = np.append(begin[1:], len(docs))
+    for at in range(0, len(begin), 4096):
+        x, y = begin[at : at + 4096], ends[at : at + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[x], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in zip(x, y)], pa.binary())], ["doc_id", "keys"])
 
 
 class _Sender:
@@ -216,7 +233,7 @@ def _told(owner: np.ndarray, keys: np.ndarray, column, at: int, n: int) -> np.nd
     return np.isin(mix(keys) ^ salt(owner), mix(np.concatenate(lists)) ^ salt(who))
 
 
-def _meet(width: int, extended: bool):
+def _meet(width: int, extended: bool, buckets: int):
     """Finds, among all messages of a bucket, hashes of several ids; replies to the ids."""
 
     def run(batches):
@@ -229,7 +246,7 @@ def _meet(width: int, extended: bool):
             if told:
                 pairs = np.concatenate(told)
                 told = []
-                yield _replies(pairs[:, 0].view(np.int64), pairs[:, 1])
+                yield _parcels(np.ascontiguousarray(pairs[:, 0]).view(np.int64), pairs[:, 1], buckets)
         for bucket in list(gathered):
             parts = [_unpacked(*m, width) for m in gathered.pop(bucket)]
             docs = np.concatenate([p[0] for p in parts])
@@ -246,7 +263,7 @@ def _meet(width: int, extended: bool):
                 sizes = np.diff(np.append(begin, len(d)))
                 reply = np.repeat(np.add.reduceat(d != smallest, begin) > 0, sizes)
             if reply.any():
-                yield _replies(d[reply], keys[order][reply] | (_U(bucket) << _U(40)))
+                yield _parcels(d[reply], keys[order][reply] | (_U(bucket) << _U(40)), buckets)
 
     return run
 
@@ -302,9 +319,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def exchanged(messages, width, extended):
-        # partitionBy-like: a bucket is a range of hashes, so buckets are even; the column hash places them.
-        met = messages.repartition(buckets, "bucket").mapInArrow(_meet(width, extended), _REPLY)
-        return met.groupBy("doc_id").agg(F.expr("concat_ws('', transform(collect_list(keys), x -> hex(x)))").alias("hexed")).select(F.col("doc_id").alias("told"), F.unhex("hexed").alias("keys"))
+        met = messages.repartition(buckets, "bucket").mapInArrow(_meet(width, extended, buckets), _PARCEL)
+        return met.repartition(buckets, "dest").mapInArrow(_delivered, _REPLY).withColumnRenamed("doc_id", "told")
 
     def with_replies(replies):
         return docs.join(replies.hint("shuffle_hash"), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("told"), "left").select("doc_id", "text", "keys")
