@@ -131,13 +131,13 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column, size: int = CHUNK_BYTES):
-    """Parts of a text column of about `size` bytes: first row, row count, bytes, offsets."""
+def chunks(column, size: int = CHUNK_BYTES, rows: int = 1 << 30):
+    """Parts of a text column of about `size` bytes and at most `rows` rows: first row, row count, bytes, offsets."""
     data, offsets = text_buffers(column)
     n, at = len(column), 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + rows, n)
         yield at, to - at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
