@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, substring_dedup
+from . import chat_format, decontaminate, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, topk_search
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat_format.op1_chat_format,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_near_dedup": near_dedup.op4_near_dedup,
+        "op5_topk_search": topk_search.op5_topk_search,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_mixing": mixing.op7_mixing,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op1_chat_format": chat_format.ORACLE,
+        "op3_license_scan": license_scan.ORACLE,
+        "op5_topk_search": topk_search.ORACLE,
+    }
