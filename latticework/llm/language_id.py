@@ -140,12 +140,12 @@ def _predict(names: list[str], matrix: np.ndarray):
     return run
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns `keep` of every row of docs (text), then lang_pred and score."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Columns `keep` of every row of docs (text), then prediction and score under the given names."""
     x = docs.select(F.lit(0).alias("_"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[2:])
     out = x.mapInArrow(_predict(*model), f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred), F.col("score").alias(score))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
