@@ -1,8 +1,80 @@
-"""Pipeline over documents."""
+"""A training corpus from `documents` in five stages.
 
-STAGES = []
+Each stage works on every document that the one before it kept, and all but
+the last return the columns of documents.  Ids are taken to be unique; rows
+that repeat an id are kept or dropped together, and rows with a null id pass
+the filters that work by id.  Empty inputs give empty outputs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticework.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
+from latticework.llm.shared import stored, table
+
+#: Languages are told apart by scores from 1 / (number of languages) to 1; lower ones are no language at all.
+LEAST_SCORE = 0.3
+REDACTED = "<secret>"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of no known language."""
+    model = language_id.fit(language_id.learning_rows(docs.select("doc_id", "text", "lang")))
+    judged = language_id.predict(docs, model, docs.columns, pred="_lang_pred", score="_lang_score")
+    return judged.where(f"_lang_pred <> 'und' and _lang_score >= {LEAST_SCORE}").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each near-duplicate class."""
+    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a phrase of the benchmark."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    dropped = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces owner-specific secrets in the texts; widely copied examples stay."""
+    found = secret_scan.scan(docs.select("doc_id", "text", F.col("source").alias("owner")))
+    live = found.where("exists(spans, s -> s.live)").groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.expr("filter(spans, s -> s.live)")).alias("_live"))
+    pieces = F.expr(f"""
+        aggregate(_live, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, s) ->
+            if(s.end <= a.at, a, named_struct('at', s.end, 'parts', if(s.start < a.at, a.parts,
+                concat(a.parts, array(substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{REDACTED}'))))),
+            a -> concat(array_join(a.parts, ''), substring(text, cast(a.at + 1 as int))))""")
+    joined = docs.join(live, F.col("doc_id") == F.col("_id"), "left")
+    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(pieces)
+    clean = joined.withColumn("_text", text)
+    out = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_live").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return clean.select(*out)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+#: Kernels, sketches and index searches are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
