@@ -10,12 +10,14 @@ pairs that are almost surely below the threshold are dropped, and the others
 are confirmed on the full sets of both texts.
 
 Documents of equal sets are one group before anything else, so thousands of
-copies cost one sketch.  Within a band, candidates are first tried against the
-band's smallest id; after linking these into components, every pair of a band
-whose documents are still in different components is tried as well, so no
-candidate link between components is lost and no band is expanded into all
-its pairs.  A pair of similarity 0.75 meets in no band with probability
-(1 - 0.75**ROWS) ** BANDS < 1e-6.
+copies cost one sketch.  Documents that meet in a band are tied to the band's
+smallest id, never to each other; the components of these ties hold every
+candidate pair.  A component is cut into blocks of documents, and each pair of
+blocks is one unit of work that estimates and confirms all its pairs with
+array operations and returns a spanning forest of the links, so a large family
+of similar texts is spread over many tasks and its pairs are never rows.  A
+pair of similarity 0.75 meets in no band with probability
+(1 - 0.75**ROWS) ** BANDS < 2e-6.
 
 Defined results: null or empty texts have an empty set and link with nothing;
 a text of fewer than SHINGLE words is one shingle; repeated rows are returned
@@ -34,11 +36,13 @@ from .shared import components, stored, table
 from .tokens import LOWER, SPACED, Words, chunks, mix, run_hash
 
 SHINGLE = 5
-ROWS, BANDS = 4, 40
+ROWS, BANDS = 5, 50
 REGISTERS = ROWS * BANDS
 BASE, RATE = 1.001, 20.0
 #: Likelihood ratio beyond which a pair counts as surely below the threshold.
 SURELY = 32.0
+#: Documents, and shingles, of a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 _U = np.uint64
 
 
@@ -101,57 +105,98 @@ def log_likelihood(j: np.ndarray, n_a, n_b, more, fewer) -> np.ndarray:
     return more * np.log(up) + fewer * np.log(down) + (REGISTERS - more - fewer) * np.log(np.maximum(1 - up - down, 1e-12))
 
 
-def _plausible(percent: int):
-    """Keeps pairs that are not surely below the threshold."""
+def plausible(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Matrix over sketches a and b: true unless a pair's similarity is surely below the threshold."""
+    out = 100 * np.minimum(n_a[:, None], n_b) >= percent * np.maximum(n_a[:, None], n_b)
     least = percent / 100
+    for i in np.flatnonzero(out.any(1)).tolist():
+        at = np.flatnonzero(out[i])
+        other = b[at]
+        more, fewer = (a[i] > other).sum(1), (a[i] < other).sum(1)
+        n = float(n_a[i]), n_b[at].astype(float)
+        top = np.minimum(*n) / np.maximum(*n)
+        here = log_likelihood(np.minimum(least, top), *n, more, fewer)
+        below = np.max([log_likelihood(np.minimum(x, top), *n, more, fewer) for x in np.linspace(0, least, 16)], axis=0)
+        out[i, at] = 2 * (below - here) <= SURELY
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, by products of incidence matrices."""
+    both = [*left, *right]
+    sizes = [len(x) for x in both]
+    _, column, often = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    shared = often > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = int(shared.sum())
+    out = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, width, 4096):
+        x, y = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(both), min(4096, width - at)), np.float32)
+        part[row[x:y], column[x:y] - at] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def _pairs_of_blocks(percent: int):
+    """Links among the documents of each pair of blocks; of links that close a ring one is left out."""
+
+    def links(rows: list) -> list:
+        p, q = rows[0][1:3]
+        left = [r for r in rows if r[3] == p]
+        right = [r for r in rows if r[3] == q] if p != q else left
+        if not left or not right or len(rows) < 2:
+            return []
+        sketch = lambda x: np.frombuffer(b"".join(r[6] for r in x), np.uint16).reshape(-1, REGISTERS)
+        n_a, n_b = np.array([r[5] for r in left]), np.array([r[5] for r in right])
+        maybe = plausible(sketch(left), n_a, sketch(right), n_b, percent)
+        if p == q:
+            maybe &= np.tri(len(left), k=-1, dtype=bool)
+        a, b = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+        if not len(a):
+            return []
+        sets = lambda x: [s for _, _, d, o in chunks(pa.array([r[7] for r in x], pa.string())) for s in _sets(Words(d, o, SPACED, LOWER))]
+        common = _common(sets([left[i] for i in a]), sets([right[i] for i in b]))
+        linked = maybe[np.ix_(a, b)] & (100 * common >= percent * (n_a[a][:, None] + n_b[b] - common))
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in np.argwhere(linked).tolist():
+            x, y = left[a[i]][4], right[b[j]][4]
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                out.append((x, y))
+        return out
 
     def run(batches):
-        for batch in batches:
-            n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 4))
-            fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-            batch = batch.filter(pa.array(fits))
-            n_a, n_b = n_a[fits], n_b[fits]
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (3, 5))
-            more, fewer = (a > b).sum(1), (a < b).sum(1)
-            top = np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
-            at = log_likelihood(np.minimum(least, top), n_a, n_b, more, fewer)
-            below = np.max([log_likelihood(np.minimum(x, top), n_a, n_b, more, fewer) for x in np.linspace(0, least, 32)], axis=0)
-            keep = 2 * (below - at) <= SURELY
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    return run
-
+        held: list = []
 
-def _confirmed(percent: int):
-    """Keeps pairs whose full sets are similar enough."""
+        def done(rows):
+            out = links(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    def run(batches):
         for batch in batches:
-            links = []
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for at, n, data, offsets in chunks(batch.column(2)):
-                left = list(_sets(Words(data, offsets, SPACED, LOWER)))
-                for at_b, n_b, data_b, offsets_b in chunks(batch.column(3).slice(at, n)):
-                    for a, b in zip(left[at_b : at_b + n_b], _sets(Words(data_b, offsets_b, SPACED, LOWER))):
-                        pair = next(ids)
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if both and 100 * both >= percent * (len(a) + len(b) - both):
-                            links.append(pair)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
 
     return run
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links among distinct pairs (a, b)."""
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(_plausible(percent), "a long, b long")
-    return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(_confirmed(percent), "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -163,22 +208,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * F.lit(2 * ROWS) + F.lit(1), F.lit(2 * ROWS))))
     bands = reps.select("doc_id", F.explode(keys).alias("key"))
     crowded = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    members = stored(bands.join(crowded, "key").select("key", "doc_id", "hub"), "near-bands")
-
-    tried = stored(members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "near-pairs")
-    links = stored(_links(tried, sketches, docs, percent).distinct(), "near-links")
-    labels = components(links, "near-labels")
-
-    # What is still apart within a band: all pairs across its components.
-    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    apart = placed.join(split, "key")
-    ones, others = apart.toDF("key", "a", "la"), apart.toDF("key", "b", "lb")
-    rest = ones.join(others, "key").where("la > lb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    more = stored(_links(rest, sketches, docs, percent).distinct(), "near-more")
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "near-labels")
+    ties = bands.join(crowded, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    families = components(ties, "near-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+
+    sized = families.join(linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    sized = sized.select("family", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    rows = linkable.select("doc_id", "n_shingles", "regs").join(families, "doc_id").join(sized, "family").join(docs, "doc_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs", "text")
+    rows = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
+    labels = components(rows.mapInArrow(_pairs_of_blocks(percent), "a long, b long"), "near-labels")
 
     of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("of"))
     result = sketches.select("doc_id", *same).join(of_group, same, "left")

@@ -42,25 +42,24 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (node, label) with the smallest node as label.
 
     Alternates large and small stars: each round links every node's larger
-    neighbours, then its smaller ones, to the smallest, until nothing changes.
-    Each round aggregates per node with map-side combining and is written to
-    the shared folder.
+    neighbours, then its smaller ones, to the smallest, until every component
+    is a star.  Each round aggregates per node with map-side combining and is
+    written to the shared folder.
     """
+    swapped = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
     for _ in range(most):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.unionByName(swapped(edges))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, name)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        forked = edges.groupBy("a").count().where("count > 1").select("a")
+        chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        if forked.unionByName(chained).isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"{name}: components did not settle in {most} rounds")
-    nodes = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
+    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
