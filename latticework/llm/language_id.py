@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .tokens import LOWER, chunks, text_buffers
+from .tokens import LOWER, chunks
 
 DIMENSIONS = 1 << 14
 LENGTHS = (1, 2, 3, 4)
@@ -69,12 +69,11 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(n, DIMENSIONS)
 
 
-def has_letter(column) -> np.ndarray:
-    data, offsets = text_buffers(column)
-    sums = np.append(0, np.cumsum(_LETTER[data]))
-    ascii_letters = sums[offsets[1:]] > sums[offsets[:-1]]
-    out = ascii_letters.copy()
-    for i in np.flatnonzero(~ascii_letters & (np.diff(offsets) > 0)).tolist():
+def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts of a chunk have a letter; only texts without ASCII letters are decoded."""
+    sums = np.append(0, np.cumsum(_LETTER[data], dtype=np.int32))
+    out = sums[offsets[1:]] > sums[offsets[:-1]]
+    for i in np.flatnonzero(~out & (np.diff(offsets) > 0)).tolist():
         out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
 
@@ -123,29 +122,31 @@ def _predict(names: list[str], matrix: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            scores = [np.zeros((0, len(names)))]
-            if names:
-                for _, _, data, offsets in chunks(batch.column(1), rows=_BLOCK_ROWS):
-                    x = presence(data, offsets).astype(np.float32)
-                    scores.append(x @ matrix / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
-            known = has_letter(batch.column(1)) if names else np.zeros(batch.num_rows, bool)
+            scores, letters = [np.zeros((0, len(names)))], [np.zeros(0, bool)]
+            for _, _, data, offsets in chunks(batch.column(1), rows=_BLOCK_ROWS):
+                x = presence(data, offsets).astype(np.float32)
+                scores.append(x @ matrix / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
+                letters.append(has_letter(data, offsets))
+            known = np.concatenate(letters) & bool(names)
             best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
             if names:
                 f = np.concatenate(scores).astype(float)
                 e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
                 best = np.where(known, f.argmax(1), len(names))
                 score = np.where(known, 1 / e.sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), pa.array(labels[best], pa.string()), pa.array(score)], [*batch.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels[best], pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Columns `keep` of every row of docs (text), then prediction and score under the given names."""
-    x = docs.select(F.lit(0).alias("_"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[2:])
+    rest = [c for c in keep if c != "text"]
+    x = docs.select(F.lit(0).alias("_"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:])
     out = x.mapInArrow(_predict(*model), f"{kinds}, lang_pred string, score double")
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred").alias(pred), F.col("score").alias(score))
+    own = {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)} | {"text": F.col("text")}
+    return out.select(*[own[c] for c in keep], F.col("lang_pred").alias(pred), F.col("score").alias(score))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
