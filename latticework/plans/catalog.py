@@ -148,7 +148,7 @@ def angle_hist(spark, sf_dir):
     "q_hist_intersection",
     """
     WITH h AS (SELECT c_nationkey AS node, c_mktsegment AS bin, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT node, sum(n) AS t FROM h GROUP BY 1)
-    SELECT ta.node AS a, tb.node AS b, CAST(coalesce(sum(least(x.n, y.n)), 0) AS BIGINT) AS common, round(coalesce(sum(least(x.n, y.n)), 0) / least(any_value(ta.t), any_value(tb.t)), 6) AS share
+    SELECT ta.node AS a, tb.node AS b, CAST(coalesce(sum(least(x.n, coalesce(y.n, 0))), 0) AS BIGINT) AS common, round(coalesce(sum(least(x.n, coalesce(y.n, 0))), 0) / least(any_value(ta.t), any_value(tb.t)), 6) AS share
     FROM t ta JOIN t tb ON ta.node < tb.node LEFT JOIN h x ON x.node = ta.node LEFT JOIN h y ON y.node = tb.node AND y.bin = x.bin GROUP BY ALL""",
 )
 def hist_intersection(spark, sf_dir):

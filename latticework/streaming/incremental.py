@@ -37,16 +37,22 @@ def on_new_graphs(stream: DataFrame, done: Callable[[SparkSession], DataFrame |
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Events with a time that watermarks accept; streams get one."""
+    x = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return x.withWatermark("ts", late) if x.isStreaming else x
+
+
 def windowed_counts(events: DataFrame, width: str = "10 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(start, event_type, n, mean): tumbling or sliding windows of a stream or table of events (ts, event_type, value)."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = _timed(events, late)
     g = source.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n): sessions of users that end after a gap."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = _timed(events, late)
     g = source.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
