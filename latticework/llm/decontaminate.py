@@ -240,3 +240,17 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH w AS (SELECT doc_id, {_WORDS.replace("text", "coalesce(text, '')", 1)} AS w FROM documents),
+v AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+q AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS k FROM (SELECT item_id, w, least(len(w), {PHRASE}) AS n, unnest(range(1, len(w) - least(len(w), {PHRASE}) + 2)) AS i FROM v WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM q),
+s AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, z WHERE len(w) >= n)),
+h AS (SELECT s.doc_id, s.i, s.n, q.item_id FROM s JOIN q USING (n, k)),
+p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""

@@ -23,6 +23,9 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_chat_format": chat_format.ORACLE,
+        "op2_substring_dedup": substring_dedup.ORACLE,
         "op3_license_scan": license_scan.ORACLE,
+        "op4_near_dedup": near_dedup.ORACLE,
         "op5_topk_search": topk_search.ORACLE,
+        "op6_decontaminate": decontaminate.ORACLE,
     }

@@ -333,3 +333,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, list_slice(w, i, i + {WINDOW - 1}) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
+m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT s.doc_id, s.i, unnest(range(0, {WINDOW})) AS j FROM s JOIN m USING (k) WHERE m.least < s.doc_id)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) FILTER (c.p IS NULL) AS kept, count(c.p) AS gone FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
