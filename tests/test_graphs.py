@@ -275,3 +275,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
     text = [r.value for r in sinks.gml(spark.createDataFrame([(1, "p", 2)], "family_id int, prototype string, size long"), spark.createDataFrame([(1, 1, 3)], "child_id int, parent_id int, edges_added int")).collect()]
     assert text[0] == "graph [" and text[-1] == "]" and len(text) == 5
+
+
+def test_documents_round_trip(built, spark, tmp_path):
+    """Tables written as documents and read back are the same tables."""
+    from latticework.plans import workflows
+
+    made = workflows.documents(built.nodes, built.bonds, built.poly, built.structures.select("stem", "formula", "sg_symbol", "sg_number", "lattice"))
+    t = graphs.tables(made.withColumn("error", F.lit(None).cast("string")).select("stem", made["metadata"], "nodes", "edges", "polyhedral_edges").withColumn("metadata", F.from_json(F.to_json("metadata"), graphs._struct(graphs._META))).withColumn("nodes", F.from_json(F.to_json("nodes"), f"array<{graphs._struct(graphs._NODE)}>")).withColumn("edges", F.from_json(F.to_json("edges"), f"array<{graphs._struct(graphs._EDGE)}>")).withColumn("polyhedral_edges", F.from_json(F.to_json("polyhedral_edges"), f"array<{graphs._struct(graphs._POLY)}>")))
+    keys = ["stem", "source", "target", "img", "sphere", "vw_s", "vw_t"]
+    assert t.bonds.select(*keys).exceptAll(built.bonds.select(*keys)).count() == 0 and t.bonds.count() == built.bonds.count()
+    cn = ["stem", "id", "element", "ion_role", "cn", "cn_core"]
+    assert t.nodes.select(*cn).exceptAll(built.nodes.select(*cn)).count() == 0
+    edges = ["stem", "a", "b", "img", "n_all", "mode_all", "mean_angle"]
+    assert t.poly.select(*edges).exceptAll(built.poly.select(*edges)).count() == 0
+
+
+def test_workflows(built, spark):
+    from latticework.plans import workflows
+
+    near = spark.createDataFrame([], "stem string, id int, rank int, nbr int, img array<int>, dist double")
+    t = graphs.GraphTables(built.meta, built.nodes, built.bonds, built.poly, near)
+    labelled = workflows.label_by_prototypes(t, spark.createDataFrame([("salt", "NaCl_rock_salt-0"), ("rutile", "TiO2_rutile-8")], "label string, stem string"))
+    got = {r.stem.split("_")[0]: (r.label, r.status) for r in labelled.collect()}
+    assert got["MgO"] == ("salt", "classified") and got["SnO2"] == ("rutile", "classified") and got["CsCl"][1] == "flagged"
+    made, failed = workflows.build_missing(built.structures, spark.createDataFrame([("NaCl_rock_salt-0", [], [])], "stem string, nodes array<int>, edges array<int>"), "1-1-O3")
+    assert failed.count() == 0 and {r.stem.split("_")[0] for r in made.select("stem").collect()} == {"SrTiO3", "BaZrO3"}
