@@ -137,10 +137,11 @@ def _searcher(k: int):
     def run(batches):
         built = None, None
         for batch in batches:
-            for block, own, codes, asked, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                own, asked = np.frombuffer(own, np.int64), np.frombuffer(asked, np.int64)
-                if built[0] != (block, len(own)):
-                    built = (block, len(own)), MultiIndex(np.frombuffer(codes, np.uint8).reshape(len(own), -1))
+            for names, codes, asked, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                own, asked = np.frombuffer(names, np.int64), np.frombuffer(asked, np.int64)
+                # Pairs of one index block often follow each other.
+                if built[0] != (names, codes):
+                    built = (names, codes), MultiIndex(np.frombuffer(codes, np.uint8).reshape(len(own), -1))
                 wanted = np.frombuffer(wanted, np.uint64).reshape(len(asked), -1)
                 found = [(q, v, d) for q, w in zip(asked.tolist(), wanted) for d, v in built[1].search(w, k, own)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "vec_id", "distance"])
@@ -156,7 +157,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DI
     index = stored(pick(rows).mapInArrow(_packer(dimensions, INDEX_ROWS), _PACKED), "hamming-index").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
     asked = pick(queries).where("vec_id is not null").mapInArrow(_packer(dimensions, QUERY_ROWS), _PACKED)
     asked = asked.select(F.explode(F.expr(f"sequence(0L, {slots - 1}L)")).alias("slot"), F.col("ids").alias("asked"), F.col("codes").alias("wanted"))
-    pairs = index.join(asked, "slot").select("block", "ids", "codes", "asked", "wanted")
+    pairs = index.join(asked, "slot").select("ids", "codes", "asked", "wanted")
     near = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
