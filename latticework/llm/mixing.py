@@ -46,7 +46,8 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     x = sources.withColumn("weight", weight)
     x = x.withColumn("level", (F.sum("source_size").over(all_rows) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # The first source that its cap doesn't stop fixes the level of all that follow.
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(all_rows)["level"])
+    x = x.withColumn("place", F.row_number().over(by_ratio))
+    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.struct("place", "level"))).over(all_rows)["level"])
     share = F.least(F.col("level") * F.col("weight"), (cap * F.col("source_size")).cast("double"))
     return x.select("source", "source_size", "weight", F.coalesce(share, F.lit(0.0)).alias("target"))
 
