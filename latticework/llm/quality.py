@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").cast("int").alias("label"))
     learn = docs.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     labels = labels.where("pmod(crc32(cast(doc_id as string)), 4) <> 2")
-    joined = lambda d: d.mapInArrow(_gram_lists, "doc_id long, grams binary").join(labels, "doc_id").select("label", "grams")
+    # Labels grow with the documents, so their join is the same shuffle at every size.
+    joined = lambda d: d.mapInArrow(_gram_lists, "doc_id long, grams binary").join(labels.hint("shuffle_hash"), "doc_id").select("label", "grams")
     counts = joined(learn).mapInArrow(_counted, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     texts = counts[counts.gram < 0]
     n0, n1 = int(texts.n0.sum()), int(texts.n1.sum())
