@@ -110,10 +110,11 @@ _REPLY = "doc_id long, keys binary"
 def _parcels(docs: np.ndarray, keys: np.ndarray, buckets: int):
     """A batch of one row for each destination: a hash part of the ids, with what they are told."""
     to = (mix(docs.view(np.uint64)) % _U(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    order = np.lexsort((docs, to))
     docs, keys = docs[order], keys[order]
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    rows = [(b, docs[x:y].tobytes(), keys[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+    # Sorted ids travel as differences, which compress well.
+    rows = [(b, np.diff(docs[x:y], prepend=0).tobytes(), keys[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["dest", "docs", "keys"])
 
 
@@ -121,7 +122,7 @@ def _delivered(batches):
     """One row for each id with all that it is told."""
     docs, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for batch in batches:
-        docs += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        docs += [np.cumsum(np.frombuffer(x, np.int64)) for x in batch.column(1).to_pylist()]
         keys += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
     docs, keys = np.concatenate(docs), np.concatenate(keys)
     order = np.argsort(docs, kind="stable")
@@ -170,7 +171,9 @@ class _Sender:
         bucket = _bucket(h, self.buckets).astype(np.int64)
         entries = keys & _U(_LOW)
         if self.extended:
-            entries = np.stack([entries, second[order][new]], 1)
+            # 5 bytes of the first hash, then 7 of the second.
+            second = second[order][new]
+            entries = np.stack([entries | second << _U(40), second >> _U(24) & _U(0xFFFFFFFF)], 1)
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
         rows = [(b, *_packed(d[x:y], entries[x:y], self.width)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
         names = ["bucket", "gaps", "counts", "entries", "told"]
@@ -180,7 +183,7 @@ class _Sender:
             to = [r[0] for r in rows]
             told = told[np.argsort(told[:, 0], kind="stable")]
             pieces = np.array_split(told, len(to))
-            rows = [(*r, p.tobytes()) for r, p in zip(rows, pieces)]
+            rows = [(*r, np.stack([np.diff(p[:, 0], prepend=_U(0)), p[:, 1]], 1).tobytes()) for r, p in zip(rows, pieces)]
         else:
             rows = [(*r, b"") for r in rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -202,7 +205,7 @@ def _send_anchors(buckets: int):
 
 def _send_windows(buckets: int):
     def run(batches):
-        sender = _Sender(buckets, 16, True)
+        sender = _Sender(buckets, 12, True)
         for batch in batches:
             docs, shared = ids(batch.column(0)), batch.column(2)
             for at, n, data, offsets in chunks(batch.column(1)):
@@ -242,7 +245,8 @@ def _meet(width: int, extended: bool, buckets: int):
             for bucket, gaps, counts, entries, known in zip(*(c.to_pylist() for c in batch.columns)):
                 gathered.setdefault(bucket, []).append((gaps, counts, entries))
                 if known:
-                    told.append(np.frombuffer(known, np.uint64).reshape(-1, 2))
+                    pairs = np.frombuffer(known, np.uint64).reshape(-1, 2)
+                    told.append(np.stack([np.cumsum(pairs[:, 0], dtype=np.uint64), pairs[:, 1]], 1))
             if told:
                 pairs = np.concatenate(told)
                 told = []
@@ -251,9 +255,9 @@ def _meet(width: int, extended: bool, buckets: int):
             parts = [_unpacked(*m, width) for m in gathered.pop(bucket)]
             docs = np.concatenate([p[0] for p in parts])
             values = np.concatenate([p[1] for p in parts])
-            keys = np.ascontiguousarray(values[:, 0])
+            keys = values[:, 0] & _U(_LOW)
             # Both hashes make the identity of a window.
-            identity = mix(keys) ^ values[:, 1] if extended else keys
+            identity = mix(keys) ^ mix(values[:, 0] >> _U(40) | values[:, 1] << _U(24)) if extended else keys
             order, new, smallest = _least(identity, docs)
             d = docs[order]
             if extended:
@@ -319,15 +323,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def exchanged(messages, width, extended):
-        met = messages.repartition(buckets, "bucket").mapInArrow(_meet(width, extended, buckets), _PARCEL)
-        return met.repartition(buckets, "dest").mapInArrow(_delivered, _REPLY).withColumnRenamed("doc_id", "told")
+        met = messages.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(width, extended, buckets), _PARCEL)
+        return met.repartitionById(buckets, F.col("dest")).mapInArrow(_delivered, _REPLY).withColumnRenamed("doc_id", "told")
 
     def with_replies(replies):
         return docs.join(replies.hint("shuffle_hash"), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("told"), "left").select("doc_id", "text", "keys")
 
     shared = exchanged(docs.mapInArrow(_send_anchors(buckets), _MESSAGE), 5, False)
     windows = with_replies(shared).where("keys is not null").mapInArrow(_send_windows(buckets), _MESSAGE)
-    repeated = exchanged(windows, 16, True)
+    repeated = exchanged(windows, 12, True)
     return with_replies(repeated).mapInArrow(_cover(buckets), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
