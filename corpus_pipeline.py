@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from latticework.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
 from latticework.llm.shared import stored, table
 
-#: Languages are told apart by scores from 1 / (number of languages) to 1; lower ones are no language at all.
-LEAST_SCORE = 0.3
+#: Texts whose lead is a smaller share of what the learned texts of their language reach are of no language at all.
+LEAST_LEAD = 0.05
 REDACTED = "<secret>"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of no known language."""
     model = language_id.fit(language_id.learning_rows(docs.select("doc_id", "text", "lang")))
-    judged = language_id.predict(docs, model, docs.columns, pred="_lang_pred", score="_lang_score")
-    return judged.where(f"_lang_pred <> 'und' and _lang_score >= {LEAST_SCORE}").select(*docs.columns)
+    judged = language_id.predict(docs, model, docs.columns, pred="_lang_pred", score="_lang_score", ahead="_lang_lead")
+    return judged.where(f"_lang_pred <> 'und' and _lang_lead >= {LEAST_LEAD}").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ As the kernel is linear in the presence vector up to the texts' sizes,
 landmarks and regression fold into one matrix; scoring is a product of a batch
 of presence vectors with it.
 
+How far a text stands out is its best score less the mean of the others, as a
+share of what the learned texts of that language reach; unlike the softmax it
+does not fall with the number of languages.
+
 The sample is bounded and taken by a hash of the ids over all learning rows;
 what travels to the driver is presence bits, a fixed number for each text.
 
@@ -90,12 +94,17 @@ def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.where("lang is not null and text is not null and coalesce(pmod(crc32(cast(doc_id as string)), 5) <> 0, true)")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the matrix (DIMENSIONS x languages) of docs (doc_id, text, lang); pass learning rows only."""
+def lead(f: np.ndarray) -> np.ndarray:
+    """Of rows of scores: each score less the mean of the others of its row."""
+    return f - (f.sum(1, keepdims=True) - f) / max(f.shape[1] - 1, 1)
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the matrix (DIMENSIONS x languages) and the languages' mean leads, of docs (doc_id, text, lang); pass learning rows only."""
     counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     names = sorted(counts)
     if not names:
-        return [], np.zeros((DIMENSIONS, 0), np.float32)
+        return [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0)
     # Twice the share that is wanted, by hash, and then the first of these.
     spread = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, int(min(1.0, 2 * sample / counts[k]) * (1 << 30)))])
@@ -112,12 +121,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     root = vectors[:, keep] / np.sqrt(values[keep])
     phi = k_nm @ root
     # A constant feature takes up the share of each language; classes weigh alike.
-    weight = (1 / np.bincount(np.searchsorted(names, rows["lang"])))[np.searchsorted(names, rows["lang"])][:, None] * len(rows) / len(names)
+    own = np.searchsorted(names, rows["lang"])
+    weight = (1 / np.bincount(own))[own][:, None] * len(rows) / len(names)
     w = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(rows) * np.eye(phi.shape[1]), phi.T @ (weight * y))
-    return names, (x[marks].T @ (root @ w)).astype(np.float32)
+    leads = np.bincount(own, weights=lead(phi @ w)[np.arange(len(own)), own]) / np.bincount(own)
+    return names, (x[marks].T @ (root @ w)).astype(np.float32), np.maximum(leads, 1e-9)
 
 
-def _predict(names: list[str], matrix: np.ndarray):
+def _predict(names: list[str], matrix: np.ndarray, leads: np.ndarray):
     labels = np.array([*names, "und"], object)
 
     def run(batches):
@@ -128,25 +139,26 @@ def _predict(names: list[str], matrix: np.ndarray):
                 scores.append(x @ matrix / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
                 letters.append(has_letter(data, offsets))
             known = np.concatenate(letters) & bool(names)
-            best, score = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows)
+            best, score, ahead = np.full(batch.num_rows, len(names)), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if names:
                 f = np.concatenate(scores).astype(float)
                 e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
                 best = np.where(known, f.argmax(1), len(names))
                 score = np.where(known, 1 / e.sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels[best], pa.string()), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+                ahead = np.where(known, lead(f).max(1, initial=0) / leads[f.argmax(1)], 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels[best], pa.string()), pa.array(score), pa.array(ahead)], [*batch.schema.names[1:], "lang_pred", "score", "lead"])
 
     return run
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Columns `keep` of every row of docs (text), then prediction and score under the given names."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str], pred: str = "lang_pred", score: str = "score", ahead: str | None = None) -> DataFrame:
+    """Columns `keep` of every row of docs (text), then prediction, score and (if named) lead under the given names."""
     rest = [c for c in keep if c != "text"]
     x = docs.select(F.lit(0).alias("_"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:])
-    out = x.mapInArrow(_predict(*model), f"{kinds}, lang_pred string, score double")
+    out = x.mapInArrow(_predict(*model), f"{kinds}, lang_pred string, score double, lead double")
     own = {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)} | {"text": F.col("text")}
-    return out.select(*[own[c] for c in keep], F.col("lang_pred").alias(pred), F.col("score").alias(score))
+    return out.select(*[own[c] for c in keep], F.col("lang_pred").alias(pred), F.col("score").alias(score), *([F.col("lead").alias(ahead)] if ahead else []))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,29 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the house stands by water and trees while people walk along old roads under bright skies with quiet dogs jumping over lazy foxes".split()
+
+
+def permuted(languages: int, each: int) -> list[tuple]:
+    """Documents of languages that differ by a permutation of their letters."""
+    draw = random.Random(7)
+    letters, rows = "abcdefghijklmnopqrstuvwxyz", []
+    for k in range(languages):
+        own = str.maketrans(letters, "".join(draw.sample(letters, 26)))
+        for _ in range(each):
+            rows.append((len(rows), " ".join(draw.choice(WORDS) for _ in range(60)).translate(own), f"l{k:03}", "s", 0))
+    return rows
+
+
+@pytest.mark.parametrize(("languages", "each"), [(2, 40), (100, 12)])
+def test_language_stage_at_any_number_of_languages(spark, languages, each):
+    rows = permuted(languages, each)
+    alien = [(-1, "Съешь же ещё этих мягких французских булок", None, "s", 0), (-2, "123 !?", None, "s", 0), (-3, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows + alien, SCHEMA).repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {r[0] for r in rows} <= kept and not kept & {-2, -3}
+    assert languages > 2 or -1 not in kept
