@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pairwise_distances(rows: DataFrame, key: str, vector: str, group: str, block: int = 512) -> DataFrame:
+def pairwise_distances(rows: DataFrame, key: str, vector: str, group: str | None, block: int = 512, within: float | None = None) -> DataFrame:
     """(group, a, b, dist) for all a < b inside each group; Euclidean, rounded to 4 places.
 
+    Without a group all rows are one, and the group is left out.  With `within`
+    only smaller distances are given; the others never leave their block.
+
     A group is cut into blocks by row number of its sorted keys; a task gets
     two blocks, so a group that holds most rows is spread over the square of
     its number of blocks.  Null vectors and keys have no pairs.
     """
-    x = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & F.col(group).isNotNull())
-    x = x.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    of = F.lit(0) if group is None else F.col(group)
+    x = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull() & of.isNotNull())
+    x = x.select(of.alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     blocks = x.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("n"))
-    x = x.join(blocks, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("n")))
+    x = x.join(F.broadcast(blocks) if group is None else blocks, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.col("n")))
     # Each row goes to the n pairs of blocks that its block is in.
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     x = x.select("g", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "k", "v")
@@ -37,8 +41,11 @@ def pairwise_distances(rows: DataFrame, key: str, vector: str, group: str, block
         for i in range(len(l)):
             d = np.sqrt(((r - l[i]) ** 2).sum(1))
             keep = b > a[i] if p == q else np.ones(len(b), bool)
-            out.append(pd.DataFrame({"g": part["g"].iloc[0], "a": np.minimum(a[i], b[keep]), "b": np.maximum(a[i], b[keep]), "dist": np.floor(d[keep] * 1e4 + 0.5) / 1e4}))
+            d = np.floor(d * 1e4 + 0.5) / 1e4
+            if within is not None:
+                keep = keep & (d < within)
+            out.append(pd.DataFrame({"g": part["g"].iloc[0], "a": np.minimum(a[i], b[keep]), "b": np.maximum(a[i], b[keep]), "dist": d[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"g": [], "a": [], "b": [], "dist": []})
 
-    made = x.groupBy("g", "p", "q").applyInPandas(distances, f"g {kinds[group]}, a {kinds[key]}, b {kinds[key]}, dist double")
-    return made.select(F.col("g").alias(group), "a", "b", "dist")
+    made = x.groupBy("g", "p", "q").applyInPandas(distances, f"g {kinds.get(group, 'int')}, a {kinds[key]}, b {kinds[key]}, dist double")
+    return made.select(*([F.col("g").alias(group)] if group else []), "a", "b", "dist")

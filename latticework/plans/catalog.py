@@ -348,3 +348,39 @@ def dbscan_components(spark, sf_dir):
 
     near = label_distances(spark, sf_dir).where("dist < 1.2").select("a", "b")
     return dbscan(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")), near, 3)
+
+
+_ALL_DISTANCES = """
+    WITH RECURSIVE d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS dist
+      FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
+
+
+def near_pairs(spark, sf_dir, block: int = 512) -> DataFrame:
+    """Pairs of all embeddings, whatever their labels, that are nearer than 1.2: rows (a, b, dist rounded to 4 places)."""
+    from latticework.operators.pairs import pairwise_distances
+
+    return pairwise_distances(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None, block, within=1.2)
+
+
+@query("q_pair_distance_all", _ALL_DISTANCES + " SELECT a, b, dist FROM d WHERE dist < 1.2")
+def pair_distance_all(spark, sf_dir):
+    """Pairs that are nearer than 1.2, over all embeddings."""
+    return near_pairs(spark, sf_dir)
+
+
+@query(
+    "q_dbscan_components_all",
+    _ALL_DISTANCES
+    + """, e AS (SELECT a, b FROM d WHERE dist < 1.2 UNION SELECT b, a FROM d WHERE dist < 1.2),
+    core AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 2),
+    ce AS (SELECT e.a, e.b FROM e JOIN core x ON x.a = e.a JOIN core y ON y.a = e.b UNION ALL SELECT a, a FROM core),
+    w AS (SELECT a AS node, a AS root FROM core UNION SELECT ce.b, w.root FROM w JOIN ce ON ce.a = w.node),
+    r AS (SELECT node, min(root) AS cluster FROM w GROUP BY node),
+    border AS (SELECT e.a AS node, min(r.cluster) AS cluster FROM e JOIN r ON r.node = e.b WHERE e.a NOT IN (SELECT a FROM core) GROUP BY 1)
+    SELECT vec_id AS node, coalesce(r.cluster, border.cluster, -1) AS cluster FROM embeddings LEFT JOIN r ON r.node = vec_id LEFT JOIN border ON border.node = vec_id""",
+)
+def dbscan_components_all(spark, sf_dir):
+    """DBSCAN (eps 1.2, three members with itself) over all embeddings; clusters are named by their smallest core."""
+    from latticework.operators.cluster import dbscan
+
+    return dbscan(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node")), near_pairs(spark, sf_dir).select("a", "b"), 3)

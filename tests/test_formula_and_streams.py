@@ -65,6 +65,17 @@ def test_queries_against_sql(spark, duck, name):
     assert got == sorted(tuple(str(r[i]) for i in at) for r in relation.fetchall())
 
 
+def test_pairs_and_clusters_cross_labels(spark, tmp_path):
+    """Nearness links embeddings of different labels, and of none."""
+    rows = [(k, "ab"[k % 2] if k < 4 else None, [0.1 * k, 0.0]) for k in range(6)] + [(9, "a", [50.0, 0.0]), (10, "b", None)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = catalog.near_pairs(spark, str(tmp_path), block=2).collect()
+    assert sorted((r.a, r.b, r.dist) for r in near) == [(a, b, round(0.1 * (b - a), 4)) for a in range(6) for b in range(a + 1, 6)]
+    assert {tuple(r) for r in catalog.QUERIES["q_pair_distance_all"](spark, str(tmp_path)).collect()} == {tuple(r) for r in near}
+    got = {r.node: r.cluster for r in catalog.QUERIES["q_dbscan_components_all"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(6), 0) | {9: -1, 10: -1}
+
+
 def test_windows_of_a_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/events")
