@@ -14,8 +14,11 @@ How far a text stands out is its best score less the mean of the others, as a
 share of what the learned texts of that language reach; unlike the softmax it
 does not fall with the number of languages.
 
-The sample is bounded and taken by a hash of the ids over all learning rows;
-what travels to the driver is presence bits, a fixed number for each text.
+Every language is learned.  The sample is bounded and taken by a hash of the
+ids over all learning rows; with more than ROWS / SAMPLE languages each has
+fewer texts and landmarks, at least LEAST_ROWS and one, so from there on the
+cost of a language is fixed.  What travels to the driver is presence bits, a
+fixed number for each text.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
 with nothing to learn from, all are `und`.  Null ids count as held in;
@@ -38,7 +41,8 @@ LANDMARKS = 64
 SAMPLE = 256
 RIDGE = 1e-2
 SHARPNESS = 4.0
-LANGUAGES = 200
+ROWS = 8192
+LEAST_ROWS = 12
 _BLOCK_ROWS = 128
 
 _FOLD = LOWER.copy()
@@ -94,6 +98,12 @@ def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.where("lang is not null and text is not null and coalesce(pmod(crc32(cast(doc_id as string)), 5) <> 0, true)")
 
 
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Packed rows of presence as vectors of length 1."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 def lead(f: np.ndarray) -> np.ndarray:
     """Of rows of scores: each score less the mean of the others of its row."""
     return f - (f.sum(1, keepdims=True) - f) / max(f.shape[1] - 1, 1)
@@ -101,21 +111,24 @@ def lead(f: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the matrix (DIMENSIONS x languages) and the languages' mean leads, of docs (doc_id, text, lang); pass learning rows only."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
     names = sorted(counts)
     if not names:
         return [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0)
+    landmarks = max(1, min(LANDMARKS, ROWS * LANDMARKS // SAMPLE // len(names)))
+    sample = min(sample, max(LEAST_ROWS, ROWS // len(names)))
     # Twice the share that is wanted, by hash, and then the first of these.
     spread = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, int(min(1.0, 2 * sample / counts[k]) * (1 << 30)))])
-    picked = docs.where(F.col("lang").isin(names) & (spread < F.coalesce(share[F.col("lang")], F.lit(0)))).select(spread.alias("h"), "lang", "text")
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2 * sample / counts[k]) * (1 << 30))) for k in names], "lang string, share long")
+    picked = docs.join(F.broadcast(shares), "lang").where(spread < F.col("share"))
     rows = picked.select("lang", "text").mapInArrow(_features, "lang string, bits binary").toPandas()
     rows = rows.sort_values(["lang", "bits"]).groupby("lang").apply(lambda g: g.iloc[:: max(1, len(g) // sample)].head(sample), include_groups=False).reset_index()
-    x = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    bits = np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])
     y = np.where(rows["lang"].to_numpy()[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    marks = np.concatenate([np.flatnonzero(rows["lang"] == k)[:: max(1, (rows["lang"] == k).sum() // LANDMARKS)][:LANDMARKS] for k in names])
-    k_nm = (x @ x[marks].T).astype(np.float64)
+    marks = np.concatenate([np.flatnonzero(rows["lang"] == k)[:: max(1, (rows["lang"] == k).sum() // landmarks)][:landmarks] for k in names])
+    x = _unit(bits[marks])
+    # By blocks, so that many languages don't need all presence vectors at once.
+    k_nm = np.concatenate([(_unit(bits[at : at + 1024]) @ x.T).astype(np.float64) for at in range(0, len(bits), 1024)])
     values, vectors = np.linalg.eigh(k_nm[marks])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -125,7 +138,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, n
     weight = (1 / np.bincount(own))[own][:, None] * len(rows) / len(names)
     w = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(rows) * np.eye(phi.shape[1]), phi.T @ (weight * y))
     leads = np.bincount(own, weights=lead(phi @ w)[np.arange(len(own)), own]) / np.bincount(own)
-    return names, (x[marks].T @ (root @ w)).astype(np.float32), np.maximum(leads, 1e-9)
+    return names, (x.T @ (root @ w)).astype(np.float32), np.maximum(leads, 1e-9)
 
 
 def _predict(names: list[str], matrix: np.ndarray, leads: np.ndarray):

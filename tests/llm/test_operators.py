@@ -232,6 +232,22 @@ def test_language_id(spark, docs, empty):
     assert language_id.predict(empty, model, ["doc_id"]).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    """With more than 200 languages, the rarest are still told apart."""
+    import random
+
+    draw = random.Random(9)
+    words, letters, rows = [t for _, t, _, _ in language_rows()[:30]], "abcdefghijklmnopqrstuvwxyz", []
+    for k in range(230):
+        own = str.maketrans(letters, "".join(draw.sample(letters, 26)))
+        for _ in range(8 if k >= 200 else 14):
+            rows.append((len(rows), " ".join(draw.sample(words, 3)).translate(own), f"l{k:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(language_id.learning_rows(docs))
+    got = language_id.predict(docs, model, ["lang"]).where("lang >= 'l200'").collect()
+    assert len(model[0]) == 230 and sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
 def test_language_kernel_folds_into_the_matrix():
     """Scores by the folded matrix are those of the kernel expansion over landmarks."""
     texts = [t for _, t, _, _ in language_rows()[:20]]
