@@ -7,8 +7,18 @@ coefficient 2 |A & B| / (|A| + |B|) can only reach the threshold t if
 |A| / |B| lies between t / (2 - t) and (2 - t) / t, so sizes choose the
 candidate templates before any intersection is made.
 
+A notice that is wrapped over lines, or stands inside a longer line or text, is
+found as a run of words: of each template whose bigrams a text holds to at
+least t / (2 - t), the run of the highest coefficient from each place where a
+stretch of the template's bigrams begins (starting earlier or inside a stretch
+never gives more), over up to 2 |B| + 2 words.  A run is reported if it reaches
+the threshold, unless the whole text does so, too, or it is part of a line that
+does or overlaps a line of the same template; of runs that overlap the one of
+the most common bigrams, weighted by its coefficient, stays.
+
 Templates are rows of a small list that the caller gives; they become literals
-of the plan, and their number is bounded by the caller's list.
+of the plan, and their number is bounded by the caller's list.  Without a list
+they are the short notices of TEMPLATES and then the full texts in `licenses`.
 
 Defined results: null and empty texts match nothing; a unit of fewer than two
 words has no bigrams; of equal coefficients the first template wins; repeated
@@ -18,6 +28,7 @@ rows match each; a null id stays null.  Other columns are ignored.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +51,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 )
+FULL_TEXTS = tuple((p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt")))
 _OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -53,17 +65,49 @@ def bigrams_of(text: str) -> list[tuple[str, str]]:
     return sorted(set(zip(w, w[1:])))
 
 
-def _templates(templates):
-    """An array of (rank, license, bigrams) as a plan literal."""
+def _templates(spark, templates) -> tuple[str, str]:
+    """SQL of an array of (rank, license, n, bigrams) as a plan literal, and of all bigrams."""
+    pairs = [(k, a, b) for k, (_, text) in enumerate(templates) for a, b in bigrams_of(text)]
+    own = {}
+    for k, h in spark.createDataFrame(pairs, "k int, a string, b string").select("k", F.xxhash64("a", "b")).collect():
+        own.setdefault(k, []).append(h)
     rows = []
-    for k, (name, text) in enumerate(templates):
-        pairs = [F.xxhash64(F.lit(a), F.lit(b)) for a, b in bigrams_of(text)]
-        rows.append(F.struct(F.lit(k).alias("rank"), F.lit(name).alias("license"), F.array(*pairs).alias("bigrams")))
-    return F.array(*rows)
-
-
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, unit (line number from 0, or -1 for the whole text), license, rank and dice of every unit that reaches the threshold."""
+    for k, (name, _) in enumerate(templates):
+        escaped = name.replace("\\", "\\\\").replace("'", "\\'")
+        listed = ", ".join(f"{h}L" for h in own.get(k, []))
+        rows.append(f"named_struct('rank', {k}, 'license', '{escaped}', 'n', {len(own.get(k, []))}, 'bigrams', cast(array({listed}) as array<bigint>))")
+    return f"array({', '.join(rows)})", ", ".join(f"{h}L" for h in sorted({h for x in own.values() for h in x}))
+
+
+_RUN = "struct<cost:double,dice:double,rank:int,start:int,end:int,license:string>"
+
+
+def _runs(threshold: float, known: str) -> str:
+    """SQL of the runs of words of a row (words, grams, templates, found) that reach the threshold."""
+    low = threshold / (2 - threshold)
+    # Of each word pair: place, the place of the pair before that is equal, hash.
+    pairs = """transform(array(array_sort(transform(sequence(0, size(words[0]) - 2), i -> struct(xxhash64(words[0][i], words[0][i + 1]) as g, i as pos)))), s ->
+        array_sort(transform(s, (x, k) -> struct(x.pos as pos, if(get(s, k - 1).g <=> x.g, get(s, k - 1).pos, -1) as prev, x.g as g))))[0]"""
+    grown = "2D * (a.h + int(x.hit and x.prev < m.pos)) / (a.d + int(x.prev < m.pos) + t.n)"
+    best = f"""aggregate(slice(marks, m.pos + 1, 2 * t.n + 1), named_struct('d', 0, 'h', 0, 'dice', 0D, 'common', 0, 'end', -1),
+        (a, x) -> named_struct('d', a.d + int(x.prev < m.pos), 'h', a.h + int(x.hit and x.prev < m.pos), 'dice', greatest(a.dice, {grown}), 'common', if({grown} > a.dice, a.h + int(x.hit and x.prev < m.pos), a.common), 'end', if({grown} > a.dice, x.pos + 1, a.end)),
+        a -> struct(-a.dice * a.common as cost, a.dice as dice, t.rank as rank, m.pos as start, a.end as end, t.license as license))"""
+    of_template = f"""flatten(transform(array(transform(pairs, p -> struct(p.pos as pos, p.prev as prev, array_contains(t.bigrams, p.g) as hit))), marks ->
+        filter(transform(filter(marks, (m, k) -> m.hit and not coalesce(get(marks, k - 1).hit, false)), m -> {best}), r -> r.dice >= {threshold}D)))"""
+    # Words of the lines that reach the threshold themselves.
+    length = "if(size(l) = 1 and l[0] = '', 0, size(l))"
+    ends = f"aggregate(slice(words, 2, size(words)), array(0), (a, l) -> concat(a, array(element_at(a, -1) + {length})))"
+    lines = f"transform(array({ends}), e -> transform(found, f -> struct(1D as cost, 0D as dice, f.best.rank as rank, e[f.unit] as start, e[f.unit + 1] - 1 as end, '' as license)))[0]"
+    apart = f"""filter(aggregate(array_sort(flatten(flatten(transform(array({pairs}), pairs -> transform(near, t -> {of_template}))))), cast({lines} as array<{_RUN}>),
+        (kept, r) -> if(exists(kept, o -> o.start <= r.end and r.start <= o.end and (o.cost < 0 or o.rank = r.rank or o.start <= r.start and r.end <= o.end)), kept, concat(kept, array(r)))), r -> r.cost < 0)"""
+    near = f"""transform(array(filter(grams[0], g -> g in ({known}))), own ->
+        filter(templates, t -> size(own) >= {low}D * t.n and size(array_intersect(own, t.bigrams)) >= {low}D * t.n))[0]"""
+    none = f"cast(array() as array<{_RUN}>)"
+    return f"if(exists(found, f -> f.unit = -1), {none}, transform(array({near}), near -> if(size(near) = 0, {none}, {apart}))[0])"
+
+
+def scan(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, unit (line number from 0, -1 for the whole text, or -2 - k for a run from word k), license, rank and dice of every unit that reaches the threshold."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [len(bigrams_of(t)) for _, t in templates]
     fewest = max(1, int(low * min(sizes)))
@@ -77,21 +121,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         n = F.size(w)
         return F.when(n > fewest, F.array_distinct(F.transform(F.slice(w, 1, n - 1), lambda a, i: F.xxhash64(a, F.get(w, i + 1))))).otherwise(F.array().cast("array<bigint>"))
 
-    x = x.select("doc_id", F.transform("words", pairs).alias("grams")).withColumn("templates", _templates(templates))
+    literal, known = _templates(docs.sparkSession, templates)
+    x = x.select("doc_id", "words", F.transform("words", pairs).alias("grams")).withColumn("templates", F.expr(literal))
 
     def best(g, unit):
         size = F.size(g)
-        fits = F.filter("templates", lambda t: (size >= low * F.size(t["bigrams"])) & (size <= high * F.size(t["bigrams"])))
+        fits = F.filter("templates", lambda t: (size >= low * t["n"]) & (size <= high * t["n"]))
         dice = F.transform(
             fits,
             lambda t: F.struct(
-                (2.0 * F.size(F.array_intersect(g, t["bigrams"])) / (size + F.size(t["bigrams"]))).alias("dice"), (-t["rank"]).alias("order"), t["rank"].alias("rank"), t["license"].alias("license")
+                (2.0 * F.size(F.array_intersect(g, t["bigrams"])) / (size + t["n"])).alias("dice"), (-t["rank"]).alias("order"), t["rank"].alias("rank"), t["license"].alias("license")
             ),
         )
         return F.struct((unit - 1).alias("unit"), F.array_max(dice).alias("best"))
 
     found = F.filter(F.transform("grams", best), lambda m: F.coalesce(m["best"]["dice"] >= threshold, F.lit(False)))
-    x = x.select("doc_id", F.explode(found).alias("m"))
+    x = x.withColumn("found", found)
+    runs = F.transform(F.expr(_runs(threshold, known)), lambda r: F.struct((-2 - r["start"]).alias("unit"), F.struct(r["dice"].alias("dice"), (-r["rank"]).alias("order"), r["rank"].alias("rank"), r["license"].alias("license")).alias("best")))
+    x = x.select("doc_id", F.explode(F.concat("found", runs)).alias("m"))
     return x.select("doc_id", F.col("m.unit").cast("long").alias("unit"), F.col("m.best.license").alias("license"), F.col("m.best.rank").cast("long").alias("template"), F.round("m.best.dice", 6).alias("dice"))
 
 

@@ -290,6 +290,31 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == 0
 
 
+def test_license_runs(spark):
+    """Full texts, wrapped notices and notices inside a line, as brute force over all runs of words finds them."""
+    import random
+
+    draw = random.Random(2)
+    prose = lambda n: " ".join(draw.choice(fx.WORDS) for _ in range(n))
+    full = dict(license_scan.FULL_TEXTS)
+    gpl = license_scan.TEMPLATES[6][1].split()
+    wrapped = "\n".join("# " + " ".join(gpl[k : k + 7]) for k in range(0, len(gpl), 7))
+    edited = " ".join(w for k, w in enumerate(gpl) if k % 17 != 5)
+    texts = {1: "Copyright (c) 2020 Some One\n\n" + full["MIT"], 2: prose(60) + "\n" + wrapped + "\n" + prose(60), 3: prose(50) + " Released under the MIT License. " + prose(50)}
+    texts |= {4: prose(40) + " " + edited + " " + prose(40), 5: "Released under the MIT License.\n\n" + prose(70) + "\n" + wrapped, 6: prose(300), 7: " ".join(f"w{k}" for k in range(900)) + "\n" + full["Apache-2.0"] + "\n" + " ".join(f"v{k}" for k in range(900))}
+    rows = license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    # The full text has a line that is a short notice.
+    line = next(k for k, l in enumerate(texts[7].split("\n")) if "Licensed under the Apache License" in l)
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).add((r.unit, r.license))
+    assert got == {1: {(-1, "MIT")}, 2: {(-62, "GPL-3.0")}, 3: {(-52, "MIT")}, 4: {(-42, "GPL-3.0")}, 5: {(0, "MIT"), (-77, "GPL-3.0")}, 7: {(-902, "Apache-2.0"), (line, "Apache-2.0")}}
+    dice = {r.doc_id: r.dice for r in rows}
+    for i, k in ((3, 8), (4, 6)):
+        w, b = license_scan.words_of(texts[i]), set(license_scan.bigrams_of(license_scan.TEMPLATES[k][1]))
+        assert dice[i] == round(max(2 * len(b & set(zip(w[x:y], w[x + 1 : y]))) / (len(b) + len(set(zip(w[x:y], w[x + 1 : y])))) for x in range(len(w)) for y in range(x + 2, len(w) + 1)), 6)
+
+
 def test_topk_search(spark):
     draw = np.random.default_rng(5)
     vectors = draw.normal(size=(400, 64)).astype(float)
