@@ -3,7 +3,8 @@
 Each stage works on every document that the one before it kept, and all but
 the last return the columns of documents.  Ids are taken to be unique; rows
 that repeat an id are kept or dropped together, and rows with a null id pass
-the filters that work by id.  Empty inputs give empty outputs.
+the filters that work by id.  Secrets are redacted in every row, whatever its
+id.  Empty inputs give empty outputs.
 """
 
 from __future__ import annotations
@@ -41,17 +42,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces owner-specific secrets in the texts; widely copied examples stay."""
-    found = secret_scan.scan(docs.select("doc_id", "text", F.col("source").alias("owner")))
-    live = found.where("exists(spans, s -> s.live)").groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.expr("filter(spans, s -> s.live)")).alias("_live"))
+    # Spans depend on the text alone, so texts are the key: ids may be null or repeated.
+    key = F.sha2(F.col("text"), 256)
+    found = secret_scan.scan(docs.select("doc_id", "text", F.col("source").alias("owner")), key=key)
+    live = found.where("exists(spans, s -> s.live)").groupBy(F.col("key").alias("_key")).agg(F.first(F.expr("filter(spans, s -> s.live)")).alias("_live"))
     pieces = F.expr(f"""
         aggregate(_live, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, s) ->
             if(s.end <= a.at, a, named_struct('at', s.end, 'parts', if(s.start < a.at, a.parts,
-                concat(a.parts, array(substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{REDACTED}'))))),
-            a -> concat(array_join(a.parts, ''), substring(text, cast(a.at + 1 as int))))""")
-    joined = docs.join(live, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(pieces)
-    clean = joined.withColumn("_text", text)
-    out = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_live").isNull(), F.col(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+                concat(a.parts, array(substring(d.text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{REDACTED}'))))),
+            a -> concat(array_join(a.parts, ''), substring(d.text, cast(a.at + 1 as int))))""")
+    # The columns are packed, so that none of them clashes with the names here.
+    joined = docs.select(F.struct("*").alias("d"), key.alias("_key")).join(live, "_key", "left")
+    clean = joined.withColumn("_text", F.when(F.col("_live").isNull(), F.col("d.text")).otherwise(pieces))
+    own = lambda c: F.col("d").getField(c)
+    out = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_live").isNull(), own(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns]
     return clean.select(*out)
 
 
@@ -68,7 +72,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Kernels, sketches and index searches are not SQL; the stages are tested against brute force.
+#: Kernels, sketches and index searches are not SQL; stages and run() are tested in tests/test_pipeline.py.
 ORACLE_SQL = None
 
 

@@ -96,7 +96,7 @@ def _value(value: bytes) -> int:
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.int64())]))
-_SCAN = "row long, doc_id long, owner string, found array<struct<kind:int,start:bigint,end:bigint,value:bigint>>"
+_SCAN = "row long, doc_id long, key string, owner string, found array<struct<kind:int,start:bigint,end:bigint,value:bigint>>"
 
 
 def _scan(batches):
@@ -116,19 +116,20 @@ def _scan(batches):
                 own = [x for x in own if x[1] < 3 or not any(s < x[2] and x[0] < e for s, e in base)]
                 found.append([{"kind": k, "start": s, "end": e, "value": v} for s, k, e, v in sorted(own)])
         n = len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), pa.array(found, _SPAN)], ["row", "doc_id", "owner", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(3), batch.column(2), pa.array(found, _SPAN)], ["row", "doc_id", "key", "owner", "found"])
         row += n
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Spans of every row of docs (doc_id, text, owner, and repository, else doc_id): doc_id, and spans (kind, start, end, value, owners, repositories, live)."""
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("owner").cast("string").alias("owner")).mapInArrow(_scan, _SCAN), "secret-scan")
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, key=None) -> DataFrame:
+    """Spans of every row of docs (doc_id, text, owner, and repository, else doc_id): doc_id, and spans (kind, start, end, value, owners, repositories, live); with a key (a string column of docs), key, too."""
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("owner").cast("string").alias("owner"), (F.lit(None).cast("string") if key is None else key).alias("key")).mapInArrow(_scan, _SCAN), "secret-scan")
     each = rows.select("row", "doc_id", "owner", F.explode("found").alias("s")).select("row", "doc_id", "owner", "s.*")
     by_owner = each.select("value", "owner", "doc_id").distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     spread = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
     judged = each.join(spread, "value").withColumn("live", F.col("owners") <= max_owners)
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "live"))).alias("spans"))
-    return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repositories:bigint,live:boolean>>)")).alias("spans"))
+    own = ["doc_id"] if key is None else ["doc_id", "key"]
+    return rows.select("row", *own).join(spans, "row", "left").select(*own, F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,value:bigint,owners:bigint,repositories:bigint,live:boolean>>)")).alias("spans"))
 
 
 def _listed(spans: str) -> str:

@@ -4,6 +4,8 @@ import pytest
 
 import corpus_pipeline
 
+from .llm import fixtures as fx
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the house stands by water and trees while people walk along old roads under bright skies with quiet dogs jumping over lazy foxes".split()
 
@@ -27,3 +29,57 @@ def test_language_stage_at_any_number_of_languages(spark, languages, each):
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert {r[0] for r in rows} <= kept and not kept & {-2, -3}
     assert languages > 2 or -1 not in kept
+
+
+CLASHING = SCHEMA + ", _id string, _live string, _key string, key string, kept string, row string"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, *["c"] * 6) for r in rows], CLASHING).repartition(3)
+
+
+def awkward() -> list[tuple]:
+    """The documents of the fixtures, among them nulls, empty texts and a repeated row, as rows of the pipeline."""
+    return [(r[0], r[1], r[2], r[3], r[4]) for r in fx.documents()]
+
+
+def test_near_dedup_stage(spark):
+    rows = awkward() + [(None, "a text without an id", "en", "s", 20)]
+    want = fx.classes([(r[0], r[1]) for r in awkward()])
+    got = corpus_pipeline.drop_near_duplicates(spark, clashing(spark, rows), "")
+    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted((r for r in rows if r[0] is None or want[r[0]][2]), key=str)
+
+
+def test_decontaminate_stage(spark, tmp_path):
+    rows = awkward() + [(None, "one", "en", "s", 3)]
+    items = [(1, " ".join(rows[11][1].split()[20:50])), (2, "ONE"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = fx.contamination([(r[0], r[1]) for r in awkward()], items)
+    got = corpus_pipeline.drop_contaminated(spark, clashing(spark, rows), str(tmp_path)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((r for r in rows if r[0] is None or not want[r[0]][4]), key=str)
+
+
+def test_redaction_of_every_row(spark):
+    """Null and repeated ids: each row loses its own secrets, and widely copied ones stay."""
+    texts = [(None, "é token=mine1234 end"), (None, None), (7, "x token=first123 y token=second12"), (7, "password = third456"), (7, "nothing"), (8, "")]
+    texts += [(20 + k, "token=copied12 z") for k in range(4)]
+    rows = [(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(texts)]
+    out = {"é token=mine1234 end": "é <secret> end", "x token=first123 y token=second12": "x <secret> y <secret>", "password = third456": "<secret>"}
+    want = [(i, out.get(t, t), lang, s, len(out.get(t, t) or "")) for i, t, lang, s, n in rows]
+    got = corpus_pipeline.redact_secrets(spark, clashing(spark, rows), "").collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+
+
+def test_run(spark, tmp_path):
+    """The stages after one another, with and without rows."""
+    rows = permuted(3, 30)
+    rows += [(900, rows[0][1], "l000", "s", 0), (901, None, None, "s", 0), (902, rows[40][1] + " a phrase of the benchmark", "l001", "s", 0), (None, rows[70][1] + " password=hunter22", "l002", "s", 0)]
+    bench = spark.createDataFrame([(1, "a phrase of the benchmark")], "item_id long, text string")
+    for name, docs in (("full", rows), ("none", [])):
+        spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    # 902 is a near duplicate of 40, as is the row without an id of 70, which passes by its null id.
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([*range(90), None], key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
