@@ -14,7 +14,8 @@ No pair of single rows is ever a row of the plan.
 Defined results: ties go to the smaller id; a query with fewer than k rows
 gets all of them; null vectors have no code and are left out, null ids are
 rows but never queries; null components and missing ones count as not
-positive; repeated rows are answered each.  Other columns are ignored.
+positive; repeated rows are answered each.  The query's codes are as wide as
+the longest vector; its SQL compares the first DIMENSIONS components.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +166,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DI
 
 def op5_topk_search(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return search(rows, rows.where("vec_id % 100 = 0"))
+    longest = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return search(rows, rows.where("vec_id % 100 = 0"), dimensions=max(DIMENSIONS, longest))
 
 
 ORACLE = f"""

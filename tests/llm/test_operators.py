@@ -332,6 +332,15 @@ def test_topk_search(spark):
     assert topk_search.search(table.limit(0), table).count() == 0
 
 
+def test_topk_search_of_wide_vectors(spark, tmp_path):
+    """Components past the 64th count."""
+    vectors = [[1.0] * 64 + [1.0 if j < k else -1.0 for j in range(40)] for k in range(30)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["rank"], r.vec_id, r.distance) for r in topk_search.op5_topk_search(spark, str(tmp_path)).collect())
+    assert got == [(k + 1, k, k) for k in range(10)]
+    assert {r.distance for r in topk_search.search(*[spark.read.parquet(f"{tmp_path}/embeddings.parquet")] * 2).collect()} == {0}
+
+
 def test_digest_columns_read_from_output(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in chat_format.op1_chat_format(spark, str(tmp_path)).collect()}
