@@ -11,12 +11,16 @@ of those the smallest document id is found and sent back.
 Hashes travel packed: a message is one row per bucket and block of texts,
 with its arrays as bytes.  Before sending, each block keeps one entry for a
 hash (the smallest id), so a passage that a third of all documents hold costs
-one entry a block.
+one entry a block.  There is a bucket for each BUCKET_BYTES of text, and at
+least one for each shuffle partition.  Two windows are one if 96 bits of two
+hashes (and the bucket) agree; a document that is told of a window finds it
+again by 64 bits.
 
 Defined results: null and empty texts have no words; fewer than WINDOW words
 lose nothing; rows of equal id and text are judged alike (only a smaller id
-removes); a null id counts as the largest and is returned as null.  Other
-columns of the input are ignored.
+removes); a null id counts as the largest and is returned as null.  A very
+long text is judged whole: it is a chunk of its own, in the memory of one task.
+No rows give no rows.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it sends them, packed by bucket.
 FLUSH = 1 << 21
+#: Text for which there is one bucket; a bucket is held by one task, in about four times as much memory.
+BUCKET_BYTES = 64 << 20
 _U = np.uint64
 _LOW = (1 << 40) - 1
 
@@ -57,18 +63,30 @@ def _key(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (_bucket(hashes, buckets) << _U(40)) | (hashes & _U(_LOW))
 
 
+def _window_key(low: np.ndarray, high: np.ndarray, buckets: int) -> np.ndarray:
+    """By which a document finds a window of its own again: of bucket, 40 bits of the first and 56 of the second hash."""
+    return _named(_key(low, buckets), high & _U((1 << 56) - 1))
+
+
+def _named(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(keys) ^ mix(second ^ _U(0xD1B54A32D192ED03))
+
+
 def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word and two hashes of every window of a chunk."""
     at, low = words.runs(WINDOW)
     return at, low, run_hash(words.hashes, WINDOW, 0x9FB21C651E98DF25)[at]
 
 
-def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by hash, then id; true where a hash begins; true where the hash has several ids."""
-    order = np.lexsort((docs, hashes))
+def _least(hashes: np.ndarray, docs: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash (and second hash), then id; true where a hash begins; smallest id of the hash."""
+    order = np.lexsort((docs, hashes) if second is None else (docs, second, hashes))
     h, d = hashes[order], docs[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
+    if second is not None:
+        x = second[order]
+        new[1:] |= x[1:] != x[:-1]
     begin = np.flatnonzero(new)
     smallest = np.repeat(d[begin], np.diff(np.append(begin, len(h))))
     return order, new, smallest
@@ -153,7 +171,9 @@ class _Sender:
         hashes, docs = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
         second = np.concatenate([p[2] for p in self.parts]) if self.extended else None
         self.parts, self.held = [], 0
-        order, new, smallest = _least(hashes, docs)
+        if self.extended:
+            second &= _U((1 << 56) - 1)
+        order, new, smallest = _least(hashes, docs, second)
         h, d = hashes[order], docs[order]
         # Ids that share a hash inside this block are told at once; windows only tell the larger ids.
         if self.extended:
@@ -166,7 +186,8 @@ class _Sender:
                 several = np.repeat(np.add.reduceat(differs, begin) > 0, np.diff(np.append(begin, len(h))))
             known = several
         keys = _key(h, self.buckets)
-        told = np.stack([d[known].view(np.uint64), keys[known]], 1)
+        names = _named(keys, second[order]) if self.extended else keys
+        told = np.stack([d[known].view(np.uint64), names[known]], 1)
         h, d, keys = h[new], d[new], keys[new]
         bucket = _bucket(h, self.buckets).astype(np.int64)
         entries = keys & _U(_LOW)
@@ -176,7 +197,7 @@ class _Sender:
             entries = np.stack([entries | second << _U(40), second >> _U(24) & _U(0xFFFFFFFF)], 1)
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
         rows = [(b, *_packed(d[x:y], entries[x:y], self.width)) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-        names = ["bucket", "gaps", "counts", "entries", "told"]
+        columns = ["bucket", "gaps", "counts", "entries", "told"]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         if len(told):
             # What is known already passes through the exchange in even pieces.
@@ -186,7 +207,7 @@ class _Sender:
             rows = [(*r, np.stack([np.diff(p[:, 0], prepend=_U(0)), p[:, 1]], 1).tobytes()) for r, p in zip(rows, pieces)]
         else:
             rows = [(*r, b"") for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
 
 
 def _send_anchors(buckets: int):
@@ -257,8 +278,8 @@ def _meet(width: int, extended: bool, buckets: int):
             values = np.concatenate([p[1] for p in parts])
             keys = values[:, 0] & _U(_LOW)
             # Both hashes make the identity of a window.
-            identity = mix(keys) ^ mix(values[:, 0] >> _U(40) | values[:, 1] << _U(24)) if extended else keys
-            order, new, smallest = _least(identity, docs)
+            second = values[:, 0] >> _U(40) | values[:, 1] << _U(24) if extended else None
+            order, new, smallest = _least(keys, docs, second)
             d = docs[order]
             if extended:
                 reply = d > smallest
@@ -267,7 +288,8 @@ def _meet(width: int, extended: bool, buckets: int):
                 sizes = np.diff(np.append(begin, len(d)))
                 reply = np.repeat(np.add.reduceat(d != smallest, begin) > 0, sizes)
             if reply.any():
-                yield _parcels(d[reply], keys[order][reply] | (_U(bucket) << _U(40)), buckets)
+                names = keys[order][reply] | (_U(bucket) << _U(40))
+                yield _parcels(d[reply], _named(names, second[order][reply]) if extended else names, buckets)
 
     return run
 
@@ -282,8 +304,8 @@ def _cover(buckets: int):
             for at, n, data, offsets in chunks(batch.column(1)):
                 words = Words(data, offsets, SPACED, AS_IS)
                 counts, owner = words.counts(), words.owner()
-                where, low, _ = _windows(words)
-                hit = where[_told(owner[where], _key(low, buckets), shared, at, n)]
+                where, low, high = _windows(words)
+                hit = where[_told(owner[where], _window_key(low, high, buckets), shared, at, n)]
                 cover = np.zeros(len(words.starts) + 1, np.int64)
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + WINDOW, -1)
@@ -319,8 +341,8 @@ def _joined(words: Words, keep: np.ndarray) -> list[bytes]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
 
     def exchanged(messages, width, extended):
         met = messages.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet(width, extended, buckets), _PARCEL)

@@ -1,13 +1,17 @@
 """Vectorised word splitting and hashing over Arrow text columns.
 
 All word patterns used here are classes of bytes: separators are ASCII, so a
-word of a UTF-8 text is a run of bytes and no decoding is needed.  Word hashes
-are 64 bits, from prefix sums of a polynomial modulo 2**64 over random byte
-values, finished with a mixer.
+word of a UTF-8 text is a run of bytes and no decoding is needed.  A word hash
+has 64 bits: lanes of eight bytes pass one after another through a bijective
+mixer, from a state that depends on the length, so different words of up to
+eight bytes and equal length never collide; words beyond LONG bytes are hashed
+by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,10 +19,6 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
-def _mixed(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of 64-bit hashes."""
     x = x ^ (x >> _U(30))
@@ -42,18 +42,29 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 AS_IS = np.arange(256, dtype=np.uint8)
 
-_BASE = 0xD6E8FEB86659FD93
-_POWERS: dict = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+#: Words beyond so many bytes are hashed one by one.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end) of data, none of which is empty."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * _U(0xA0761D6478BD642F))
+    at, left = starts, np.where(lengths > LONG, 0, lengths)
+    which = np.flatnonzero(left)
+    if len(which) < len(starts):
+        at, left = at[which], left[which]
+    state = out[which]
+    while len(which):
+        state = mix((state ^ (lanes[at] & _MASKS[np.minimum(left, 8)])) + _U(0x9E3779B97F4A7C15))
+        out[which] = state
+        more = np.flatnonzero(left > 8)
+        which, at, left, state = which[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -65,7 +76,8 @@ class Words:
         """data: bytes; offsets: ends of the texts in it, from 0 on."""
         n = len(data)
         inside = np.zeros(n + 1, bool)
-        inside[:n] = table[fold[data]]
+        folded = data if fold is AS_IS else fold[data]
+        inside[:n] = table[folded]
         edge = np.empty(n + 1, bool)
         edge[0] = False
         edge[1:] = inside[:-1]
@@ -81,12 +93,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets, "left")
         self.hashes = None
         if hashed:
-            up, down = _powers(n + 1)
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTES[fold[data]] * up[:n], out=sums[1:])
-            raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            self.hashes = mix(raw + (self.ends - self.starts).astype(np.uint64) * _U(0xA0761D6478BD642F))
+            self.hashes = word_hashes(folded, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -105,9 +112,6 @@ class Words:
         return at, run_hash(self.hashes, k)[at]
 
 
-_BYTES = _mixed(256, 7)
-
-
 def run_hash(hashes: np.ndarray, k: int, seed: int = 0x8CB92BA72F3D8DD7) -> np.ndarray:
     """Hashes of all runs of k values; those that would pass the end are left unspecified."""
     out = np.zeros(len(hashes), np.uint64)
