@@ -1,22 +1,23 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Method: the index is partitioned by document.  Each segment, of some megabytes
-of text, holds sorted postings (term, word position) of its documents and a
-directory of their ids and lengths; segments are stored as a table in the
-shared folder.  A search takes the phrases of the test items, finds for each
-segment how often each term occurs there, drops phrases with an absent term,
-begins with the postings of a phrase's rarest term, and intersects the other
-terms' offset-adjusted lists from rare to frequent.  No posting is shuffled
-and no term, however frequent, gathers in one place.
-
-Test items are sent to all tasks in blocks of at most about ITEM_BYTES of
-text; a larger benchmark is searched block by block.  With a single block,
-terms outside its vocabulary can match nothing and are not stored.
+of text, holds sorted postings (term, word position) of all words of its
+documents and a directory of their ids and lengths; segments are stored as a
+table in the shared folder.  A search takes the phrases of the test items,
+finds for each segment how often each term occurs there, drops phrases with an
+absent term, begins with the postings of a phrase's rarest term, and
+intersects the other terms' offset-adjusted lists from rare to frequent.  No
+posting is shuffled and no term, however frequent, gathers in one place.
+
+Test items are sent to all tasks in blocks of about ITEM_BYTES of text, one
+block after another: the driver holds one block at a time, and a larger
+benchmark takes more passes over the same index.  Terms are 64-bit hashes.
 
 Defined results: null or empty texts have no words and no hits; items without
 words or with a null id match nothing; repeated items count once by id;
-repeated documents are returned each; an empty benchmark gives no hits.  Other
-columns of the inputs are ignored.
+repeated documents are returned each; an empty benchmark gives no hits, and no
+documents give no rows.  A very long text is a segment of its own, searched
+whole.  Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -30,102 +31,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored, table
-from .tokens import ALNUM, LOWER, Words, chunks
+from .tokens import ALNUM, LOWER, Words, chunks, run_hash
 
 PHRASE = 10
 SEGMENT_BYTES = 4 << 20
-ITEM_BYTES = 4 << 20
+ITEM_BYTES = 1 << 20
 _INDEX = "segment long, ids binary, nulls binary, lengths binary, terms binary, begins binary, positions binary"
 _U = np.uint64
 
 
-class _Vocabulary:
-    """Maps hashes to positions in a sorted list of terms; a table of 20 bits answers most."""
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(terms >> _U(44)).astype(np.int64)] = True
-
-    def among(self, hashes: np.ndarray) -> np.ndarray:
-        """Indexes of the hashes that are terms."""
-        at = np.flatnonzero(self.seen[(hashes >> _U(44)).astype(np.int64)])
-        if not len(self.terms):
-            return at[:0]
-        h = hashes[at]
-        return at[self.terms[np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)] == h]
-
-
-def _segment(number: int, ids: list, lengths: np.ndarray, hashes: np.ndarray, positions: np.ndarray) -> list:
-    terms, rank = np.unique(hashes, return_inverse=True)
-    order = np.argsort(rank.astype(np.uint64) << _U(32) | positions.astype(np.uint64))
-    begins = np.searchsorted(rank[order], np.arange(len(terms) + 1))
+def _segment(number: int, ids: list, lengths: np.ndarray, hashes: np.ndarray) -> list:
+    """Postings sorted by term, then position: words are numbered through the segment."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+    terms, begins = hashes[begins], np.append(begins, len(hashes))
     real = np.array([x if x is not None else 0 for x in ids], np.int64)
     nulls = np.array([x is None for x in ids], bool)
-    return [number, real.tobytes(), nulls.tobytes(), lengths.astype(np.int64).tobytes(), terms.tobytes(), begins.astype(np.int64).tobytes(), positions[order].astype(np.uint32).tobytes()]
+    return [number, real.tobytes(), nulls.tobytes(), lengths.astype(np.int64).tobytes(), terms.tobytes(), begins.astype(np.int64).tobytes(), order.astype(np.uint32).tobytes()]
 
 
-def _indexer(vocabulary: np.ndarray | None):
+def _index(batches):
     names = [x.split()[0] for x in _INDEX.split(", ")]
     kinds = [pa.int64()] + [pa.binary()] * 6
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at, n, data, offsets in chunks(batch.column(1), SEGMENT_BYTES):
+            lengths, hashes = [], []
+            for _, _, part, ends in chunks(batch.column(1).slice(at, n)):
+                words = Words(part, ends, ALNUM, LOWER)
+                lengths.append(words.counts())
+                hashes.append(words.hashes)
+            hashes = np.concatenate(hashes)
+            row = _segment(number, batch.column(0).slice(at, n).to_pylist(), np.concatenate(lengths), hashes)
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stored(docs.mapInArrow(_index, _INDEX), "positional-index")
 
-    def run(batches):
-        known = None if vocabulary is None else _Vocabulary(vocabulary)
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at, n, data, offsets in chunks(batch.column(1), SEGMENT_BYTES):
-                lengths, hashes, positions, base = [], [], [], 0
-                column = batch.column(1).slice(at, n)
-                for _, _, part, ends in chunks(column):
-                    words = Words(part, ends, ALNUM, LOWER)
-                    keep = np.arange(len(words.hashes)) if known is None else known.among(words.hashes)
-                    lengths.append(words.counts())
-                    hashes.append(words.hashes[keep])
-                    positions.append(keep + base)
-                    base += len(words.hashes)
-                row = _segment(number, batch.column(0).slice(at, n).to_pylist(), np.concatenate(lengths), np.concatenate(hashes), np.concatenate(positions))
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
-
-    return run
 
+class Phrases:
+    """Phrases of one length: term hashes by row, and the items that have them."""
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The stored index of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(docs.mapInArrow(_indexer(vocabulary), _INDEX), "positional-index")
+    def __init__(self, rows: np.ndarray, items: np.ndarray):
+        _, first, same = np.unique(run_hash(rows.ravel(), rows.shape[1])[:: rows.shape[1]], return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([same, items], 1), axis=0)
+        self.terms, self.column = np.unique(rows[first], return_inverse=True)
+        self.column = self.column.reshape(len(first), rows.shape[1])
+        self.items, self.begins = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
 
 
-def phrases(items: list[tuple[str, str]]) -> tuple[list[str], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Names of the items, and by length: a matrix of term hashes and the item of each of its rows."""
+def phrases(items: list[tuple[str, str]]) -> tuple[list[str], dict[int, Phrases]]:
+    """Names of the items, and by length the phrases."""
     names = sorted({i for i, _ in items})
     rank = {x: k for k, x in enumerate(names)}
-    found: dict[int, set] = {}
-    texts = pa.array([t for _, t in items], pa.string())
-    for at, n, data, offsets in chunks(texts):
+    own = np.array([rank[i] for i, _ in items], np.int64)
+    found: dict[int, list] = {}
+    for at, n, data, offsets in chunks(pa.array([t for _, t in items], pa.string())):
         words = Words(data, offsets, ALNUM, LOWER)
-        for k in range(n):
-            h = words.hashes[words.first[k] : words.first[k + 1]].tolist()
-            size = min(PHRASE, len(h))
-            for x in range(len(h) - size + 1) if h else ():
-                found.setdefault(size, set()).add((tuple(h[x : x + size]), rank[items[at + k][0]]))
-    return names, {size: (np.array([p for p, _ in s], np.uint64).reshape(-1, size), np.array([i for _, i in s])) for size, s in found.items()}
+        counts, owner = words.counts(), words.owner()
+        for size in np.unique(np.minimum(counts, PHRASE)).tolist():
+            if size:
+                # Shorter items are one phrase; of the others each run of words is one.
+                starts = np.flatnonzero(np.arange(len(owner)) + size <= words.first[1:][owner])
+                starts = starts[(counts[owner[starts]] == size) | (size == PHRASE)]
+                found.setdefault(size, []).append((words.hashes[starts[:, None] + np.arange(size)], own[at + owner[starts]]))
+    return names, {size: Phrases(*(np.concatenate(x) for x in zip(*parts))) for size, parts in found.items()}
 
 
-def occurrences(terms, begins, positions, firsts, lasts, wanted, slop: int = 0):
+def occurrences(terms, begins, positions, keys, firsts, lasts, wanted: Phrases, slop: int = 0):
     """Where phrases occur in a segment: row of `wanted` and position of the first word.
 
-    firsts and lasts bound the document of a position.  With slop, each word
-    may stand up to so many words from its place, within its document.
+    keys are terms and positions as one number; firsts and lasts bound the
+    document of a position.  With slop, each word may stand up to so many
+    words from its place, within its document.
     """
     none = np.empty(0, np.int64), np.empty(0, np.int64)
     if not len(terms):
         return none
-    rank = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
-    rows = np.flatnonzero((terms[rank] == wanted).all(1))
+    at = np.minimum(np.searchsorted(terms, wanted.terms), len(terms) - 1)
+    size = wanted.column.shape[1]
+    rows = np.flatnonzero((terms[at] == wanted.terms)[wanted.column].all(1))
     if not len(rows):
         return none
-    rank = rank[rows]
+    rank = at[wanted.column[rows]]
     often = begins[rank + 1] - begins[rank]
     order = np.argsort(often, axis=1, kind="stable")
     rare = np.take_along_axis(rank, order[:, :1], 1)[:, 0]
@@ -135,10 +128,9 @@ def occurrences(terms, begins, positions, firsts, lasts, wanted, slop: int = 0):
     at = positions[np.repeat(begins[rare], sizes) + step].astype(np.int64)
     start = at - order[row, 0]
     low, high = firsts[at], lasts[at]
-    keys = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(begins)) << 32 | positions
-    fits = (start + slop >= low) & (start + wanted.shape[1] - slop <= high)
+    fits = (start + slop >= low) & (start + size - slop <= high)
     row, start, low, high = row[fits], start[fits], low[fits], high[fits]
-    for k in range(1, wanted.shape[1]):
+    for k in range(1, size):
         if not len(row):
             return none
         place = start + order[row, k]
@@ -150,24 +142,30 @@ def occurrences(terms, begins, positions, firsts, lasts, wanted, slop: int = 0):
     return rows[row], start
 
 
-def _searcher(names: list[str], wanted: dict, slop: int):
+def _searcher(block: list[tuple[str, str]], slop: int):
     def run(batches):
+        names, wanted = phrases(block)
         for batch in batches:
             for k in range(batch.num_rows):
                 number, *raw = (c[k].as_py() for c in batch.columns)
                 ids, nulls, lengths, terms, begins, positions = (np.frombuffer(x, t) for x, t in zip(raw, (np.int64, bool, np.int64, np.uint64, np.int64, np.uint32)))
                 ends = np.cumsum(lengths)
                 firsts, lasts = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
+                keys = np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(begins)) << 32 | positions
                 hit, pairs = np.zeros(len(firsts) + 1, np.int64), []
-                for size, (matrix, items) in wanted.items():
-                    row, start = occurrences(terms, begins, positions, firsts, lasts, matrix, slop)
+                for size, own in wanted.items():
+                    row, start = occurrences(terms, begins, positions, keys, firsts, lasts, own, slop)
                     if not len(row):
                         continue
                     place = np.maximum(start, 0)
                     np.add.at(hit, place, 1)
                     np.add.at(hit, np.minimum(start + size, len(firsts)), -1)
                     owner = np.searchsorted(ends, np.minimum(place, len(firsts) - 1), "right")
-                    pairs.append(np.unique(owner * len(names) + items[row]))
+                    # Each occurrence counts for every item that has the phrase.
+                    seen = np.unique(np.stack([owner, row], 1), axis=0)
+                    many = own.begins[seen[:, 1] + 1] - own.begins[seen[:, 1]]
+                    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    pairs.append(np.unique(np.repeat(seen[:, 0], many) * len(names) + own.items[np.repeat(own.begins[seen[:, 1]], many) + step]))
                 words = np.flatnonzero(np.cumsum(hit)[:-1] > 0)
                 owner = np.searchsorted(ends, words, "right")
                 cut = np.searchsorted(owner, np.arange(len(ids) + 1))
@@ -194,13 +192,12 @@ _FOUND = "doc_id long, segment long, row long, n_words long, hits array<long>, i
 
 
 def item_blocks(items: DataFrame):
-    """The items (id as string, text) in blocks of at most about ITEM_BYTES of text, each small enough to send."""
+    """The items (id as string, text) in blocks of about ITEM_BYTES of text, each small enough to send."""
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // (ITEM_BYTES // 2)) or 1
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES) or 1
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in block.collect()]
+        yield n, [tuple(r) for r in block.collect()]
 
 
 def search(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
@@ -208,15 +205,15 @@ def search(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
 
     slop 0 finds exact phrases; more finds proximity matches.
     """
-    blocks = [phrases(block) for block in item_blocks(items)]
-    vocabulary = None
-    if len(blocks) == 1:
-        vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(m.ravel() for m, _ in blocks[0][1].values())]))
-    index = build_index(docs, vocabulary)
-    found = [index.mapInArrow(_searcher(names, wanted, slop), _FOUND) for names, wanted in blocks]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "hits", "items")
-    merged = reduce(DataFrame.unionByName, found).groupBy("segment", "row").agg(
+    index, found = build_index(docs), []
+    for n, block in item_blocks(items):
+        hits = index.mapInArrow(_searcher(block, slop), _FOUND)
+        if n == 1:
+            return hits.select("doc_id", "n_words", "hits", "items")
+        found.append(stored(hits, "positional-hits"))
+    # Rows without a hit are told by the first block alone.
+    parts = [found[0], *(f.where("size(hits) > 0") for f in found[1:])]
+    merged = reduce(DataFrame.unionByName, parts).groupBy("segment", "row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
