@@ -10,19 +10,26 @@ pairs that are almost surely below the threshold are dropped, and the others
 are confirmed on the full sets of both texts.
 
 Documents of equal sets are one group before anything else, so thousands of
-copies cost one sketch.  Documents that meet in a band are tied to the band's
-smallest id, never to each other; the components of these ties hold every
-candidate pair.  A component is cut into blocks of documents, and each pair of
-blocks is one unit of work that estimates and confirms all its pairs with
-array operations and returns a spanning forest of the links, so a large family
-of similar texts is spread over many tasks and its pairs are never rows.  A
+copies cost one sketch.  Documents that meet in a band are judged by their
+sketches alone: first each with the band's smallest id; a band that holds a
+document which is implausible with that is cut into blocks, and all its pairs
+of blocks are judged.  Plausible pairs (a spanning forest of those of a pair of
+blocks) are ties, and the components of ties are families: every pair that
+meets and may be linked is in one family, while chains of texts of low
+similarity are none.  A family is cut into blocks of documents, and each pair
+of blocks is one unit of work that confirms all its plausible pairs on full
+sets with array operations and returns a spanning forest of the links, so a
+large family of similar texts is spread over many tasks and its pairs are never
+rows.  Keys that more than a thousandth of all rows share are joined apart.  A
 pair of similarity 0.75 meets in no band with probability
 (1 - 0.75**ROWS) ** BANDS < 2e-6.
 
 Defined results: null or empty texts have an empty set and link with nothing;
 a text of fewer than SHINGLE words is one shingle; repeated rows are returned
 each; a row whose id is null links with nothing, has a null component and is
-kept.  Other columns of the input are ignored.
+kept; pairs of exactly 75 percent are linked.  A very long text is sketched
+whole, in the memory of one task.  No rows give no rows.  Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored, table
+from .shared import components, hot_join, stored, table
 from .tokens import LOWER, SPACED, Words, chunks, mix, run_hash
 
 SHINGLE = 5
@@ -43,6 +50,8 @@ BASE, RATE = 1.001, 20.0
 SURELY = 32.0
 #: Documents, and shingles, of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
+#: Sketches of a block of a band.
+BLOCK_SKETCHES = 512
 _U = np.uint64
 
 
@@ -105,22 +114,82 @@ def log_likelihood(j: np.ndarray, n_a, n_b, more, fewer) -> np.ndarray:
     return more * np.log(up) + fewer * np.log(down) + (REGISTERS - more - fewer) * np.log(np.maximum(1 - up - down, 1e-12))
 
 
+def _plausible(a, n_a, b, n_b, percent: int) -> np.ndarray:
+    """Of sketches a and b, row by row: true unless their similarity is surely below the threshold."""
+    n_a, n_b = np.broadcast_to(n_a, len(b)).astype(float), np.broadcast_to(n_b, len(b)).astype(float)
+    more, fewer = (a > b).sum(1), (a < b).sum(1)
+    least, top = percent / 100, np.minimum(n_a, n_b) / np.maximum(n_a, n_b)
+    here = log_likelihood(np.minimum(least, top), n_a, n_b, more, fewer)
+    below = np.max([log_likelihood(np.minimum(x, top), n_a, n_b, more, fewer) for x in np.linspace(0, least, 16)], axis=0)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (2 * (below - here) <= SURELY)
+
+
 def plausible(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Matrix over sketches a and b: true unless a pair's similarity is surely below the threshold."""
     out = 100 * np.minimum(n_a[:, None], n_b) >= percent * np.maximum(n_a[:, None], n_b)
-    least = percent / 100
     for i in np.flatnonzero(out.any(1)).tolist():
         at = np.flatnonzero(out[i])
-        other = b[at]
-        more, fewer = (a[i] > other).sum(1), (a[i] < other).sum(1)
-        n = float(n_a[i]), n_b[at].astype(float)
-        top = np.minimum(*n) / np.maximum(*n)
-        here = log_likelihood(np.minimum(least, top), *n, more, fewer)
-        below = np.max([log_likelihood(np.minimum(x, top), *n, more, fewer) for x in np.linspace(0, least, 16)], axis=0)
-        out[i, at] = 2 * (below - here) <= SURELY
+        out[i, at] = _plausible(a[i], n_a[i], b[at], n_b[at], percent)
     return out
 
 
+def _judged(percent: int):
+    """Whether the sketches of each row (a, n_a, regs_a, b, n_b, regs_b) are plausible."""
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(k).to_numpy().astype(float) for k in (1, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 5))
+            ok = _plausible(x, n_a, y, n_b, percent) if len(n_a) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(ok)], ["a", "b", "ok"])
+
+    return run
+
+
+def _ties(percent: int):
+    """Of each pair of blocks of a band (key, p, q, own, doc_id, n, regs): a spanning forest of the plausible pairs."""
+
+    def forest(rows: list) -> list:
+        p, q = rows[0][1:3]
+        first = [r for r in rows if r[3] == p]
+        rows = [*first, *(r for r in rows if r[3] != p)]
+        names, n = [r[4] for r in rows], np.array([r[5] for r in rows], float)
+        regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        part, group, out = np.array([r[3] for r in rows]), np.arange(len(rows)), []
+        # The first of the second block goes first, so that a band of near copies is settled after two rows.
+        order = range(len(rows)) if p == q else [*range(len(first), len(rows))[:1], *range(len(first))]
+        for i in order:
+            other = np.flatnonzero(group != group[i])
+            if p != q:
+                other = other[part[other] != part[i]]
+            if len(other):
+                near = other[_plausible(regs[i][None], n[i], regs[other], n[other], percent)]
+                _, at = np.unique(group[near], return_index=True)
+                out += [(names[i], names[j]) for j in near[at].tolist()]
+                group[np.isin(group, group[near])] = group[i]
+            if (group == group[0]).all():
+                break
+        return out
+
+    def run(batches):
+        held: list = []
+
+        def done(rows):
+            out = forest(rows)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
+
+    return run
+
+
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of two lists, by products of incidence matrices."""
     both = [*left, *right]
@@ -197,32 +266,55 @@ def _pairs_of_blocks(percent: int):
     return run
 
 
+def ties(reps: DataFrame, percent: int = 75) -> DataFrame:
+    """Pairs (a, b) of reps (doc_id, n_shingles, regs) whose components hold every plausible pair that meets in a band."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * F.lit(2 * ROWS) + F.lit(1), F.lit(2 * ROWS))))
+    bands = reps.select("doc_id", F.explode(keys).alias("key"))
+    crowded = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last")
+    crowded = stored(crowded.select("key", "hub", "n"), "near-bands")
+    met = stored(hot_join(bands, crowded, ["key"], "n").where("doc_id <> hub"), "near-met")
+
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    pairs = met.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # A hub is in no more pairs than its bands have members.
+    hubs = stored(crowded.groupBy(F.col("hub").alias("b")).agg(F.sum("n").alias("n")).join(side("b"), "b"), "near-hubs")
+    sketched = hot_join(pairs.join(side("a"), "a"), hubs, ["b"], "n").select("a", "n_a", "regs_a", "b", "n_b", "regs_b")
+    judged = stored(sketched.mapInArrow(_judged(percent), "a long, b long, ok boolean"), "near-judged")
+
+    # Bands with a document that isn't plausible with the hub: all their pairs are judged.
+    apart = judged.where("not ok").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
+    mixed = stored(met.where("n > 2").join(apart, ["doc_id", "hub"]).select("key", "n").distinct(), "near-mixed")
+    members = met.select("key", "doc_id").unionByName(crowded.select("key", F.col("hub").alias("doc_id")))
+    cut = F.ceil(F.col("n") / BLOCK_SKETCHES).cast("long")
+    units = hot_join(members, mixed, ["key"], "n").join(reps, "doc_id").withColumn("blocks", cut)
+    units = units.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    units = units.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs")
+    units = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return judged.where("ok").select("a", "b").unionByName(units.mapInArrow(_ties(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(docs.mapInArrow(_sketch, _SKETCH), "near-sketches")
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
     same = ["low", "high", "n_shingles"]
-    groups = linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    groups = linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = linkable.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * F.lit(2 * ROWS) + F.lit(1), F.lit(2 * ROWS))))
-    bands = reps.select("doc_id", F.explode(keys).alias("key"))
-    crowded = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("key", "hub")
-    ties = bands.join(crowded, "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    families = components(ties, "near-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
+    families = components(ties(reps, percent), "near-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
 
     sized = families.join(linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    sized = sized.select("family", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    rows = linkable.select("doc_id", "n_shingles", "regs").join(families, "doc_id").join(sized, "family").join(docs, "doc_id")
+    sized = stored(sized.select("family", "docs", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "near-sizes")
+    rows = hot_join(linkable.select("doc_id", "n_shingles", "regs").join(families, "doc_id"), sized, ["family"], "docs").join(docs, "doc_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs", "text")
     rows = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
     labels = components(rows.mapInArrow(_pairs_of_blocks(percent), "a long, b long"), "near-labels")
 
-    of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("of"))
-    result = sketches.select("doc_id", *same).join(of_group, same, "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id")
-    return result.select("doc_id", "n_shingles", own).withColumn("kept", F.expr("doc_id <=> component_id"))
+    of_group = stored(groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, "n", F.coalesce("label", "rep").alias("of")), "near-classes")
+    classed = hot_join(linkable.select("doc_id", *same), of_group, same, "n").select("doc_id", "n_shingles", F.col("of").alias("component_id"))
+    alone = sketches.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return classed.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,12 +19,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; set here only where the session has none."""
+    """The folder that all machines share; set here only where the session has none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         folder = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -38,25 +40,48 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: A key is hot beyond this share of all rows (so there are at most as many hot keys as its inverse), and this many rows.
+HOT_SHARE, HOT_ROWS = 1e-3, 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Joins rows with facts, of which there is one for a key; column `count` of facts says how many rows have the key.
+
+    The facts of hot keys, at most 1 / HOT_SHARE, are sent to the rows; only the
+    others are joined by a shuffle, so no task gets more of one key than that.
+    """
+    total, most = facts.agg(F.sum(count), F.max(count)).first()
+    bar = max(HOT_ROWS, int((total or 0) * HOT_SHARE))
+    if (most or 0) <= bar:
+        return rows.join(facts, keys, how)
+    hot = F.broadcast(facts.where(F.col(count) > bar))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(facts.where(F.col(count) <= bar), keys, how))
+
+
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (node, label) with the smallest node as label.
 
     Alternates large and small stars: each round links every node's larger
     neighbours, then its smaller ones, to the smallest, until every component
-    is a star.  Each round aggregates per node with map-side combining and is
-    written to the shared folder.
+    is a star.  Each round aggregates per node with map-side combining, joins
+    the hubs of large stars apart from the others, and is written to the shared
+    folder.
     """
     swapped = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     for _ in range(most):
         both = edges.unionByName(swapped(edges))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        # Only a graph of more than HOT_ROWS edges can have a hot node.
+        beside = hot_join(both, stored(least, f"{name}-least"), ["a"], "n") if edges.count() > HOT_ROWS else both.join(least, "a")
+        large = beside.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # A node has as many larger neighbours as there are least ones beside it, rarely more than a few.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
         forked = edges.groupBy("a").count().where("count > 1").select("a")
-        chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        chained = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
         if forked.unionByName(chained).isEmpty():
             break
     else:
