@@ -14,12 +14,15 @@ No pair of single rows is ever a row of the plan.
 Defined results: ties go to the smaller id; a query with fewer than k rows
 gets all of them; null vectors have no code and are left out, null ids are
 rows but never queries; null components and missing ones count as not
-positive; repeated rows are answered each.  The query's codes are as wide as
-the longest vector; its SQL compares the first DIMENSIONS components.  Other columns are ignored.
+positive; repeated rows are answered each; no rows or no queries give no rows.
+A very long vector is as wide as its components, all of which count in
+op5_topk_search; its SQL compares the first DIMENSIONS components.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -56,7 +59,7 @@ def _packer(dimensions: int, size: int):
 
         def row():
             own, codes = (np.concatenate(x) for x in zip(*held))
-            name = int(own.min()) * 31 + len(own)
+            name = int.from_bytes(hashlib.blake2b(own.tobytes() + codes.tobytes(), digest_size=8).digest(), "big", signed=True)
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], ["block", "ids", "codes"])
 
         for batch in batches:
@@ -152,13 +155,13 @@ def _searcher(k: int):
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, dimensions: int = DIMENSIONS) -> DataFrame:
     """query_id, rank, vec_id, distance: the k rows nearest to each query, both (vec_id, embedding)."""
-    spark = rows.sparkSession
-    slots = partitions(spark)
+    slots = partitions(rows.sparkSession)
     pick = lambda d: d.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     index = stored(pick(rows).mapInArrow(_packer(dimensions, INDEX_ROWS), _PACKED), "hamming-index").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
     asked = pick(queries).where("vec_id is not null").mapInArrow(_packer(dimensions, QUERY_ROWS), _PACKED)
-    asked = asked.select(F.explode(F.expr(f"sequence(0L, {slots - 1}L)")).alias("slot"), F.col("ids").alias("asked"), F.col("codes").alias("wanted"))
-    pairs = index.join(asked, "slot").select("ids", "codes", "asked", "wanted")
+    asked = asked.select(F.explode(F.expr(f"sequence(0L, {slots - 1}L)")).alias("slot"), F.col("block").alias("query_block"), F.col("ids").alias("asked"), F.col("codes").alias("wanted"))
+    # Each pair of blocks is a unit of work of its own; those of one index block follow each other.
+    pairs = index.join(asked, "slot").repartition(slots, "block", "query_block").sortWithinPartitions("block").select("ids", "codes", "asked", "wanted")
     near = pairs.mapInArrow(_searcher(k), "query_id long, vec_id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")).cast("long")
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
