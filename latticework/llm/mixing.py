@@ -14,9 +14,11 @@ All of it is DataFrame expressions; only sums by source and shard are windowed
 over, and documents are ordered within their shard alone.
 
 Defined results: null and empty texts have size 0 and give 0 words; a null
-source is a source of its own, ordered last; null ids are allowed and repeated
-rows count each; no rows or no words give zero targets.  Other columns of the
-input are ignored.
+source is a source of its own, ordered last; rows with a null id are drawn by
+their text; repeated rows count each; equal quotients go to the first source or
+shard; no rows give no rows, and no words give zero targets.  A very long text
+may be taken in part, by blocks.  Other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -77,10 +79,16 @@ def apportion(rows: DataFrame, claim: str, house: str, by: list[str], order: lis
     return x.join(won, same, "left").select(*[x[c] for c in rows.columns], (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias(seats))
 
 
+def _draw(seed: int):
+    """A seeded number of a row: by its id, or by its text where it has none."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit(seed))).otherwise(F.col("drawn"))
+
+
 def mix(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source)."""
-    docs = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source")
-    parts = docs.groupBy("source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).alias("drawn")
+    docs = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "source", drawn)
+    parts = docs.groupBy("source", F.pmod(_draw(seed), F.lit(1 << 20)).alias("slot")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = parts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs"))
     shards_of = F.ceil(F.col("n_docs") / SHARD_DOCS).cast("long").alias("n_shards")
     shares = targets(sources.select("source", "source_size"), cap)
@@ -103,9 +111,9 @@ def mix(docs: DataFrame, block: int = BLOCK, cap: int = CAP, seed: int = SEED) -
     wrap = F.least(F.greatest(F.col("start") + F.col("extra") - F.col("n_blocks"), F.lit(0)) * block, F.col("cell"))
     cells = cells.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "source_size", "target", "times", first.alias("first"), last.alias("last"), wrap.alias("wrap"))
 
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
-    placed = docs.withColumn("slot", slot).join(named, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source", shard)
-    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slot = F.pmod(_draw(seed), F.lit(1 << 20))
+    placed = docs.withColumn("slot", slot).join(named, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source", "drawn", shard)
+    line = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "drawn", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
     out = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     overlap = lambda a, b: F.greatest(F.least("end", b) - F.greatest("begin", a), F.lit(0))
