@@ -16,13 +16,16 @@ does not fall with the number of languages.
 
 Every language is learned.  The sample is bounded and taken by a hash of the
 ids over all learning rows; with more than ROWS / SAMPLE languages each has
-fewer texts and landmarks, at least LEAST_ROWS and one, so from there on the
-cost of a language is fixed.  What travels to the driver is presence bits, a
-fixed number for each text.
+fewer texts (LEAST_ROWS at least) and with more than MARKS / LANDMARKS fewer
+landmarks.  What travels to the driver is presence bits, 2 KB for each text.
+Its memory is MARKS vectors (128 MB), two square matrices of MARKS (64 MB) and,
+for each language, 64 KB of the result and 24 KB of presence bits.
 
 Defined results: a text that is null or has no letter is `und` with score 0;
-with nothing to learn from, all are `und`.  Null ids count as held in;
-repeated rows are predicted each.  Other columns are ignored.
+with nothing to learn from, all are `und`; of languages of equal score the
+first by name is predicted.  Null ids count as held in; repeated rows are
+predicted each; a very long text is one presence vector of all of it.  No rows
+give no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ LANDMARKS = 64
 SAMPLE = 256
 RIDGE = 1e-2
 SHARPNESS = 4.0
-ROWS = 8192
+#: Sample texts and landmarks of all languages together.
+ROWS, MARKS = 8192, 2048
 LEAST_ROWS = 12
 _BLOCK_ROWS = 128
 
@@ -90,7 +94,7 @@ def _features(batches):
     for batch in batches:
         for at, n, data, offsets in chunks(batch.column(1), rows=_BLOCK_ROWS):
             bits = np.packbits(presence(data, offsets), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([b.tobytes() for b in bits], pa.binary()), batch.column(2).slice(at, n)], ["lang", "bits", "h"])
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
@@ -115,29 +119,39 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, n
     names = sorted(counts)
     if not names:
         return [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0)
-    landmarks = max(1, min(LANDMARKS, ROWS * LANDMARKS // SAMPLE // len(names)))
+    landmarks = max(1, min(LANDMARKS, MARKS // len(names)))
     sample = min(sample, max(LEAST_ROWS, ROWS // len(names)))
-    # Twice the share that is wanted, by hash, and then the first of these.
+    # Twice the share that is wanted, by a hash of the ids, and of these the first by that hash.
     spread = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2 * sample / counts[k]) * (1 << 30))) for k in names], "lang string, share long")
-    picked = docs.join(F.broadcast(shares), "lang").where(spread < F.col("share"))
-    rows = picked.select("lang", "text").mapInArrow(_features, "lang string, bits binary").toPandas()
-    rows = rows.sort_values(["lang", "bits"]).groupby("lang").apply(lambda g: g.iloc[:: max(1, len(g) // sample)].head(sample), include_groups=False).reset_index()
+    picked = docs.withColumn("h", spread).join(F.broadcast(shares), "lang").where("h < share")
+    rows = picked.select("lang", "text", "h").mapInArrow(_features, "lang string, bits binary, h long").toPandas()
+    rows = rows.sort_values(["lang", "h", "bits"]).groupby("lang").head(sample).reset_index(drop=True)
     bits = np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])
-    y = np.where(rows["lang"].to_numpy()[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    marks = np.concatenate([np.flatnonzero(rows["lang"] == k)[:: max(1, (rows["lang"] == k).sum() // landmarks)][:landmarks] for k in names])
+    own = np.searchsorted(names, rows["lang"])
+    # The first texts of each language by hash; with more than MARKS languages, those of an even part of them.
+    first = np.flatnonzero(rows.groupby("lang").cumcount().to_numpy() < landmarks)
+    marks = first[:: max(1, -(-len(first) // MARKS))]
     x = _unit(bits[marks])
-    # By blocks, so that many languages don't need all presence vectors at once.
-    k_nm = np.concatenate([(_unit(bits[at : at + 1024]) @ x.T).astype(np.float64) for at in range(0, len(bits), 1024)])
-    values, vectors = np.linalg.eigh(k_nm[marks])
+    values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = k_nm @ root
+
+    def blocks():
+        """Nystroem features by blocks of rows, so that many languages don't need all vectors at once."""
+        for at in range(0, len(bits), 1024):
+            yield slice(at, at + 1024), (_unit(bits[at : at + 1024]) @ x.T).astype(np.float64) @ root
+
     # A constant feature takes up the share of each language; classes weigh alike.
-    own = np.searchsorted(names, rows["lang"])
-    weight = (1 / np.bincount(own))[own][:, None] * len(rows) / len(names)
-    w = np.linalg.solve(phi.T @ (weight * phi) + RIDGE * len(rows) * np.eye(phi.shape[1]), phi.T @ (weight * y))
-    leads = np.bincount(own, weights=lead(phi @ w)[np.arange(len(own)), own]) / np.bincount(own)
+    weight = (1 / np.bincount(own))[own] * len(rows) / len(names)
+    square, product = np.zeros((keep.sum(), keep.sum())), np.zeros((keep.sum(), len(names)))
+    for at, phi in blocks():
+        y = np.where(own[at][:, None] == np.arange(len(names)), 1.0, -1.0) * weight[at][:, None]
+        square += phi.T @ (weight[at][:, None] * phi)
+        product += phi.T @ y
+    w = np.linalg.solve(square + RIDGE * len(rows) * np.eye(len(square)), product)
+    reach = np.concatenate([lead(phi @ w)[np.arange(len(phi)), own[at]] for at, phi in blocks()])
+    leads = np.bincount(own, weights=reach) / np.bincount(own)
     return names, (x.T @ (root @ w)).astype(np.float32), np.maximum(leads, 1e-9)
 
 
