@@ -5,18 +5,22 @@ three word shapes (case, last character, length, whether a word or a run of
 three repeats).  For each n-gram the log ratio of its counts in both classes
 is taken over all labelled learning rows; indicators are scaled by these
 ratios, and a linear model with hinge loss is fitted by dual coordinate
-descent on at most SAMPLE labelled rows, chosen by a hash of the ids.  A
+descent on about SAMPLE labelled rows, chosen by a hash of the ids, of which a
+class of few rows gets up to half.  A
 logistic curve, fitted on a part of the sample that the model hasn't seen,
 turns margins into scores.
 
 Counts are made per task before they are summed by n-gram; the driver gets one
-row for each of DIMENSIONS n-grams and the sample's n-grams.
+row for each of DIMENSIONS n-grams and the sample's n-grams.  The sample's ids
+are the only table that is sent to all tasks; where a class is drawn more than
+the other, the curve weighs its rows less.
 
 Defined results: null and empty texts have no n-grams and get the score of the
 model's constant; documents without a label aren't learned from; several
 labels of one id count as the smallest; null ids are never learned from;
 without two classes to learn, scores are the share of label 1 (0.5 without any
-label).  Repeated rows are scored each; other columns are ignored.
+label).  Repeated rows are scored each, alike; of very long texts all n-grams
+count; no rows give no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,7 +86,7 @@ def _gram_lists(batches):
             owner, gram = grams(Words(data, offsets, SPACED, AS_IS))
             cut = np.searchsorted(owner, np.arange(n + 1))
             gram = gram.astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([gram[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([gram[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], [batch.schema.names[0], "grams"])
 
 
 def _counted(batches):
@@ -125,28 +129,35 @@ def _margin(raw: np.ndarray, ratios, weights, constant) -> float:
     return float(weights[raw] @ x / max(np.sqrt(x @ x), 1e-9) + constant)
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the curve that turns margins into shares of label 1 (smoothed targets)."""
-    up = (labels > 0).sum()
-    target = np.where(labels > 0, (up + 1) / (up + 2), 1 / (len(labels) - up + 2))
+def logistic(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of the curve that turns margins into shares of label 1 (smoothed targets), of rows that stand for `weights` rows each."""
+    weights = np.ones(len(labels)) if weights is None else weights * len(labels) / weights.sum()
+    up, down = weights[labels > 0].sum(), weights[labels <= 0].sum()
+    target = np.where(labels > 0, (up + 1) / (up + 2), 1 / (down + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([(p - target) @ margins, (p - target).sum()])
-        s = np.maximum(p * (1 - p), 1e-9)
+        off = weights * (p - target)
+        g = np.array([off @ margins, off.sum()])
+        s = weights * np.maximum(p * (1 - p), 1e-9)
         h = np.array([[s @ margins**2, s @ margins], [s @ margins, s.sum()]]) + 1e-3 * np.eye(2)
         a, b = np.array([a, b]) - np.linalg.solve(h, g)
     return float(max(a, 1e-3)), float(b)
 
 
+def log_ratios(counts0: np.ndarray, counts1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Of each n-gram, the log ratio of its smoothed shares of both classes' texts."""
+    return np.log((counts1 + 1) / (n1 + 2)) - np.log((counts0 + 1) / (n0 + 2))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The model of docs (doc_id, text) and labels (doc_id, label 0 or 1): ratios, weights, constant, slope, shift."""
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").cast("int").alias("label"))
     learn = docs.where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     labels = labels.where("pmod(crc32(cast(doc_id as string)), 4) <> 2")
     # Labels grow with the documents, so their join is the same shuffle at every size.
-    joined = lambda d: d.mapInArrow(_gram_lists, "doc_id long, grams binary").join(labels.hint("shuffle_hash"), "doc_id").select("label", "grams")
-    counts = joined(learn).mapInArrow(_counted, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    joined = learn.mapInArrow(_gram_lists, "doc_id long, grams binary").join(labels.hint("shuffle_hash"), "doc_id").select("label", "grams")
+    counts = joined.mapInArrow(_counted, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     texts = counts[counts.gram < 0]
     n0, n1 = int(texts.n0.sum()), int(texts.n1.sum())
     if not n0 or not n1:
@@ -155,19 +166,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     sums = np.zeros((2, DIMENSIONS))
     seen = counts[counts.gram >= 0]
     sums[0][seen.gram], sums[1][seen.gram] = seen.n0, seen.n1
-    ratios = np.log((sums[1] + 1) / (n1 + 2)) - np.log((sums[0] + 1) / (n0 + 2))
+    ratios = log_ratios(sums[0], sums[1], n0, n1)
+    # About `sample` ids by their hash, as many of either class as it has, up to a half, or what the other leaves.
+    fewer = min(n0, n1, sample // 2)
+    shares = [min(1.0, (sample - fewer if n > min(n0, n1) else fewer) / n) for n in (n0, n1)]
     spread = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30))
-    known = max(1, n0 + n1)
-    rows = joined(learn.where(spread < int(min(1.0, sample / known) * (1 << 30)))).toPandas().sort_values(["label", "grams"])
+    drawn = labels.where(spread < F.when(F.col("label") == 0, F.lit(int(shares[0] * (1 << 30)))).otherwise(F.lit(int(shares[1] * (1 << 30)))))
+    rows = learn.join(F.broadcast(drawn), "doc_id").select("label", "text").mapInArrow(_gram_lists, "label int, grams binary").toPandas().sort_values(["label", "grams"])
     y = np.where(rows["label"].to_numpy() > 0, 1, -1)
     x = [np.frombuffer(g, np.uint16).astype(np.int64) for g in rows["grams"]]
+    stands = 1 / np.where(y > 0, shares[1], shares[0])
     apart = np.arange(len(x)) % 4 == 0
     if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart = np.zeros(len(x), bool)
     weights, constant = descend([r for r, a in zip(x, apart) if not a], ratios, y[~apart])
     test = apart if apart.any() else ~apart
     margins = np.array([_margin(r, ratios, weights, constant) for r, a in zip(x, test) if a])
-    return ratios.astype(np.float32), weights.astype(np.float32), constant, *(logistic(margins, y[test]) if len(margins) else (1.0, 0.0))
+    return ratios.astype(np.float32), weights.astype(np.float32), constant, *(logistic(margins, y[test], stands[test]) if len(margins) else (1.0, 0.0))
 
 
 def _scored(ratios, weights, constant, slope, shift):
