@@ -1,8 +1,9 @@
 """Relational chat formatting with Spark expressions only.
 
 The turns of a conversation are collected as structs and sorted by turn, then
-role, then text; adjacent turns of one role are merged by array aggregation,
-and the result is concatenated:
+role, then text; adjacent turns of one role are merged by array aggregation
+(each turn opens a run, or joins the one of the turn before it), and the result
+is concatenated:
 
     <turn>role NEWLINE text <next> text </turn> NEWLINE
 
@@ -11,11 +12,15 @@ texts a backslash becomes \\s and <turn>, </turn>, <next> become \\o, \\c, \\x;
 in roles a line feed becomes \\n.  Every backslash of the output is thus
 followed by one code letter, and plain replacements in reverse order restore
 the input.  The loss mask is a list of spans (start, length in code points)
-over the texts of roles to be learned.
+over the texts of roles to be learned; their starts are sums over the lengths
+of the pieces before, aggregated by groups of about the root of the number of
+turns, so the work for a conversation of n turns grows as n ** 1.5 at most.
 
 Defined results: null roles and texts count as empty; a null conversation id
-is a conversation; repeated rows are repeated turns; no rows give no
-conversations; null turns come first.  Other columns are ignored.
+is a conversation; repeated rows are repeated turns; turns of equal number are
+ordered by role and text; no rows give no conversations; null turns come first.
+Very long texts are formatted whole: a conversation is one row.  Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,27 +58,29 @@ def format_chats(turns: DataFrame, learned: tuple[str, ...] = LEARNED) -> DataFr
     """conv_id, formatted and loss (array of start, length) of each conversation of (conv_id, turn, role, text)."""
     text = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(text)).alias("turns"))
-    merged = chats.withColumn(
-        "merged",
+    opens = f"concat('<turn>', {escaped('t.role', True)}, '\\n')"
+    # What each turn adds: the end of a run and the head of the next, or a mark within a run; and then its text.
+    pieces = chats.withColumn(
+        "pieces",
         F.expr(f"""
-            aggregate(turns, cast(array() as array<struct<role:string,texts:array<string>>>), (a, t) ->
-                if(size(a) > 0 and element_at(a, -1).role = t.role,
-                   concat(slice(a, 1, size(a) - 1), array(named_struct('role', t.role, 'texts', concat(element_at(a, -1).texts, array({escaped('t.text')}))))),
-                   concat(a, array(named_struct('role', t.role, 'texts', array({escaped('t.text')}))))))"""),
+            transform(turns, (t, i) -> named_struct(
+                'lead', if(get(turns, i - 1).role <=> t.role, '<next>', concat(if(i = 0, '', '</turn>\\n'), {opens})),
+                'text', {escaped("t.text")},
+                'learned', t.role in ({", ".join(_quoted(x) for x in learned)})))"""),
     )
-    roles = ", ".join(_quoted(x) for x in learned)
-    head = f"concat('<turn>', {escaped('m.role', True)}, '\\n')"
-    formatted = F.expr(f"array_join(transform(merged, m -> concat({head}, array_join(m.texts, '<next>'), '</turn>\\n')), '')")
-    # Each merged turn is its head, then texts with <next> between, then its end.
+    formatted = F.expr("concat(array_join(transform(pieces, p -> concat(p.lead, p.text)), ''), '</turn>\\n')")
+    groups = pieces.withColumn(
+        "sums",
+        F.expr("""
+            transform(array(cast(ceil(sqrt(size(pieces))) as int)), c ->
+                transform(sequence(0, cast(ceil(size(pieces) / c) as int) - 1), k ->
+                    aggregate(slice(pieces, k * c + 1, c), array(0L), (a, p) -> concat(a, array(element_at(a, -1) + length(p.lead) + length(p.text))))))[0]"""),
+    ).withColumn("bases", F.expr("aggregate(sums, array(0L), (a, s) -> concat(a, array(element_at(a, -1) + element_at(s, -1))))"))
+    starts = "flatten(transform(sums, (s, k) -> transform(slice(s, 1, size(s) - 1), v -> v + bases[k])))"
     spans = f"""
-        aggregate(merged, named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>)), (a, m) ->
-            named_struct(
-                'at', a.at + length({head}) + aggregate(m.texts, 0L, (n, t) -> n + length(t)) + 6L * (size(m.texts) - 1) + 8L,
-                'spans', if(m.role in ({roles}),
-                    concat(a.spans, aggregate(m.texts, named_struct('at', a.at + length({head}), 'spans', cast(array() as array<struct<start:bigint,length:bigint>>)), (b, t) ->
-                        named_struct('at', b.at + length(t) + 6L, 'spans', concat(b.spans, array(named_struct('start', b.at, 'length', cast(length(t) as bigint)))))).spans),
-                    a.spans))).spans"""
-    return merged.select("conv_id", formatted.alias("formatted"), F.expr(spans).alias("loss"))
+        transform(filter(zip_with(pieces, {starts}, (p, at) -> named_struct('learned', p.learned, 'start', at + length(p.lead), 'length', cast(length(p.text) as bigint))),
+            s -> s.learned), s -> named_struct('start', s.start, 'length', s.length))"""
+    return groups.select("conv_id", formatted.alias("formatted"), F.expr(spans).alias("loss"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
