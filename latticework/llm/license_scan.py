@@ -22,7 +22,9 @@ they are the short notices of TEMPLATES and then the full texts in `licenses`.
 
 Defined results: null and empty texts match nothing; a unit of fewer than two
 words has no bigrams; of equal coefficients the first template wins; repeated
-rows match each; a null id stays null.  Other columns are ignored.
+rows match each; a null id stays null.  Very long texts are scanned whole, the
+work of a text growing with its words; no rows give no rows.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
