@@ -4,20 +4,23 @@ Each stage works on every document that the one before it kept, and all but
 the last return the columns of documents.  Ids are taken to be unique; rows
 that repeat an id are kept or dropped together, and rows with a null id pass
 the filters that work by id.  Secrets are redacted in every row, whatever its
-id.  Empty inputs give empty outputs.
+id.  Very long texts are judged whole; other columns, whatever their names, are
+kept.  Empty inputs give empty outputs.
+
+No stage shuffles texts that it only passes on: the ids to drop are a stored
+table, which Spark sends to the rows where its size allows, and only rows with
+a candidate of a secret are joined.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latticework.llm import decontaminate, language_id, mixing, near_dedup, secret_scan
 from latticework.llm.shared import stored, table
 
 #: Texts whose lead is a smaller share of what the learned texts of their language reach are of no language at all.
 LEAST_LEAD = 0.05
-REDACTED = "<secret>"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,34 +32,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate class."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    dropped = stored(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "pipeline-copies")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a phrase of the benchmark."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    dropped = found.where("contaminated").select("doc_id").distinct()
+    dropped = stored(found.where("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces owner-specific secrets in the texts; widely copied examples stay."""
-    # Spans depend on the text alone, so texts are the key: ids may be null or repeated.
-    key = F.sha2(F.col("text"), 256)
-    found = secret_scan.scan(docs.select("doc_id", "text", F.col("source").alias("owner")), key=key)
-    live = found.where("exists(spans, s -> s.live)").groupBy(F.col("key").alias("_key")).agg(F.first(F.expr("filter(spans, s -> s.live)")).alias("_live"))
-    pieces = F.expr(f"""
-        aggregate(_live, named_struct('at', 0L, 'parts', cast(array() as array<string>)), (a, s) ->
-            if(s.end <= a.at, a, named_struct('at', s.end, 'parts', if(s.start < a.at, a.parts,
-                concat(a.parts, array(substring(d.text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{REDACTED}'))))),
-            a -> concat(array_join(a.parts, ''), substring(d.text, cast(a.at + 1 as int))))""")
-    # The columns are packed, so that none of them clashes with the names here.
-    joined = docs.select(F.struct("*").alias("d"), key.alias("_key")).join(live, "_key", "left")
-    clean = joined.withColumn("_text", F.when(F.col("_live").isNull(), F.col("d.text")).otherwise(pieces))
-    own = lambda c: F.col("d").getField(c)
-    out = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_live").isNull(), own(c)).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns]
-    return clean.select(*out)
+    return secret_scan.redact(docs, owner="source", length="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
