@@ -272,21 +272,22 @@ def ties(reps: DataFrame, percent: int = 75) -> DataFrame:
     bands = reps.select("doc_id", F.explode(keys).alias("key"))
     crowded = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last")
     crowded = stored(crowded.select("key", "hub", "n"), "near-bands")
-    met = stored(hot_join(bands, crowded, ["key"], "n").where("doc_id <> hub"), "near-met")
+    met = stored(hot_join(bands, crowded, ["key"], crowded).where("doc_id <> hub"), "near-met")
 
     side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     pairs = met.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     # A hub is in no more pairs than its bands have members.
-    hubs = stored(crowded.groupBy(F.col("hub").alias("b")).agg(F.sum("n").alias("n")).join(side("b"), "b"), "near-hubs")
-    sketched = hot_join(pairs.join(side("a"), "a"), hubs, ["b"], "n").select("a", "n_a", "regs_a", "b", "n_b", "regs_b")
+    most = crowded.groupBy(F.col("hub").alias("b")).agg(F.sum("n").alias("n"))
+    hubs = side("b").join(most.select("b"), "b", "left_semi")
+    sketched = hot_join(pairs.join(side("a"), "a"), hubs, ["b"], most).select("a", "n_a", "regs_a", "b", "n_b", "regs_b")
     judged = stored(sketched.mapInArrow(_judged(percent), "a long, b long, ok boolean"), "near-judged")
 
     # Bands with a document that isn't plausible with the hub: all their pairs are judged.
     apart = judged.where("not ok").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
-    mixed = stored(met.where("n > 2").join(apart, ["doc_id", "hub"]).select("key", "n").distinct(), "near-mixed")
+    mixed = met.where("n > 2").join(apart, ["doc_id", "hub"]).select("key", "n").distinct()
     members = met.select("key", "doc_id").unionByName(crowded.select("key", F.col("hub").alias("doc_id")))
     cut = F.ceil(F.col("n") / BLOCK_SKETCHES).cast("long")
-    units = hot_join(members, mixed, ["key"], "n").join(reps, "doc_id").withColumn("blocks", cut)
+    units = hot_join(members, mixed, ["key"], mixed).join(reps, "doc_id").withColumn("blocks", cut)
     units = units.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     units = units.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs")
     units = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -300,19 +301,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
     same = ["low", "high", "n_shingles"]
     groups = linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = linkable.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs")
+    reps = stored(linkable.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "regs"), "near-reps")
     families = components(ties(reps, percent), "near-families").select(F.col("node").alias("doc_id"), F.col("label").alias("family"))
 
-    sized = families.join(linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    sized = stored(sized.select("family", "docs", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "near-sizes")
-    rows = hot_join(linkable.select("doc_id", "n_shingles", "regs").join(families, "doc_id"), sized, ["family"], "docs").join(docs, "doc_id")
+    # Every member of a family is the first of its group.
+    members = reps.join(families, "doc_id")
+    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    rows = hot_join(members, sized.select("family", blocks), ["family"], families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))).join(docs, "doc_id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs", "text")
     rows = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
     labels = components(rows.mapInArrow(_pairs_of_blocks(percent), "a long, b long"), "near-labels")
 
-    of_group = stored(groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, "n", F.coalesce("label", "rep").alias("of")), "near-classes")
-    classed = hot_join(linkable.select("doc_id", *same), of_group, same, "n").select("doc_id", "n_shingles", F.col("of").alias("component_id"))
+    of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("of"))
+    classed = hot_join(linkable.select("doc_id", *same), of_group, same, groups).select("doc_id", "n_shingles", F.col("of").alias("component_id"))
     alone = sketches.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return classed.unionByName(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 

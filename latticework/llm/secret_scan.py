@@ -144,8 +144,8 @@ def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
     """row and spans (start, kind, end, value, owners, repositories, live) of the rows with a candidate."""
     each = rows.where("size(found) > 0").select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
     by_owner = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
-    spread = stored(by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")), "secret-owners")
-    known = hot_join(each.drop("owner", "repository"), spread, ["value"], "n").withColumn("live", F.col("owners") <= max_owners)
+    spread = by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    known = hot_join(each.drop("owner", "repository"), spread, ["value"], spread.select("value", "n")).withColumn("live", F.col("owners") <= max_owners)
     return known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "owners", "repositories", "live"))).alias("spans"))
 
 

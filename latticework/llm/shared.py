@@ -33,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes a table to the shared folder and reads it back."""
+    """Cuts lineage: writes a table to the shared folder and reads it back.
+
+    The folder belongs to the caller, who may empty it once the results are written.
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
@@ -41,22 +44,21 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 #: A key is hot beyond this share of all rows (so there are at most as many hot keys as its inverse), and this many rows.
-HOT_SHARE, HOT_ROWS = 1e-3, 1000
+HOT_SHARE, HOT_ROWS = 1e-3, 2000
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
-    """Joins rows with facts, of which there is one for a key; column `count` of facts says how many rows have the key.
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins rows with facts, of which there is one for a key; counts (keys, n) says how many rows have a key, or more.
 
     The facts of hot keys, at most 1 / HOT_SHARE, are sent to the rows; only the
     others are joined by a shuffle, so no task gets more of one key than that.
     """
-    total, most = facts.agg(F.sum(count), F.max(count)).first()
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
     bar = max(HOT_ROWS, int((total or 0) * HOT_SHARE))
     if (most or 0) <= bar:
         return rows.join(facts, keys, how)
-    hot = F.broadcast(facts.where(F.col(count) > bar))
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(cold.join(facts.where(F.col(count) <= bar), keys, how))
+    hot = F.broadcast(counts.where(F.col("n") > bar).select(*keys))
+    return rows.join(F.broadcast(facts.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
 
 
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
@@ -74,7 +76,7 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
         both = edges.unionByName(swapped(edges))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
         # Only a graph of more than HOT_ROWS edges can have a hot node.
-        beside = hot_join(both, stored(least, f"{name}-least"), ["a"], "n") if edges.count() > HOT_ROWS else both.join(least, "a")
+        beside = hot_join(both, least.drop("n"), ["a"], least) if edges.count() > HOT_ROWS else both.join(least, "a")
         large = beside.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # A node has as many larger neighbours as there are least ones beside it, rarely more than a few.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
