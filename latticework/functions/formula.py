@@ -66,7 +66,7 @@ def is_abo3(counts: Column) -> Column:
 
 def atoms_per_unit(counts: Column) -> Column:
     """Atoms of one formula unit, from whole-cell counts."""
-    values = F.map_values(counts)
+    values = F.transform(F.map_values(counts), lambda n: n.cast("long"))
     return (F.aggregate(values, F.lit(0).cast("long"), lambda s, n: s + n) / F.greatest(gcd(values), F.lit(1))).cast("long")
 
 
@@ -101,27 +101,48 @@ def matches_ratio(counts: Column, text: str) -> Column:
     return out
 
 
-# Conventions of mineral formulas, each a pattern and what takes its place.
-_IMA = (
-    (r"[·•]\s*\d*\.?\d*\s*H2O", ""),
-    (r",\s*(OH|H2O|H2|H)$", ""),
-    (r"\(([A-Z][a-z]?)[,;/][^)]*\)", "$1"),
-    (r"[□☐]", ""),
-    (r"(\d+)?[+−\-](\d+)?", ""),
-    (r"\(\s*[IVX]+\s*\)", ""),
-    (r"[\[\]]", ""),
-)
-_RRUFF = ((r"\^[^^\s]+\^", ""), (r"_([0-9]+\.?[0-9]*)_", "$1"), (r"<[^>]+>", ""))
+# Lexemes of a mineral formula: hydrate water, valence, element, number, sign of a charge, bracket, separator.
+_LEXEME = r"([·•]\s*[\d.]*\s*H2O|\([IVX]+\)|[A-Z][a-z]?|\d+(?:\.\d+)?|[+−-]|[()]|[,;/])"
 
 
 def ima_formula(text: Column) -> Column:
-    """A mineral formula without hydrate water, charges, vacancies and valences; of a solid solution the first element."""
-    return reduce(lambda c, r: F.regexp_replace(c, *r), _IMA, F.trim(text))
+    """A mineral formula without hydrate water, charges, vacancies and valences; of a solid solution the first element.
+
+    One pass over the lexemes: a sign takes the numbers at both its sides with
+    it; a separator after the first element of a group drops the rest of the
+    group and its brackets; one outside of any group ends the formula.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("depth"), F.lit("").alias("mode"))
+
+    def step(s, t):
+        out, depth, mode = s["out"], s["depth"], s["mode"]
+        state = lambda o, d=depth, m=F.lit(""): F.struct(o.alias("out"), d.alias("depth"), m.alias("mode"))
+        last = lambda k: F.coalesce(F.try_element_at(out, F.lit(-k)), F.lit(""))
+        drop = lambda k: F.slice(out, 1, F.greatest(F.size(out) - k, F.lit(0)))
+        element, number = t.rlike("^[A-Z][a-z]?$"), t.rlike(r"^\d")
+        return (
+            F.when(mode == "ended", s)
+            # The rest of a solid solution, up to the bracket that closes it; only its element stays.
+            .when(mode == "rest", F.when(t == ")", state(F.concat(drop(2), F.array(last(1))), depth - 1)).otherwise(s))
+            .when(t.rlike("^[·•]") | t.rlike(r"^\([IVX]+\)$"), state(out))
+            .when(t.rlike("^[+−-]$"), state(F.when(last(1).rlike(r"^\d"), drop(1)).otherwise(out), depth, F.lit("charge")))
+            .when(number & (mode == "charge"), state(out))
+            .when(t.rlike("^[,;/]$"), F.when(depth == 0, state(out, depth, F.lit("ended"))).when(last(1).rlike("^[A-Z]") & (last(2) == "("), state(out, depth, F.lit("rest"))).otherwise(state(out)))
+            .when(element | number, state(F.concat(out, F.array(t))))
+            .when(t == "(", state(F.concat(out, F.array(t)), depth + 1))
+            .otherwise(state(F.concat(out, F.array(t)), F.greatest(depth - 1, F.lit(0))))
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_LEXEME), F.lit(1)), start, step, lambda s: F.array_join(s["out"], ""))
 
 
 def rruff_formula(text: Column) -> Column:
-    """The same for formulas with ^charges^, _subscripts_ and tags."""
-    return ima_formula(reduce(lambda c, r: F.regexp_replace(c, *r), _RRUFF, F.trim(text)))
+    """The same for formulas with charges between carets, subscripts between underscores (rounded to whole numbers, 1 at least) and tags."""
+    # Parts between marks alternate: outside, inside, outside, ...
+    parts = lambda c, mark, inside: F.array_join(F.transform(F.split(c, mark), lambda x, i: F.when(i % 2 == 0, x).otherwise(inside(x))), "")
+    plain = F.regexp_replace(parts(text, r"\^", lambda _: F.lit("")), "<[^>]+>", "")
+    whole = lambda x: F.when(x.rlike(r"^\d+(\.\d*)?$"), F.greatest(F.rint(x.try_cast("double")).cast("long"), F.lit(1)).cast("string")).otherwise(x)
+    return ima_formula(parts(plain, "_", whole))
 
 
 def crystal_system(number: Column) -> Column:
@@ -134,14 +155,18 @@ def crystal_system(number: Column) -> Column:
 
 
 def symbol_system(hm: Column) -> Column:
-    """Crystal system of a Hermann-Mauguin symbol by its first and later axes; orthorhombic unless another rule fits."""
+    """Crystal system of a Hermann-Mauguin symbol by its symmetry places; orthorhombic unless another rule fits.
+
+    Cubic symbols have a 3 at the second place, which a screw axis at the first
+    (P4_3, P4_322) is not; both spellings of subscripts are taken.
+    """
     s = F.regexp_replace(F.trim(hm), r"\s+", "")
     return (
         F.when(s.rlike(r"^[PABCFI]-?1$"), "triclinic")
         .when(s.rlike(r"^R"), "trigonal")
         .when(s.rlike(r"^P-?3"), "trigonal")
         .when(s.rlike(r"^P-?6"), "hexagonal")
-        .when(s.rlike(r"^[PFI](-?4|4_\d|2|2_1|[mnad](?=-?3)|.*)-?3") & ~s.rlike(r"^[PI]-?4(_\d)?/"), "cubic")
+        .when(s.rlike(r"^[PFI](4(_?[123])?32|-43[mncd]|(2(_?1)?|[mnad])-?3[mncd]?)$"), "cubic")
         .when(s.rlike(r"^[PI]-?4"), "tetragonal")
         .when(s.rlike(r"^[PABCI](2|2_1|m|c|n|a)(/[mcna])?$"), "monoclinic")
         .otherwise("orthorhombic")

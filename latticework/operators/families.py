@@ -2,13 +2,15 @@
 
 Leader clustering runs inside classes that can't match across (equal element
 ratios, or one family), for all classes at once: round r takes the rth batch of
-every class.  Prototypes, memberships and computed costs are tables in the
-shared folder; the driver only counts rounds.
+every class.  Prototypes and memberships are tables in the shared folder; the
+driver only counts rounds.  A pair is judged once: an item meets the prototypes
+before it, or the others of its batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -109,13 +111,13 @@ def leader_clusters(items: DataFrame, costs_of: Callable[[DataFrame], DataFrame]
     step = ((F.row_number().over(Window.partitionBy("class").orderBy("rank", "stem")) - 1) / batch).cast("int")
     items = stored(items.withColumn("step", step), "leader-items")
     rounds = (items.agg(F.max("step")).first()[0] or 0) + 1
-    done = None
+    parts: list[DataFrame] = []
     for r in range(rounds):
         now = items.where(F.col("step") == r)
         pairs = None
         joined = now.select("class", "stem").limit(0).withColumn("prototype", F.lit("")).withColumn("cost", F.lit(0.0))
-        if done is not None:
-            prototypes = done.where("stem = prototype").join(items.select("class", "stem", F.col("rank").alias("age")), ["class", "stem"]).select("class", F.col("stem").alias("stem_b"), "age")
+        if parts:
+            prototypes = reduce(DataFrame.unionByName, parts).where("stem = prototype").join(items.select("class", "stem", F.col("rank").alias("age")), ["class", "stem"]).select("class", F.col("stem").alias("stem_b"), "age")
             pairs = now.select("class", F.col("stem").alias("stem_a")).join(prototypes, "class")
             costs = costs_of(pairs.select("stem_a", "stem_b")).where(F.col("cost") <= threshold)
             best = costs.join(pairs, ["stem_a", "stem_b"]).groupBy("class", "stem_a").agg(F.min(F.struct("cost", "age", "stem_b")).alias("m"))
@@ -131,12 +133,12 @@ def leader_clusters(items: DataFrame, costs_of: Callable[[DataFrame], DataFrame]
         direct = near.select(F.col("stem_a").alias("stem"), F.col("stem_b").alias("prototype"), "cost").unionByName(near.select(F.col("stem_b").alias("stem"), F.col("stem_a").alias("prototype"), "cost"))
         new = whole.join(first, ["class", "set"]).join(direct, ["stem", "prototype"], "left")
         new = new.select("class", "stem", "prototype", F.when(F.col("stem") == F.col("prototype"), 0.0).otherwise(F.col("cost")).alias("cost"))
-        fresh = joined.unionByName(new)
-        done = stored(fresh if done is None else done.unionByName(fresh), "leader-done")
-    return done
+        # Rounds are kept beside each other, so none is written twice.
+        parts.append(stored(joined.unionByName(new), "leader-round"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def families(graphs: DataFrame, order: DataFrame, threshold: float = 0.05, batch: int = 64, cost: str = "edge_identity") -> DataFrame:
+def families(graphs: DataFrame, order: DataFrame, threshold: float = 0.1, batch: int = 64, cost: str = "edge_identity") -> DataFrame:
     """L1 families of packed graphs: (class, stem, prototype, cost, family_id, family_size, is_prototype).
 
     order: (stem, intermetallic, distortion).  Classes are element ratios, as
@@ -172,7 +174,7 @@ def subfamilies(members: DataFrame, mappings: DataFrame, graphs: DataFrame, cost
     def costs(pairs: DataFrame) -> DataFrame:
         left = mappings.join(pairs.select("stem_a").distinct(), "stem_a", "left_semi")
         right = inverse(mappings.withColumnRenamed("stem_a", "x").join(pairs.select(F.col("stem_b").alias("x")).distinct(), "x", "left_semi").withColumnRenamed("x", "stem_a"))
-        whole = compose(left, right).join(pairs, ["stem_a", "stem_b"], "left_semi")
+        whole = compose(left, right, graphs, cost).join(pairs, ["stem_a", "stem_b"], "left_semi")
         uneven = whole.where("not even").select("stem_a", "stem_b").distinct()
         return score_mappings(whole.join(uneven, ["stem_a", "stem_b"], "left_anti"), graphs, cost).select("stem_a", "stem_b", "cost")
 

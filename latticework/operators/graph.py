@@ -118,7 +118,7 @@ def polyhedral_paths(nodes: DataFrame, half: DataFrame) -> DataFrame:
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("x.vec"), F.col("y.vec")) / (F.col("x.len") * F.col("y.len"))))
     gap = minus(F.col("y.vec"), F.col("x.vec"))
     p = p.select(
-        "stem", "mid", F.least("x.nbr", "y.nbr").alias("a"), F.greatest("x.nbr", "y.nbr").alias("b"), F.when(swap, back).otherwise(delta).alias("img"),
+        "stem", "mid", F.least("x.nbr", "y.nbr").alias("a"), F.greatest("x.nbr", "y.nbr").alias("b"), F.when(swap, back).otherwise(delta).alias("img"), F.when(swap, F.col("y.vec")).otherwise(F.col("x.vec")).alias("to_a"),
         (F.col("x.is_core") & F.col("y.is_core")).alias("core"), F.degrees(F.acos(cosine)).alias("angle"), (F.col("x.len") + F.col("y.len")).alias("path_length"), norm(gap).alias("direct"),
     )
     role = nodes.select("stem", F.col("id").alias("_id"), F.col("ion_role").alias("_role"))
@@ -131,20 +131,20 @@ def polyhedral_paths(nodes: DataFrame, half: DataFrame) -> DataFrame:
 def polyhedral_edges(nodes: DataFrame, half: DataFrame) -> DataFrame:
     """Second-neighbour edges with the shared count and mode, angles, path lengths and the commonest path type (ties: the first by name)."""
     p = polyhedral_paths(nodes, half)
-    kinds = p.groupBy("stem", "a", "b", "img", "path_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("core").alias("c"), F.collect_list(F.struct(F.round("angle", 4).alias("angle"), F.round("path_length", 6).alias("length"))).alias("each"),
-        F.sum("angle").alias("sa"), F.sum(F.col("angle") * F.col("angle")).alias("saa"), F.sum("path_length").alias("sp"), F.sum(F.col("path_length") * F.col("path_length")).alias("spp"), F.min("direct").alias("direct"),
+    n = lambda kind: F.count_if(F.col("path_type") == kind)
+    kinds = ("anion-cation-anion", "cation-anion-cation", "other")
+    commonest = F.when((n(kinds[0]) >= n(kinds[1])) & (n(kinds[0]) >= n(kinds[2])), kinds[0]).when(n(kinds[1]) >= n(kinds[2]), kinds[1]).otherwise(kinds[2])
+    g = p.groupBy("stem", "a", "b", "img").agg(
+        F.count(F.lit(1)).cast("int").alias("n_all"), F.count_if("core").cast("int").alias("n_core"), commonest.alias("path_type"), F.collect_list(F.round("angle", 4)).alias("angles"), F.collect_list(F.round("path_length", 6)).alias("lengths"),
+        F.avg("angle").alias("ma"), F.stddev_pop("angle").alias("sa"), F.avg("path_length").alias("mp"), F.stddev_pop("path_length").alias("sp"), F.min("direct").alias("direct"),
     )
-    g = kinds.groupBy("stem", "a", "b", "img").agg(
-        F.sum("n").cast("int").alias("n_all"), F.sum("c").cast("int").alias("n_core"), F.max_by("path_type", F.struct("n", F.when(F.col("path_type") == "anion-cation-anion", 2).when(F.col("path_type") == "cation-anion-cation", 1).otherwise(0))).alias("path_type"),
-        F.flatten(F.collect_list("each")).alias("each"), F.sum("sa").alias("sa"), F.sum("saa").alias("saa"), F.sum("sp").alias("sp"), F.sum("spp").alias("spp"), F.min("direct").alias("direct"),
-    )
-    spread = lambda s, ss: F.when(F.col("n_all") > 1, F.sqrt(F.greatest(F.col(ss) / F.col("n_all") - F.pow(F.col(s) / F.col("n_all"), 2), F.lit(0.0)))).otherwise(0.0)
     order = Window.partitionBy("stem").orderBy("a", "b", "img")
+    # Above three shared core atoms there is no core mode.
+    core = F.when(F.col("n_core") <= 3, sharing_mode(F.col("n_core")))
     return g.select(
-        "stem", (F.row_number().over(order) - 1).alias("id"), "a", "b", "img", "path_type", "n_all", "n_core", sharing_mode(F.col("n_all")).alias("mode_all"), sharing_mode(F.col("n_core")).alias("mode_core"),
-        F.array_sort(F.transform("each", lambda x: x["angle"])).alias("angles"), F.array_sort(F.transform("each", lambda x: x["length"])).alias("path_lengths"),
-        F.round(F.col("sa") / F.col("n_all"), 4).alias("mean_angle"), F.round(spread("sa", "saa"), 4).alias("std_angle"), F.round(F.col("sp") / F.col("n_all"), 6).alias("mean_path"), F.round(spread("sp", "spp"), 6).alias("std_path"), F.round("direct", 6).alias("direct_distance"),
+        "stem", (F.row_number().over(order) - 1).alias("id"), "a", "b", "img", "path_type", "n_all", "n_core", sharing_mode(F.col("n_all")).alias("mode_all"), core.alias("mode_core"),
+        F.array_sort("angles").alias("angles"), F.array_sort("lengths").alias("path_lengths"),
+        F.round("ma", 4).alias("mean_angle"), F.round("sa", 4).alias("std_angle"), F.round("mp", 6).alias("mean_path"), F.round("sp", 6).alias("std_path"), F.round("direct", 6).alias("direct_distance"),
     )
 
 
@@ -156,11 +156,10 @@ def corner_torsions(nodes: DataFrame, half: DataFrame, core_only: bool = True) -
     """
     paths = polyhedral_paths(nodes, half)
     keys = ["stem", "a", "b", "img"]
-    single = paths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("path_type").alias("t"), F.first("mid").alias("mid")).where("n = 1 and t = 'cation-anion-cation'")
+    single = paths.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("path_type").alias("t"), F.first("mid").alias("mid"), F.first("to_a").alias("axis")).where("n = 1 and t = 'cation-anion-cation'")
     legs = half.where("is_core") if core_only else half
     ligands = legs.groupBy("stem", F.col("mid").alias("id")).agg(F.collect_list(F.struct("nbr", "vec")).alias("l"))
-    axis = legs.select("stem", F.col("mid").alias("a"), F.col("nbr").alias("mid"), negated(F.col("vec")).alias("axis")).groupBy("stem", "a", "mid").agg(F.first("axis").alias("axis"))
-    x = single.join(axis, ["stem", "a", "mid"])
+    x = single
     for c in "ab":
         x = x.join(ligands.select("stem", F.col("id").alias(c), F.col("l").alias(f"l{c}")), ["stem", c])
     flat = lambda v: minus(v, F.transform("axis", lambda t: t * (dot(v, F.col("axis")) / dot(F.col("axis"), F.col("axis")))))

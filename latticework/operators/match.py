@@ -403,18 +403,20 @@ def invalid(mappings: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost_a.unionByName(lost_b).distinct()
 
 
-def compose(to_parent: DataFrame, from_parent: DataFrame) -> DataFrame:
+def compose(to_parent: DataFrame, from_parent: DataFrame, graphs: DataFrame | None = None, cost: str = "edge_identity") -> DataFrame:
     """a -> parent and parent -> b as a -> b: (stem_a, stem_b, a_id, slot, b_id, slot_kind, even).
 
     Both are real rows (stem_a, stem_b, a_id, b_id).  At an anchor with one
-    partner on a side all pairs hold; with equal numbers they are paired in
-    order; with different numbers above one nothing can be paired: `even` is
-    false and b_id is null.
+    partner on a side all pairs hold; equal numbers above one are paired at
+    least summed cost of their pairs in `graphs` (in order, without graphs);
+    with different numbers above one nothing can be paired: `even` is false and
+    b_id is null.
     """
     left = to_parent.where("slot_kind = 'real'").select(F.col("stem_a"), F.col("stem_b").alias("parent"), "a_id", F.col("b_id").alias("anchor")).groupBy("stem_a", "parent", "anchor").agg(F.array_sort(F.collect_list("a_id")).alias("left"))
     right = from_parent.where("slot_kind = 'real'").select(F.col("stem_a").alias("parent"), "stem_b", F.col("a_id").alias("anchor"), "b_id").groupBy("stem_b", "parent", "anchor").agg(F.array_sort(F.collect_list("b_id")).alias("right"))
     j = left.join(right, ["parent", "anchor"])
     m, n = F.size("left"), F.size("right")
+    cohort = (m == n) & (m > 1) if graphs is not None else F.lit(False)
     pair = lambda a, b: F.struct(a.alias("a_id"), b.alias("b_id"))
     pairs = (
         F.when(m == n, F.arrays_zip(F.col("left").alias("a_id"), F.col("right").alias("b_id")))
@@ -422,10 +424,33 @@ def compose(to_parent: DataFrame, from_parent: DataFrame) -> DataFrame:
         .otherwise(F.transform("left", lambda a: pair(a, F.lit(None).cast("int"))))
     )
     even = (m == n) | (m == 1) | (n == 1)
-    x = j.select("stem_a", "stem_b", even.alias("even"), F.explode(pairs).alias("p")).select("stem_a", "stem_b", "p.a_id", "p.b_id", "even")
+    x = j.where(~cohort).select("stem_a", "stem_b", even.alias("even"), F.explode(pairs).alias("p")).select("stem_a", "stem_b", "p.a_id", "p.b_id", "even")
+    if graphs is not None:
+        x = x.unionByName(_paired(j.where(cohort), graphs, cost).withColumn("even", F.lit(True)))
     return x.withColumn("slot", F.lit(0)).withColumn("slot_kind", F.when(F.col("even"), "real").otherwise(UNASSIGNED))
 
 
+def _paired(cohorts: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
+    """(stem_a, stem_b, a_id, b_id): atoms of equally long lists left and right, paired at least summed cost."""
+    side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
+    rows = cohorts.groupBy("stem_a", "stem_b").agg(F.collect_list(F.struct("left", "right")).alias("c")).join(side("a"), "stem_a").join(side("b"), "stem_b")
+    chosen = _cost(cost)
+
+    def assign(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                a, b = Graph.of(r.g_a), Graph.of(r.g_b)
+                at_a, at_b = ({x: k for k, x in enumerate(g.ids)} for g in (a, b))
+                for c in r.c:
+                    left, right = (list(map(int, x)) for x in (c.values() if isinstance(c, dict) else c))
+                    matrix = np.array([[min(chosen.pair(a, b, at_a[i], at_b[j], {}, {}), 1e9) for j in right] for i in left])
+                    out += [(r.stem_a, r.stem_b, i, right[k]) for i, k in zip(left, hungarian(matrix).tolist())]
+            yield pd.DataFrame(out, columns=["stem_a", "stem_b", "a_id", "b_id"])
+
+    return rows.mapInPandas(assign, "stem_a string, stem_b string, a_id int, b_id int")
+
+
 def score_mappings(mappings: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
     """(stem_a, stem_b, cost_fn, cost) of given mappings under another cost."""
     side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))

@@ -151,10 +151,15 @@ def best_family(scores: DataFrame, columns: list[str], least: float) -> DataFram
     return scores.withColumn("score", best["score"]).withColumn("family", F.when(best["score"] >= least, best["name"]).when(best["score"].isNotNull(), "Other"))
 
 
-def tolerance_factors(r_a: Column, r_b: Column, r_x: Column) -> dict[str, Column]:
-    """Expressions for the Goldschmidt factor and the layer ratios of layered perovskites."""
-    ab, bx = r_a + r_x, r_b + r_x
-    return {"goldschmidt": ab / (F.sqrt(F.lit(2.0)) * bx), "layer_volume": F.pow(ab, 3) / F.pow(bx, 3), "ac_ratio": (bx + ab) / bx}
+def tolerance_factors(r_a12: Column, r_a9: Column, r_b: Column, r_x: Column) -> dict[str, Column]:
+    """Goldschmidt's factor, and three ratios for layered perovskites, of radii of A at coordination 12 and 9, B and X."""
+    cube = lambda r: F.pow(r, F.lit(3.0))
+    return {
+        "goldschmidt": (r_a12 + r_x) / (F.sqrt(F.lit(2.0)) * (r_b + r_x)),
+        "layer_volume": (cube(r_a9) + cube(r_x)) / (cube(r_a12) + cube(r_b) + 3 * cube(r_x)),
+        "ac_ratio": (r_b + r_x) / (2 * (r_b + r_x + r_a9)),
+        "other_paper": F.pow(r_b / r_a12, F.lit(2.0)) + F.sqrt(r_x / r_b),
+    }
 
 
 def overlay(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:

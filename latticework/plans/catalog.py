@@ -1,9 +1,6 @@
 """Queries over the driver's tables, and the SQL that has the same rows.
 
-Each is the relational form of an operator of the graph engine, so that its
-shape can be compared with a second engine: `lineitem` plays the part of a
-bond table between orders and parts, or between suppliers and parts; nations,
-customers and events give nodes, attributes and histograms.
+Counts, sets, distances and clusters of rows; `engine` has those over graphs.
 """
 
 from __future__ import annotations
@@ -33,251 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "q_half_bonds_degree",
-    """
-    SELECT node, count(*) AS degree FROM (
-      SELECT 'o' || l_orderkey AS node FROM lineitem UNION ALL SELECT 'p' || l_partkey FROM lineitem) GROUP BY node""",
-)
-def half_bonds_degree(spark, sf_dir):
-    """Bonds in both directions, and the degree of each node, in one pass over the bonds."""
-    both = table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey"))).alias("node"))
-    return both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-
-
-_SHARE = """
-    WITH b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-    s AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS shared FROM b x JOIN b y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL)"""
-
-
-def shared_parts(spark, sf_dir) -> DataFrame:
-    """Pairs of suppliers and the number of parts that both deliver."""
-    b = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    # The pairs of a part come from its sorted list of suppliers, which is as long as its degree.
-    of_part = b.groupBy("l_partkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda c: F.struct(a.alias("a"), c.alias("b")))))
-    return of_part.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def sharing_mode(n) -> F.Column:
-    return F.when(n == 1, "corner").when(n == 2, "edge").when(n == 3, "face").otherwise(F.concat(F.lit("multi_"), n.cast("string")))
-
-
-_MODE = "CASE shared WHEN 1 THEN 'corner' WHEN 2 THEN 'edge' WHEN 3 THEN 'face' ELSE 'multi_' || shared END"
-
-
-@query("q_poly_share", _SHARE + f" SELECT a, b, shared, {_MODE} AS mode FROM s")
-def poly_share(spark, sf_dir):
-    """Second neighbours through a common node, with the sharing mode."""
-    return shared_parts(spark, sf_dir).withColumn("mode", sharing_mode(F.col("shared")))
-
-
-@query(
-    "q_share_hist",
-    _SHARE
-    + """ SELECT node, count(*) FILTER (shared = 1) AS corner, count(*) FILTER (shared = 2) AS edge, count(*) FILTER (shared = 3) AS face, count(*) FILTER (shared > 3) AS multi
-    FROM (SELECT a AS node, shared FROM s UNION ALL SELECT b, shared FROM s) GROUP BY node""",
-)
-def share_hist(spark, sf_dir):
-    """Histogram of sharing modes at each node."""
-    s = shared_parts(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("node"), "shared")
-    return s.groupBy("node").agg(
-        F.count_if(F.col("shared") == 1).alias("corner"), F.count_if(F.col("shared") == 2).alias("edge"), F.count_if(F.col("shared") == 3).alias("face"), F.count_if(F.col("shared") > 3).alias("multi")
-    )
-
-
-@query(
-    "q_topk_cap",
-    """
-    SELECT l_partkey, l_orderkey, l_linenumber, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS rank FROM lineitem) WHERE rank <= 14""",
-)
-def topk_cap(spark, sf_dir):
-    """At most 14 neighbours for each node, the strongest first."""
-    rank = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey"))
-    return table(spark, sf_dir, "lineitem").withColumn("rank", rank.cast("long")).where("rank <= 14").select("l_partkey", "l_orderkey", "l_linenumber", "rank")
-
-
-_ECON_STEP = "SELECT s.l_orderkey, sum(q * exp(1 - pow(q / l, 6))) / sum(exp(1 - pow(q / l, 6))) AS l FROM x JOIN {0} s USING (l_orderkey) GROUP BY s.l_orderkey"
-
-
-@query(
-    "q_econ",
-    f"""
-    WITH x AS (SELECT l_orderkey, l_quantity AS q FROM lineitem), s0 AS (SELECT l_orderkey, min(q) AS l FROM x GROUP BY 1),
-    s1 AS ({_ECON_STEP.format("s0")}), s2 AS ({_ECON_STEP.format("s1")}), s3 AS ({_ECON_STEP.format("s2")})
-    SELECT l_orderkey, round(sum(exp(1 - pow(q / l, 6))), 4) AS ecn FROM x JOIN s3 USING (l_orderkey) GROUP BY l_orderkey""",
-)
-def econ(spark, sf_dir):
-    """Effective coordination number: three rounds of the weighted mean length, inside one aggregate of each node."""
-    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
-    weight = "exp(1 - pow(q / l, 6))"
-    mean = f"aggregate(q, named_struct('a', 0D, 'b', 0D), (s, q) -> named_struct('a', s.a + q * {weight}, 'b', s.b + {weight}), s -> s.a / s.b)"
-    length = f"aggregate(sequence(1, 3), array_min(q), (l, i) -> {mean})"
-    x = x.select("l_orderkey", "q", F.expr(length).alias("l"))
-    return x.select("l_orderkey", F.round(F.expr(f"aggregate(q, 0D, (s, q) -> s + {weight})"), 4).alias("ecn"))
-
-
-@query(
-    "q_weighted_avg",
-    """
-    SELECT p_brand, round(sum(CASE WHEN p_size > 5 THEN l_quantity * p_size END) / sum(CASE WHEN p_size > 5 THEN l_quantity END), 4) AS mean
-    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
-)
-def weighted_avg(spark, sf_dir):
-    """Average weighted by occupancy that skips missing values."""
-    x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    known = F.col("p_size") > 5
-    return x.groupBy("p_brand").agg(F.round(F.sum(F.when(known, F.col("l_quantity") * F.col("p_size"))) / F.sum(F.when(known, F.col("l_quantity"))), 4).alias("mean"))
-
-
-@query(
-    "q_angle_hist",
-    """
-    WITH h AS (SELECT event_type, least(CAST(floor(value) AS BIGINT), 17) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL)
-    SELECT event_type, bin, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS share FROM h""",
-)
-def angle_hist(spark, sf_dir):
-    """Normalised histogram of 18 bins for each kind of node."""
-    x = table(spark, sf_dir, "events").where("value is not null")
-    h = x.groupBy("event_type", F.least(F.floor("value"), F.lit(17)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.select("event_type", "bin", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("event_type")), 6).alias("share"))
-
-
-@query(
-    "q_hist_intersection",
-    """
-    WITH h AS (SELECT c_nationkey AS node, c_mktsegment AS bin, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT node, sum(n) AS t FROM h GROUP BY 1)
-    SELECT ta.node AS a, tb.node AS b, CAST(coalesce(sum(least(x.n, coalesce(y.n, 0))), 0) AS BIGINT) AS common, round(coalesce(sum(least(x.n, coalesce(y.n, 0))), 0) / least(any_value(ta.t), any_value(tb.t)), 6) AS share
-    FROM t ta JOIN t tb ON ta.node < tb.node LEFT JOIN h x ON x.node = ta.node LEFT JOIN h y ON y.node = tb.node AND y.bin = x.bin GROUP BY ALL""",
-)
-def hist_intersection(spark, sf_dir):
-    """Overlap of the histograms of all pairs of nodes; nodes are nations, a domain that doesn't grow."""
-    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    h = counts.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("m"), F.sum("n").alias("t"))
-    a, b = h.toDF("a", "x", "tx"), h.toDF("b", "y", "ty")
-    common = F.aggregate(F.map_keys("x"), F.lit(0).cast("long"), lambda s, k: s + F.least(F.col("x")[k], F.coalesce(F.try_element_at("y", k), F.lit(0))))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", common.alias("common"), F.round(common / F.least("tx", "ty"), 6).alias("share"))
-
-
-@query(
-    "q_wl_hash",
-    """
-    WITH e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
-    h AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-    l0 AS (SELECT a, left(a, 1) || '_' || count(*) AS l FROM h GROUP BY a),
-    l1 AS (SELECT h.a, left(md5(any_value(m.l) || '|' || string_agg(n.l, ',' ORDER BY n.l)), 12) AS l FROM h JOIN l0 n ON n.a = h.b JOIN l0 m ON m.a = h.a GROUP BY h.a),
-    l2 AS (SELECT h.a, left(md5(any_value(m.l) || '|' || string_agg(n.l, ',' ORDER BY n.l)), 12) AS l FROM h JOIN l1 n ON n.a = h.b JOIN l1 m ON m.a = h.a GROUP BY h.a)
-    SELECT l AS label, count(*) AS n FROM l2 GROUP BY l""",
-)
-def wl_hash(spark, sf_dir):
-    """Two rounds of neighbour-label hashing over the graph of regions, nations and customers."""
-    e = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("b"))
-    e = e.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.concat(F.lit("n"), "c_nationkey").alias("b")))
-    h = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = h.groupBy("a").agg(F.concat(F.substring("a", 1, 1), F.lit("_"), F.count(F.lit(1))).alias("l"))
-    for _ in range(2):
-        around = h.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.array_join(F.array_sort(F.collect_list("l")), ",").alias("around"))
-        labels = labels.join(around, "a").select("a", F.substring(F.md5(F.concat("l", F.lit("|"), "around")), 1, 12).alias("l"))
-    return labels.groupBy(F.col("l").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "q_leader_assign",
-    """
-    WITH p AS (SELECT vec_id AS proto, embedding AS e FROM embeddings WHERE vec_id < 8),
-    d AS (SELECT x.vec_id, proto, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS dist FROM embeddings x, p),
-    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 6), proto) AS k, lead(dist) OVER (PARTITION BY vec_id ORDER BY round(dist, 6), proto) AS next FROM d)
-    SELECT vec_id, proto, round(dist, 4) AS dist, round(next - dist, 4) AS margin, CASE WHEN dist <= 1.2 THEN 'joined' ELSE 'new' END AS status FROM r WHERE k = 1""",
-)
-def leader_assign(spark, sf_dir):
-    """The nearest of eight fixed prototypes, the margin to the next, and whether it is near enough."""
-    rows = table(spark, sf_dir, "embeddings")
-    # Eight rows, whatever the table's size: they are literals of the plan.
-    protos = rows.where("vec_id < 8").select("vec_id", "embedding").orderBy("vec_id").collect()
-    near = []
-    for r in protos:
-        square = F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(v)) for v in r.embedding]), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
-        near.append(F.struct(F.round(F.sqrt(square), 6).alias("key"), F.lit(r.vec_id).cast("long").alias("proto"), F.sqrt(square).alias("dist")))
-    x = rows.select("vec_id", F.array_sort(F.array(*near)).alias("d"))
-    best, second = F.col("d")[0], F.col("d")[1]
-    return x.select("vec_id", best["proto"].alias("proto"), F.round(best["dist"], 4).alias("dist"), F.round(second["dist"] - best["dist"], 4).alias("margin"), F.when(best["dist"] <= 1.2, "joined").otherwise("new").alias("status"))
-
-
-@query(
-    "q_prototype_pick",
-    """
-    SELECT p_brand, p_partkey FROM (
-      SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE 1 END, p_size, p_partkey) AS k FROM part) WHERE k = 1""",
-)
-def prototype_pick(spark, sf_dir):
-    """The member that stands for each group: a favoured class first, then the smallest."""
-    order = F.struct(F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), "p_size", "p_partkey")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", order).alias("p_partkey"))
-
-
-@query("q_compose_map", "SELECT c_custkey, s_suppkey FROM customer JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
-def compose_map(spark, sf_dir):
-    """Two maps onto common anchors, composed."""
-    anchor = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"))
-    return table(spark, sf_dir, "customer").join(anchor, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
-
-
-@query(
-    "q_template_search",
-    """
-    SELECT c_mktsegment, p_brand, count(*) AS matches FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
-    WHERE o_orderstatus = 'F' AND p_size < 10 GROUP BY ALL""",
-)
-def template_search(spark, sf_dir):
-    """Matches of the path customer - order - part with conditions on its nodes."""
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    parts = table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", "p_brand")
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    x = x.join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    return x.groupBy("c_mktsegment", "p_brand").agg(F.count(F.lit(1)).alias("matches"))
-
-
-@query(
-    "q_khop",
-    """
-    WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), seed AS (SELECT DISTINCT p FROM e WHERE s = 1),
-    near AS (SELECT DISTINCT e.s FROM e JOIN seed USING (p))
-    SELECT near.s AS node, CASE WHEN near.s = 1 THEN 0 ELSE 2 END AS hops, count(*) AS degree FROM near JOIN e ON e.s = near.s GROUP BY ALL""",
-)
-def khop(spark, sf_dir):
-    """Nodes within two steps of a node, with their degrees."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    near = e.join(e.where("s = 1").select("p"), "p", "left_semi").select("s").distinct()
-    return e.join(near, "s", "left_semi").groupBy(F.col("s").alias("node")).agg(F.when(F.first("s") == 1, 0).otherwise(2).alias("hops"), F.count(F.lit(1)).alias("degree"))
-
-
-@query(
-    "q_candidates",
-    """
-    WITH s AS (SELECT DISTINCT p_size FROM part), b AS (SELECT DISTINCT p_brand, p_size FROM part)
-    SELECT x.p_size AS a, y.p_size AS b, count(z.p_brand) > 0 AS known FROM s x JOIN s y ON y.p_size = 40 - x.p_size AND x.p_size <= y.p_size
-    LEFT JOIN b z ON z.p_size = x.p_size AND z.p_brand = 'Brand#2' GROUP BY ALL""",
-)
-def candidates(spark, sf_dir):
-    """Pairs of charges with a fixed sum, and whether the database has the first."""
-    part = table(spark, sf_dir, "part")
-    s = part.select("p_size").distinct()
-    pairs = s.select(F.col("p_size").alias("a"), (40 - F.col("p_size")).alias("b")).where("a <= b").join(s.withColumnRenamed("p_size", "b"), "b", "left_semi")
-    known = part.where("p_brand = 'Brand#2'").select(F.col("p_size").alias("a"), F.lit(True).alias("known")).distinct()
-    return pairs.join(known, "a", "left").select("a", "b", F.coalesce("known", F.lit(False)).alias("known"))
-
-
-_TREE = [("p_size >= 40 AND p_retailprice > 1500", "layered"), ("p_size >= 40", "framework"), ("p_type = 'ECONOMY' AND p_size < 10", "isolated"), ("p_retailprice < 1000", "chain")]
-
-
-@query("q_case_tree", "SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in _TREE) + " ELSE 'other' END AS class, count(*) AS n FROM part GROUP BY 1")
-def case_tree(spark, sf_dir):
-    """Classification by an ordered list of conditions."""
-    label = F.expr("CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in _TREE) + " ELSE 'other' END")
-    return table(spark, sf_dir, "part").groupBy(label.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "q_formula_gcd",
     """

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import formula as f
-from latticework.plans import catalog
+from latticework.plans import catalog, engine  # noqa: F401
 from latticework.streaming import incremental
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,7 +37,11 @@ def test_formula_predicates(spark):
 
 def test_names(spark):
     assert one(spark, "CaSO4·2H2O", f.ima_formula) == "CaSO4" and one(spark, "(Mg,Fe)2SiO4", f.ima_formula) == "Mg2SiO4"
-    assert one(spark, "Fe^2+^_2_O<i>3</i>", f.rruff_formula) == "Fe2O3"
+    assert one(spark, "Fe^2+^_2_O<i>3</i>", f.rruff_formula) == "Fe2O3" and one(spark, "Mg_1.6_Fe_0.4_SiO_4_", f.rruff_formula) == "Mg2Fe1SiO4"
+    assert one(spark, "Ca2(Mg,Fe2+)5(OH)2", f.ima_formula) == "Ca2Mg5(OH)2" and one(spark, "Cu(IV)O2, OH", f.ima_formula) == "CuO2"
+    # Screw axes at the first place make no cubic symbol.
+    for s, name in {"P4_3": "tetragonal", "P4_322": "tetragonal", "P4_32_12": "tetragonal", "P4_332": "cubic", "P2_13": "cubic", "Pa-3": "cubic"}.items():
+        assert one(spark, s, f.symbol_system) == name
     systems = {"Fm-3m": "cubic", "P4/mmm": "tetragonal", "Pnma": "orthorhombic", "P2_1/c": "monoclinic", "R3m": "trigonal", "P6_3/mmc": "hexagonal", "P-1": "triclinic", "I4/mcm": "tetragonal", "Ia-3d": "cubic"}
     assert all(one(spark, s, f.symbol_system) == name for s, name in systems.items())
     assert one(spark, "x/SrTiO3_mp-5229.cif", f.material_id) == "mp-5229" and one(spark, "x/SrTiO3_mp-5229.cif", f.stem) == "SrTiO3_mp-5229"
