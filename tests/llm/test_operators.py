@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from latticework.llm import chat_format, decontaminate, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, topk_search
 from latticework.llm.shared import components
@@ -346,4 +345,3 @@ def test_digest_columns_read_from_output(spark, tmp_path):
     got = {r.conv_id: r for r in chat_format.op1_chat_format(spark, str(tmp_path)).collect()}
     assert got[1].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest()
     assert got[-7].loss_chars == len(chat_format.EXTRA) and got[-7].n_turns == 2
-    assert isinstance(F.lit(1), object)
