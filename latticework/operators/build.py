@@ -49,20 +49,22 @@ def site_table(structures: DataFrame, source: str = "given") -> DataFrame:
 
     Roles follow the sign of the oxidation state; without any states, common
     anions are anions and the rest cations where both kinds occur; states that
-    were guessed and leave neutral beside charged sites make all neutral.
+    were guessed (column oxi_source, or `source` for all) and leave neutral
+    beside charged sites make all neutral.
     """
-    s = structures.where("error is null").select("stem", F.explode("sites").alias("s")).select("stem", "s.*")
+    origin = F.col("oxi_source") if "oxi_source" in structures.columns else F.lit(source)
+    s = structures.where("error is null").select("stem", origin.alias("_origin"), F.explode("sites").alias("s")).select("stem", "_origin", "s.*")
     s = s.withColumn("oxidation_state", whole_state(weighted_average(F.col("species"), "oxi_state"))).withColumn("element", dominant(F.col("species")))
     w = Window.partitionBy("stem")
-    stated = F.max(F.exists("species", lambda x: x["explicit"]).cast("int")).over(w) == 1
+    guessed = F.col("_origin").startswith("composition_guess")
+    stated = (F.max(F.exists("species", lambda x: x["explicit"]).cast("int")).over(w) == 1) | guessed
     sign = F.when(F.col("oxidation_state") > 1e-8, "cation").when(F.col("oxidation_state") < -1e-8, "anion").otherwise("neutral")
     by_list = F.when(F.col("element").isin(*FALLBACK_ANIONS), "anion").otherwise("cation")
     both = F.size(F.collect_set(by_list).over(w)) > 1
     role = F.when(stated, sign).when(both, by_list).otherwise("neutral")
     s = s.withColumn("ion_role", role)
-    if source.startswith("composition_guess"):
-        mixed = F.array_contains(F.collect_set("ion_role").over(w), "neutral") & (F.size(F.collect_set("ion_role").over(w)) > 1)
-        s = s.withColumn("ion_role", F.when(mixed, "neutral").otherwise(F.col("ion_role")))
+    mixed = guessed & F.array_contains(F.collect_set("ion_role").over(w), "neutral") & (F.size(F.collect_set("ion_role").over(w)) > 1)
+    s = s.withColumn("ion_role", F.when(mixed, "neutral").otherwise(F.col("ion_role")))
     return s.select("stem", "id", "element", "species", (F.size("species") > 1).alias("is_disordered"), "oxidation_state", "ion_role", "frac")
 
 
@@ -174,14 +176,16 @@ def candidates(structures: DataFrame, sites: DataFrame, radii: DataFrame | None
     return packed.mapInPandas(run, _CANDIDATE)
 
 
-def select_bonds(found: DataFrame, rescue: bool = True, cap: int = CAP, least: float = WEIGHT_LEAST) -> DataFrame:
+def select_bonds(found: DataFrame, rescue: bool = True, cap: int = CAP, least: float = WEIGHT_LEAST, strict: bool = False) -> DataFrame:
     """Bonds (stem, id, source, target, img, bond_length, cart_vec, vw_s, vw_t) chosen from candidates.
 
     A direction passes within BOND_RATIO of its own nearest neighbour; charged
     ends of one role must be within SAME_ROLE of the larger nearest distance,
     unless (with rescue) the weight is STRONG; ends of opposite roles within
     OPPOSITE_ROLE of the larger same-role distance.  Of both directions the
-    heavier is kept; a bond over the cap at either end goes.
+    heavier is kept; a bond over the cap at either end goes.  With strict, only
+    bonds between cations and anions stay, and a node that keeps none regains
+    all its contacts of the least weight.
     """
     top = F.greatest("w", "w_back")
     charged = F.col("role_i").isin("cation", "anion") & F.col("role_j").isin("cation", "anion")
@@ -191,6 +195,10 @@ def select_bonds(found: DataFrame, rescue: bool = True, cap: int = CAP, least: f
     ref = F.greatest("dsr_i", "dsr_j")
     opposite = (ref == float("inf")) | (F.col("d") <= OPPOSITE_ROLE * ref)
     x = found.where((F.col("d") <= BOND_RATIO * F.col("dmin_i")) & (~charged | F.when(F.col("role_i") == F.col("role_j"), near).otherwise(opposite)) & (top >= least))
+    if strict:
+        x = x.where(charged & (F.col("role_i") != F.col("role_j")))
+        bonded = x.select("stem", F.explode(F.array("i", "j")).alias("i")).distinct()
+        x = x.unionByName(found.where(top >= least).join(bonded, ["stem", "i"], "left_anti"))
     swap = F.col("i") > F.col("j")
     turned = lambda c: F.when(swap, F.transform(c, lambda v: -v)).otherwise(F.col(c))
     x = x.select("stem", F.least("i", "j").alias("source"), F.greatest("i", "j").alias("target"), turned("img").alias("img"), "d", turned("vec").alias("cart_vec"), F.when(swap, F.col("w_back")).otherwise(F.col("w")).alias("vw_s"), F.when(swap, F.col("w")).otherwise(F.col("w_back")).alias("vw_t"))
@@ -219,12 +227,99 @@ def edge_attributes(bonds: DataFrame, sites: DataFrame, radii: DataFrame | None
     return x.drop("_r_source", "_r_target", "_c_source", "_c_target")
 
 
-def build_graphs(structures: DataFrame, radii: DataFrame | None = None, chi: DataFrame | None = None, rescue: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Nodes and bonds of structures (stem, lattice, sites, error), ready for the relational operators."""
+MOVED = 0.01
+
+
+def consistent_radii(structures: DataFrame, sites: DataFrame, shannon: DataFrame, atomic: DataFrame, least: float = WEIGHT_LEAST) -> tuple[DataFrame, DataFrame]:
+    """Candidate bonds and radii after two passes.
+
+    The first pass has the radii of the largest known coordination numbers; its
+    contacts of the least weight give tentative numbers and their radii.  Only
+    structures in which a radius moves by more than MOVED are made anew.
+    """
+    first = site_radii(sites, shannon, atomic)
+    found = candidates(structures, sites, first)
+    cn = found.where(F.greatest("w", "w_back") >= least).groupBy("stem", F.col("i").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("cn"))
+    second = site_radii(sites, shannon, atomic, sites.select("stem", "id").join(cn, ["stem", "id"], "left"))
+    both = first.select("stem", "id", F.col("radius").alias("before")).join(second, ["stem", "id"])
+    moved = both.where(F.abs(F.col("radius") - F.col("before")) > MOVED).select("stem").distinct()
+    again = candidates(structures.join(moved, "stem", "left_semi"), sites, second)
+    stays = lambda x: x.join(moved, "stem", "left_anti")
+    return stays(found).unionByName(again), stays(first).unionByName(second.join(moved, "stem", "left_semi"))
+
+
+def balanced_states(amounts: dict[str, float], states: dict[str, list[tuple[float, bool]]]) -> tuple[dict[str, float], str]:
+    """One state for each element so that charges cancel, and how it was found.
+
+    Common states come first, then all; of several solutions the one whose
+    states stand earliest in the elements' lists (summed places, then by
+    element).  Elements without states, or no solution, give zeros.
+    """
+    names = sorted(amounts)
+    for common, source in ((True, "composition_guess"), (False, "composition_guess_all_oxi")):
+        lists = [[(k, s) for k, (s, often) in enumerate(states.get(e, [])) if often or not common] for e in names]
+        # Charges reached by the elements so far, each with its best choice: no product of all lists.
+        reached: dict[float, tuple[int, tuple[float, ...]]] = {0.0: (0, ())}
+        for e, own in zip(names, lists):
+            new: dict[float, tuple[int, tuple[float, ...]]] = {}
+            for charge, (cost, chosen) in reached.items():
+                for k, s in own:
+                    at, option = round(charge + s * amounts[e], 6), (cost + k, (*chosen, s))
+                    if at not in new or (option[0], [-abs(x) for x in option[1]]) < (new[at][0], [-abs(x) for x in new[at][1]]):
+                        new[at] = option
+            reached = new
+        if len(names) > 1 and 0.0 in reached:
+            return dict(zip(names, reached[0.0][1])), source
+    return dict.fromkeys(names, 0.0), "unavailable_default_0"
+
+
+def assign_states(structures: DataFrame, states: DataFrame) -> DataFrame:
+    """Structures with oxidation states for all species, and oxi_source: explicit if every species has one, else by balance of charges.
+
+    states: (symbol, oxi, common, place), the states of each element in order
+    of preference; a table of the elements, so the driver reads it whole.
+    """
+    known: dict[str, list[tuple[float, bool]]] = {}
+    for r in states.orderBy("symbol", "place").collect():
+        known.setdefault(r["symbol"], []).append((float(r["oxi"]), bool(r["common"])))
+    each = F.flatten(F.transform("sites", lambda s: s["species"]))
+    explicit = F.size("sites") > 0
+    explicit = explicit & F.forall(each, lambda x: x["explicit"])
+
+    def guess(parts):
+        for part in parts:
+            out = []
+            for stem, symbols, occupancies in zip(part["stem"], part["symbols"], part["occupancies"]):
+                amounts: dict[str, float] = {}
+                for e, o in zip(symbols, occupancies):
+                    amounts[e] = amounts.get(e, 0.0) + float(o)
+                found, source = balanced_states(amounts, known)
+                out.append((stem, found, source))
+            yield pd.DataFrame(out, columns=["stem", "found", "source"])
+
+    todo = structures.where("error is null").where(~explicit).select("stem", F.transform(each, lambda x: x["symbol"]).alias("symbols"), F.transform(each, lambda x: x["occupancy"]).alias("occupancies"))
+    guessed = todo.mapInPandas(guess, "stem string, found map<string,double>, source string")
+    x = structures.join(guessed, "stem", "left")
+    state = lambda p: F.when(F.col("found").isNull(), p["oxi_state"]).otherwise(F.coalesce(F.try_element_at("found", p["symbol"]), F.lit(0.0)))
+    species = lambda s: F.transform(s["species"], lambda p: F.struct(p["symbol"].alias("symbol"), p["occupancy"].alias("occupancy"), state(p).alias("oxi_state"), p["explicit"].alias("explicit")))
+    sites = F.transform("sites", lambda s: F.struct(s["id"].alias("id"), s["frac"].alias("frac"), species(s).alias("species")))
+    return x.withColumn("sites", sites).withColumn("oxi_source", F.coalesce("source", F.lit("site_explicit"))).drop("found", "source")
+
+
+def build_graphs(structures: DataFrame, radii: DataFrame | None = None, chi: DataFrame | None = None, rescue: bool = True, shannon: DataFrame | None = None, atomic: DataFrame | None = None, strict: bool = False, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """Nodes and bonds of structures (stem, lattice, sites, error), ready for the relational operators.
+
+    Radii are given (stem, id, radius), or made consistent with the bonds from
+    tables of Shannon and atomic radii; without either, cells are ordinary.
+    """
     from .graph import coordination, half_bonds
 
     sites = site_table(structures)
-    bonds = edge_attributes(select_bonds(candidates(structures, sites, radii), rescue), sites, radii, chi)
+    if radii is None and shannon is not None:
+        found, radii = consistent_radii(structures, sites, shannon, atomic)
+    else:
+        found = candidates(structures, sites, radii)
+    bonds = edge_attributes(select_bonds(found, rescue, cap, strict=strict), sites, radii, chi)
     bonds = with_spheres(bonds.withColumn("periodic", F.exists("img", lambda v: v != 0)).withColumn("raw_distance", F.col("bond_length")))
     nodes = sites.join(coordination(sites, half_bonds(bonds)), ["stem", "id"])
     r = F.lit(None).cast("double") if radii is None else F.col("radius")

@@ -347,6 +347,54 @@ def _descend(a, b, c, own, swapped, judged, best) -> None:
     go(0, 0.0)
 
 
+def brute_force(a: Graph, b: Graph, cost: str | Cost = "edge_identity", most_atoms: int = 10, most: int = 100_000) -> Found:
+    """The cheapest dealing of the larger graph's atoms to the smaller's, whatever their elements; at most `most_atoms` atoms of the larger.
+
+    Atoms with more core bonds than any other can take are tried among equals
+    first: if the core coordination numbers of both sides deal out evenly, only
+    such dealings are made, else those of equal role, else all.
+    """
+    c = _cost(cost) if isinstance(cost, str) else cost
+    swapped = len(a.ids) > len(b.ids)
+    small, large = (b, a) if swapped else (a, b)
+    if len(large.ids) > most_atoms or not small.ids:
+        return Found(float("inf"), {}, "too many atoms", 0, 0, swapped)
+    k, rest = divmod(len(large.ids), len(small.ids))
+    best = Found(float("inf"), {}, "incompatible", 0, k, swapped)
+    if rest:
+        return best
+
+    def classes(print_of):
+        left, right = {}, {}
+        for side, g in ((left, small), (right, large)):
+            for i in range(len(g.ids)):
+                side.setdefault(print_of(g, i), []).append(i)
+        return [(left[x], right[x]) for x in left] if {x: k * len(v) for x, v in left.items()} == {x: len(v) for x, v in right.items()} else None
+
+    prints = (lambda g, i: (g.role[i], int(g.cn_core[i])), lambda g, i: g.role[i], lambda g, i: 0)
+    own = next(x for x in map(classes, prints) if x is not None)
+    for combo in product(*(list(assignments(rows, columns, k)) for rows, columns in own)):
+        over = {i: list(js) for part in combo for i, js in part.items()}
+        image = _reverse(over) if swapped else over
+        value = c.total(a, b, image, _reverse(image))
+        best.tried += 1
+        if value < best.cost:
+            best = Found(value, image, "exact", best.tried, k, swapped)
+        if best.cost <= ZERO or best.tried >= most:
+            break
+    if best.tried >= most:
+        best.status = "bounded"
+    return best
+
+
+OPTIMIZERS: dict = {"stoichiometry_constrained": best_mapping, "brute_force": brute_force}
+
+
+def register_optimizer(name: str, search) -> None:
+    """search(a, b, cost, most_atoms, most) gives a Found."""
+    OPTIMIZERS[name] = search
+
+
 _RESULT = "stem_a string, stem_b string, cost_fn string, cost double, k int, role_swapped boolean, status string, tried long, mapping array<struct<a_id:int,slot:int,b_id:int,slot_kind:string>>"
 
 
@@ -357,7 +405,7 @@ def _rows_of(found: Found, a: Graph, b: Graph) -> list[dict]:
     return out
 
 
-def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity", most_atoms: int = 25, most: int = 100_000) -> DataFrame:
+def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity", most_atoms: int = 25, most: int = 100_000, optimizer: str = "stoichiometry_constrained") -> DataFrame:
     """The best mapping of each pair (stem_a, stem_b): cost, k, status (exact, bounded, too many atoms, incompatible, or an error) and the mapping's rows.
 
     Pairs are dealt out by a hash, so that expensive pairs spread; a failing
@@ -365,7 +413,7 @@ def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity"
     """
     side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
     rows = pairs.select("stem_a", "stem_b").join(side("a"), "stem_a").join(side("b"), "stem_b").select("stem_a", "stem_b", "g_a", "g_b").repartition("stem_a", "stem_b")
-    chosen = _cost(cost)
+    chosen, optimize = _cost(cost), OPTIMIZERS[optimizer]
 
     def search(parts):
         for part in parts:
@@ -373,7 +421,7 @@ def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity"
             for r in part.itertuples(index=False):
                 try:
                     a, b = Graph.of(r.g_a), Graph.of(r.g_b)
-                    f = best_mapping(a, b, chosen, most_atoms, most)
+                    f = optimize(a, b, chosen, most_atoms, most)
                     out.append((r.stem_a, r.stem_b, cost, f.cost, f.k, f.swapped, f.status, f.tried, _rows_of(f, a, b)))
                 except Exception as e:  # one pair's failure is a row, not the end of the job
                     out.append((r.stem_a, r.stem_b, cost, float("inf"), 0, False, f"error: {e}"[:200], 0, []))
@@ -382,6 +430,24 @@ def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity"
     return rows.mapInPandas(search, _RESULT)
 
 
+def symmetric_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity", **options) -> DataFrame:
+    """(stem_a, stem_b, cost, cost_ab, cost_ba, consistent, only_ab, only_ba): both directions of each pair, their mean cost, and the atom pairs (a, b) on which they agree.
+
+    A pair that is perfect one way is so the other way, and isn't searched again.
+    """
+    from .cluster import _stored
+
+    there = _stored(match_pairs(pairs, graphs, cost, **options), "match-there")
+    whole = (F.col("cost") <= ZERO) & ~F.exists("mapping", lambda m: m["slot_kind"] != "real")
+    back = match_pairs(there.where(~whole).select(F.col("stem_b").alias("stem_a"), F.col("stem_a").alias("stem_b")), graphs, cost, **options)
+    real = F.filter("mapping", lambda m: m["slot_kind"] == "real")
+    ab = there.select("stem_a", "stem_b", F.col("cost").alias("cost_ab"), F.array_sort(F.transform(real, lambda m: F.struct(m["a_id"].alias("a"), m["b_id"].alias("b")))).alias("ab"))
+    ba = back.select(F.col("stem_b").alias("stem_a"), F.col("stem_a").alias("stem_b"), F.col("cost").alias("cost_ba"), F.array_sort(F.transform(real, lambda m: F.struct(m["b_id"].alias("a"), m["a_id"].alias("b")))).alias("ba"))
+    x = ab.join(ba, ["stem_a", "stem_b"], "left").withColumn("cost_ba", F.coalesce("cost_ba", F.lit(0.0))).withColumn("ba", F.coalesce("ba", "ab"))
+    mean = F.round((F.col("cost_ab") + F.col("cost_ba")) / 2, 6)
+    return x.select("stem_a", "stem_b", mean.alias("cost"), "cost_ab", "cost_ba", F.array_intersect("ab", "ba").alias("consistent"), F.array_except("ab", "ba").alias("only_ab"), F.array_except("ba", "ab").alias("only_ba"))
+
+
 # ---- mappings as tables --------------------------------------------------
 
 
@@ -474,6 +540,13 @@ def score_mappings(mappings: DataFrame, graphs: DataFrame, cost: str) -> DataFra
     return rows.mapInPandas(score, "stem_a string, stem_b string, cost_fn string, cost double")
 
 
+def score_symmetric(mappings: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
+    """(stem_a, stem_b, cost_fn, cost): the mean of the scores of given mappings and of their inverses."""
+    there = score_mappings(mappings, graphs, cost)
+    back = score_mappings(inverse(mappings), graphs, cost).select(F.col("stem_b").alias("stem_a"), F.col("stem_a").alias("stem_b"), F.col("cost").alias("_back"))
+    return there.join(back, ["stem_a", "stem_b"]).select("stem_a", "stem_b", "cost_fn", ((F.col("cost") + F.col("_back")) / 2).alias("cost"))
+
+
 def translated(poly: DataFrame, mappings: DataFrame) -> DataFrame:
     """Polyhedral edges of a, carried to b: (stem_a, stem_b, a, b, mode, angle), one row for each pair of partners."""
     m = mappings.where("slot_kind = 'real'").select("stem_a", "stem_b", "a_id", "b_id")

@@ -56,7 +56,7 @@ def build_missing(structures: DataFrame, existing: DataFrame, proportion: str |
     return made, failed
 
 
-def family_levels(t: GraphTables, symmetry: DataFrame | None = None, l1: float = 0.05, l2: float = 0.05, l2_cost: str = "bond_angle", batch: int = 64) -> dict[str, DataFrame]:
+def family_levels(t: GraphTables, symmetry: DataFrame | None = None, l1: float = 0.1, l2: float = 0.05, l2_cost: str = "bond_angle", batch: int = 64) -> dict[str, DataFrame]:
     """Trivial groups (with symmetry), families of their prototypes, members and subfamilies."""
     half = graph.half_bonds(t.bonds)
     packed = families.stored(match.packed_graphs(t.nodes, half, t.poly), "packed")
@@ -104,8 +104,11 @@ def similarity_leaders(t: GraphTables, order: DataFrame, cut: float = 0.25, sure
     costs = lambda pairs: similarity.topology_scores(pairs, d).select("stem_a", "stem_b", (1 - F.col("score")).alias("cost"))
     items = order.select(F.lit("all").alias("class"), "stem", F.col("distortion").alias("rank"))
     found = families.stored(families.leader_clusters(items, costs, cut), "leaders")
-    big = found.groupBy("prototype").count().where("count > 1").select(F.col("prototype").alias("stem_b"))
-    pairs = found.select(F.col("stem").alias("stem_a")).join(big, F.col("stem_a") != F.col("stem_b"))
+    big = found.groupBy("prototype").count().where("count > 1").select(F.col("prototype").alias("stem"))
+    # Only graphs that share a kind of node (role and coordination number) can be alike.
+    kinds = metrics.topology_set(t.nodes).select("stem", F.explode("fp").alias("kind"))
+    heads = kinds.join(big, "stem", "left_semi").withColumnRenamed("stem", "stem_b")
+    pairs = kinds.withColumnRenamed("stem", "stem_a").join(heads, "kind").where("stem_a <> stem_b").select("stem_a", "stem_b").distinct()
     near = costs(pairs).where(F.col("cost") <= cut).groupBy(F.col("stem_a").alias("stem")).agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("least"))
     return found.join(near, "stem", "left").select("stem", "prototype", "cost", F.coalesce((F.col("n") >= 2) & (1 - F.col("least") < sure), F.lit(False)).alias("ambiguous"))
 

@@ -98,8 +98,8 @@ def parse(text: str) -> dict:
     if not rows:
         raise ValueError("no atom sites")
     at = {n: names.index(n) for n in names}
-    sites: list[tuple[np.ndarray, dict[str, tuple[float, float | None]]]] = []
-    for r in rows:
+    sites: list[tuple[np.ndarray, dict[tuple[int, str], tuple[float, float | None]]]] = []
+    for n, r in enumerate(rows):
         kind = r[at["_atom_site_type_symbol"]] if "_atom_site_type_symbol" in at else r[at["_atom_site_label"]]
         symbol = re.match(r"[A-Z][a-z]?", kind)[0]
         found = re.search(r"(\d*\.?\d*)([+-])$", kind)
@@ -111,12 +111,12 @@ def parse(text: str) -> dict:
             for place, species in sites:
                 d = (place - frac + 0.5) % 1.0 - 0.5
                 if np.linalg.norm(d @ matrix) < 0.01:
-                    species.setdefault(symbol, (occupancy, oxi))
+                    species.setdefault((n, symbol), (occupancy, oxi))
                     break
             else:
-                sites.append((frac, {symbol: (occupancy, oxi)}))
+                sites.append((frac, {(n, symbol): (occupancy, oxi)}))
     out = [
-        {"id": k, "frac": [float(x) for x in f], "species": [{"symbol": s, "occupancy": o, "oxi_state": 0.0 if x is None else x, "explicit": x is not None} for s, (o, x) in sp.items()]}
+        {"id": k, "frac": [float(x) for x in f], "species": [{"symbol": s, "occupancy": o, "oxi_state": 0.0 if x is None else x, "explicit": x is not None} for (_, s), (o, x) in sp.items()]}
         for k, (f, sp) in enumerate(sites)
     ]
     number = next((items[x] for x in ("_symmetry_int_tables_number", "_space_group_it_number") if x in items), None)

@@ -77,6 +77,29 @@ def gml(families: DataFrame, relations: DataFrame) -> DataFrame:
     return frame.unionByName(nodes).unionByName(edges).orderBy("n", "k", "value")
 
 
+def hierarchy_tables(families: DataFrame, relations: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """Tables of a hierarchy, to be written as CSV: families, materials (stem, topology) of each, and relations."""
+    own = members.join(families.select("topology", "family_id", "prototype"), "topology")
+    return {
+        "families": families.select("family_id", "prototype", "size", "core_bonds_per_fu", "topology"),
+        "materials": own.select("stem", "family_id", (F.col("stem") == F.col("prototype")).alias("is_prototype")),
+        "relationships": relations.select("parent_id", "child_id", "edges_added", "edges_added_per_fu"),
+    }
+
+
+def dataset_tables(labels: DataFrame, meta: DataFrame, least: int = 2) -> dict[str, DataFrame]:
+    """Tables of labelled materials: the dataset, those that are flagged or ambiguous, and formula types of at least `least` flagged ones as candidates of new families."""
+    x = meta.select("stem", "formula", "sg_symbol", "sg_number").join(labels, "stem")
+    finite = F.round("score", 6).alias("score")
+    flagged = x.where("status = 'flagged' or ambiguous")
+    candidates = flagged.where("status = 'flagged'").groupBy("formula").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("stem")), ";").alias("stems"))
+    return {
+        "dataset": x.select("stem", "formula", "sg_symbol", "sg_number", "label", finite, "status", "ambiguous"),
+        "flagged_materials": flagged.select("stem", "formula", "label", finite, F.round("second", 6).alias("second"), "status", "ambiguous"),
+        "candidate_families": candidates.where(F.col("size") >= least),
+    }
+
+
 def mapping_json(rows: DataFrame) -> DataFrame:
     """(stem_a, stem_b, json): mappings as versioned JSON; read back by mapping_rows()."""
     entry = F.struct("a_id", "slot", "b_id", "slot_kind")
