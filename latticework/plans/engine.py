@@ -98,9 +98,9 @@ def over(name: str, sql: str):
 # ---- half bonds, coordination, weights -----------------------------------
 
 
-@over("q_half_bonds_degree", GRAPHS + " SELECT stem, id, cn, cn_core, cn - cn_core AS cn_extended, CAST(floor(ecn + 0.1237) AS BIGINT) AS ecn FROM n")
+@over("q_half_bonds_degree", GRAPHS + " SELECT stem, id, cn, cn_core, cn - cn_core AS cn_extended FROM n")
 def degrees(x: Orders):
-    return graph.coordination(x.sites, x.half).select("stem", "id", "cn", "cn_core", "cn_extended", F.floor(F.col("ecn_value") + 0.1237).cast("long").alias("ecn"))
+    return graph.coordination(x.sites, x.half).select("stem", "id", "cn", "cn_core", "cn_extended")
 
 
 @over("q_adjacency", GRAPHS + " SELECT stem, mid, nbr, count(*) AS n FROM h WHERE core GROUP BY ALL")
