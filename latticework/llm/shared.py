@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,17 +62,57 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFra
     return rows.join(F.broadcast(facts.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
 
 
+#: Edges of a block of one task.
+BLOCK_EDGES = 100_000
+
+
+def _forests(batches):
+    """A spanning forest of each block of edges (a > b), as stars around the smallest node of each tree."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def stars():
+        found = [(x, find(x)) for x in list(root)]
+        found = [p for p in found if p[0] != p[1]]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    seen = 0
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        seen += batch.num_rows
+        if seen >= BLOCK_EDGES:
+            yield stars()
+            seen = 0
+    yield stars()
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a > b) with the same components, without the rings inside blocks of one task.
+
+    Many edges among few nodes become fewer than there are nodes in a block, before any shuffle.
+    """
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forests, "a long, b long")
+
+
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b), as (node, label) with the smallest node as label.
 
-    Alternates large and small stars: each round links every node's larger
-    neighbours, then its smaller ones, to the smallest, until every component
-    is a star.  Each round aggregates per node with map-side combining, joins
+    Thins the edges to forests of blocks, then alternates large and small stars:
+    each round links every node's larger neighbours, then its smaller ones, to
+    the smallest, until every component is a star.  Each round aggregates per node with map-side combining, joins
     the hubs of large stars apart from the others, and is written to the shared
     folder.
     """
     swapped = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = stored(forest(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct(), name)
     for _ in range(most):
         both = edges.unionByName(swapped(edges))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))

@@ -145,6 +145,17 @@ def test_hot_join_is_a_join(spark, monkeypatch):
     assert got == {k: 1 for k in [*range(1, 61), 200]} | {k: 100 for k in range(100, 121)}
 
 
+def test_forest_keeps_components_and_drops_rings(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BLOCK_EDGES", 50)
+    edges = [(a, b) for g in (0, 100, 200) for a in range(g, g + 30) for b in range(g, a)] + [(130, 129)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    kept = [tuple(r) for r in shared.forest(frame).collect()]
+    assert all(a > b for a, b in kept) and len(kept) < len(edges) / 3
+    got = {r.node: r.label for r in shared.components(frame, "t").collect()}
+    assert got == {k: k // 100 * 100 for g in (0, 100, 200) for k in range(g, g + 30)} | {130: 100}
+    assert shared.forest(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # ---- the queries whose results SQL can't express ----------------------------
 
 
