@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Method: the index is partitioned by document.  Each segment, of some megabytes
-of text, holds sorted postings (term, word position) of all words of its
+Method: the index is partitioned by document.  Each segment, of about a
+megabyte of text, holds sorted postings (term, word position) of all words of its
 documents and a directory of their ids and lengths; segments are stored as a
 table in the shared folder.  A search takes the phrases of the test items,
 finds for each segment how often each term occurs there, drops phrases with an
@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import mapped, stored, table
 from .tokens import ALNUM, LOWER, Words, chunks, run_hash
 
 PHRASE = 10
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 ITEM_BYTES = 1 << 20
 _INDEX = "segment long, ids binary, nulls binary, lengths binary, terms binary, begins binary, positions binary"
 _U = np.uint64
@@ -71,7 +71,7 @@ def _index(batches):
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(docs.mapInArrow(_index, _INDEX), "positional-index")
+    return stored(mapped(docs, _index, _INDEX), "positional-index")
 
 
 class Phrases:
@@ -207,7 +207,7 @@ def search(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
     """
     index, found = build_index(docs), []
     for n, block in item_blocks(items):
-        hits = index.mapInArrow(_searcher(block, slop), _FOUND)
+        hits = mapped(index, _searcher(block, slop), _FOUND)
         if n == 1:
             return hits.select("doc_id", "n_words", "hits", "items")
         found.append(stored(hits, "positional-hits"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import mapped, table
 from .tokens import LOWER, chunks
 
 DIMENSIONS = 1 << 14
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, n
     spread = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, 2 * sample / counts[k]) * (1 << 30))) for k in names], "lang string, share long")
     picked = docs.withColumn("h", spread).join(F.broadcast(shares), "lang").where("h < share")
-    rows = picked.select("lang", "text", "h").mapInArrow(_features, "lang string, bits binary, h long").toPandas()
+    rows = mapped(picked.select("lang", "text", "h"), _features, "lang string, bits binary, h long").toPandas()
     rows = rows.sort_values(["lang", "h", "bits"]).groupby("lang").head(sample).reset_index(drop=True)
     bits = np.stack([np.frombuffer(b, np.uint8) for b in rows["bits"]])
     own = np.searchsorted(names, rows["lang"])
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     rest = [c for c in keep if c != "text"]
     x = docs.select(F.lit(0).alias("_"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(rest)])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:])
-    out = x.mapInArrow(_predict(*model), f"{kinds}, lang_pred string, score double, lead double")
+    out = mapped(x, _predict(*model), f"{kinds}, lang_pred string, score double, lead double")
     own = {c: F.col(f"_{i}").alias(c) for i, c in enumerate(rest)} | {"text": F.col("text")}
     return out.select(*[own[c] for c in keep], F.col("lang_pred").alias(pred), F.col("score").alias(score), *([F.col("lead").alias(ahead)] if ahead else []))
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, hot_join, stored, table
+from .shared import components, hot_join, mapped, stored, table
 from .tokens import LOWER, SPACED, Words, chunks, mix, run_hash
 
 SHINGLE = 5
@@ -280,7 +280,7 @@ def ties(reps: DataFrame, percent: int = 75) -> DataFrame:
     most = crowded.groupBy(F.col("hub").alias("b")).agg(F.sum("n").alias("n"))
     hubs = side("b").join(most.select("b"), "b", "left_semi")
     sketched = hot_join(pairs.join(side("a"), "a"), hubs, ["b"], most).select("a", "n_a", "regs_a", "b", "n_b", "regs_b")
-    judged = stored(sketched.mapInArrow(_judged(percent), "a long, b long, ok boolean"), "near-judged")
+    judged = stored(mapped(sketched, _judged(percent), "a long, b long, ok boolean"), "near-judged")
 
     # Bands with a document that isn't plausible with the hub: all their pairs are judged.
     apart = judged.where("not ok").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
@@ -291,13 +291,13 @@ def ties(reps: DataFrame, percent: int = 75) -> DataFrame:
     units = units.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     units = units.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs")
     units = units.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return judged.where("ok").select("a", "b").unionByName(units.mapInArrow(_ties(percent), "a long, b long"))
+    return judged.where("ok").select("a", "b").unionByName(mapped(units, _ties(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(docs.mapInArrow(_sketch, _SKETCH), "near-sketches")
+    sketches = stored(mapped(docs, _sketch, _SKETCH), "near-sketches")
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
     same = ["low", "high", "n_shingles"]
     groups = linkable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.select("family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "n_shingles", "regs", "text")
     rows = rows.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q")
-    labels = components(rows.mapInArrow(_pairs_of_blocks(percent), "a long, b long"), "near-labels")
+    labels = components(mapped(rows, _pairs_of_blocks(percent), "a long, b long"), "near-labels")
 
     of_group = groups.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("label", "rep").alias("of"))
     classed = hot_join(linkable.select("doc_id", *same), of_group, same, groups).select("doc_id", "n_shingles", F.col("of").alias("component_id"))

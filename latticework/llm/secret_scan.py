@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import hot_join, stored, table
+from .shared import hot_join, mapped, stored, table
 from .tokens import LOWER, chunks
 
 MAX_OWNERS = 2
@@ -137,7 +137,7 @@ def _scanned(docs: DataFrame, owner: str, repository: str, keep: list[str]) -> D
     own = [F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]]
     x = docs.select("text", *own)
     kinds = StructType([*x.schema.fields[1:], StructField("row", LongType()), StructField("found", _FOUND)])
-    return stored(x.mapInArrow(_scan, kinds), "secret-scan")
+    return stored(mapped(x, _scan, kinds), "secret-scan")
 
 
 def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS, owner: str = "owner",
     rest = [f"_{i}" for i in range(len(names)) if i != at]
     suspects = rows.where("size(found) > 0").join(live, "row").select(F.col(f"_{at}").alias("text"), F.expr("transform(live, s -> struct(s.start, s.end))").alias("live"), *rest)
     schema = StructType([StructField("text", StringType()), *suspects.select(*rest).schema.fields])
-    changed = suspects.where("size(live) > 0").mapInArrow(_cut(mark), schema)
+    changed = mapped(suspects.where("size(live) > 0"), _cut(mark), schema)
     if length:
         changed = changed.withColumn(f"_{names.index(length)}", F.length("text").cast(kinds[length].dataType))
     clean = suspects.where("size(live) = 0").select("text", *rest).unionByName(changed.select("text", *rest))

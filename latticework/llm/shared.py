@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -44,6 +45,32 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Bytes of a batch that a worker gets at once, where the session sets no bound; without one it is 10 000 rows, however long.
+BATCH_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _lean(run):
+    """run, after which an idle worker keeps no memory that it no longer uses."""
+
+    def steps(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return steps
+
+
+def mapped(frame: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow by batches of about BATCH_BYTES (a longer row is a batch of its own), which both sides hold outside the heap."""
+    conf = frame.sparkSession.conf
+    if conf.get(_BOUND, None) is None:
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return frame.mapInArrow(_lean(run), schema)
+
+
 #: A key is hot beyond this share of all rows (so there are at most as many hot keys as its inverse), and this many rows.
 HOT_SHARE, HOT_ROWS = 1e-3, 2000
 
@@ -99,7 +126,7 @@ def forest(edges: DataFrame) -> DataFrame:
 
     Many edges among few nodes become fewer than there are nodes in a block, before any shuffle.
     """
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forests, "a long, b long")
+    return mapped(edges.select(F.col("a").cast("long"), F.col("b").cast("long")), _forests, "a long, b long")
 
 
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
