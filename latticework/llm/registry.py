@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, topk_search
+from . import chat_format, decontaminate, fill_in_middle, hard_negatives, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, topk_search
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_quality": quality.op10_quality,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -28,4 +30,6 @@ def oracle_sql() -> dict:
         "op4_near_dedup": near_dedup.ORACLE,
         "op5_topk_search": topk_search.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op13_hard_negatives": hard_negatives.ORACLE,
     }

@@ -63,11 +63,15 @@ def _lean(run):
     return steps
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for workers are of about BATCH_BYTES from now on, where the session sets no bound."""
+    if spark.conf.get(_BOUND, None) is None:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
 def mapped(frame: DataFrame, run, schema) -> DataFrame:
     """mapInArrow by batches of about BATCH_BYTES (a longer row is a batch of its own), which both sides hold outside the heap."""
-    conf = frame.sparkSession.conf
-    if conf.get(_BOUND, None) is None:
-        conf.set(_BOUND, str(BATCH_BYTES))
+    bounded_batches(frame.sparkSession)
     return frame.mapInArrow(_lean(run), schema)
 
 
