@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fill_in_middle, hard_negatives, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, topk_search
+from . import chat_format, decontaminate, fill_in_middle, hard_negatives, language_id, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup, suffix_dedup, topk_search
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_quality": quality.op10_quality,
         "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
