@@ -44,20 +44,30 @@ def awkward() -> list[tuple]:
 
 
 def test_near_dedup_stage(spark):
-    rows = awkward() + [(None, "a text without an id", "en", "s", 20)]
+    """Rows without an id, and rows that share one, are judged as rows: one of each class stays, and no other is lost."""
+    rows = awkward()[:-1] + [(None, "a text without an id", "en", "s", 20)] * 3 + [(None, rows_of(12), "en", "s", 1), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0)]
+    rows += [(9001, rows_of(13), "en", "s", 1), (9001, "quite another text with the same id as a copy", "en", "s", 1), (9001, "quite another text with the same id as a copy", "en", "s", 1)]
     want = fx.classes([(r[0], r[1]) for r in awkward()])
+    kept = [r for r in awkward()[:-1] if want[r[0]][2]]
+    kept += [(None, "a text without an id", "en", "s", 20), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (None, None, "en", "s", 0), (9001, "quite another text with the same id as a copy", "en", "s", 1)]
     got = corpus_pipeline.drop_near_duplicates(spark, clashing(spark, rows), "")
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted((r for r in rows if r[0] is None or want[r[0]][2]), key=str)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted(kept, key=str)
+
+
+def rows_of(k: int) -> str:
+    """A text of the fixtures that others resemble."""
+    return awkward()[k][1]
 
 
 def test_decontaminate_stage(spark, tmp_path):
-    rows = awkward() + [(None, "one", "en", "s", 3)]
+    """By row: a contaminated row without an id goes, and a clean one stays though another of its id goes."""
+    rows = awkward() + [(None, "one", "en", "s", 3), (None, "clean", "en", "s", 3), (1, "clean words of a repeated id", "en", "s", 3), (8000, "one", "en", "s", 3), (8000, "eleven", "en", "s", 3)]
     items = [(1, " ".join(rows[11][1].split()[20:50])), (2, "ONE"), (3, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    want = fx.contamination([(r[0], r[1]) for r in awkward()], items)
+    want = fx.contamination(list(enumerate(r[1] for r in rows)), items)
     got = corpus_pipeline.drop_contaminated(spark, clashing(spark, rows), str(tmp_path)).collect()
-    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((r for r in rows if r[0] is None or not want[r[0]][4]), key=str)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((r for k, r in enumerate(rows) if not want[k][4]), key=str)
 
 
 def test_redaction_of_every_row(spark):
@@ -79,7 +89,24 @@ def test_run(spark, tmp_path):
     for name, docs in (("full", rows), ("none", [])):
         spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
-    # 902 is a near duplicate of 40, as is the row without an id of 70, which passes by its null id.
+    # 902 and the row without an id are near duplicates of 40 and 70.
     got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
-    assert sorted((r.doc_id for r in got), key=str) == sorted([*range(90), None], key=str)
+    assert sorted((r.doc_id for r in got), key=str) == sorted(range(90), key=str)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_run_by_row_gives_texts(spark, tmp_path):
+    """Null and repeated ids, contaminated and secret-holding rows: which texts come out, and that what is taken agrees with run()."""
+    rows = permuted(3, 30)
+    rows += [(None, rows[5][1], "l000", "s", 0), (None, rows[35][1][::-1], "l001", "s", 0), (7, "a phrase of the benchmark " + rows[66][1][:200][::-1], "l002", "s", 0), (None, "a phrase of the benchmark", "l000", "s", 0)]
+    rows += [(3, rows[3][1] + " password=hunter22", "l000", "s", 0), (200, " ".join(rows[8][1].split()[::-1]) + " password=hunter33", "l000", "s", 0)]
+    bench = spark.createDataFrame([(1, "a phrase of the benchmark")], "item_id long, text string")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.training_corpus(spark, str(tmp_path)).collect()
+    texts = {r.text for r in got}
+    assert len(texts) == len(got) and not any("benchmark" in t or "hunter" in t for t in texts)
+    assert " ".join(rows[8][1].split()[::-1]) + " <secret>" in texts
+    assert all(r.taken > 0 for r in got) and texts >= {r[1] for r in rows[:90] if r[0] != 3}
+    taken = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id is not None and r.taken}
+    assert {r.doc_id: r.taken for r in got if r.doc_id is not None} == taken
