@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import gcd
 from .assign import assignments, bijections, count_assignments, hungarian
+from .shell_walk import LOST, SKIP, atom_views
 
 VACANCY, UNASSIGNED = "vacancy", "unassigned"
 MISMATCH = 0.3
@@ -29,11 +30,12 @@ MODES = ("corner", "edge", "face", "multi")
 # ---- packed graphs -------------------------------------------------------
 
 
-def packed_graphs(nodes: DataFrame, half: DataFrame, poly: DataFrame) -> DataFrame:
-    """(stem, units, ratio, atoms, bonds, poly): one row for each graph.
+def packed_graphs(nodes: DataFrame, half: DataFrame, poly: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(stem, units, ratio, atoms, bonds, poly, shells): one row for each graph.
 
     ratio is the sorted list of reduced element counts, units the number of
-    formula units; bonds below the least ECoN weight are left out.
+    formula units; bonds below the least ECoN weight are left out.  shells, for
+    the topology cost, are made of `near` (stem, id, rank, nbr), else empty.
     """
     counts = nodes.groupBy("stem", "element").agg(F.count(F.lit(1)).alias("n")).groupBy("stem").agg(F.array_sort(F.collect_list("n")).alias("c"))
     counts = counts.withColumn("units", gcd(F.col("c"))).select("stem", "units", F.transform("c", lambda x: (x / F.col("units")).cast("long")).alias("ratio"))
@@ -42,7 +44,17 @@ def packed_graphs(nodes: DataFrame, half: DataFrame, poly: DataFrame) -> DataFra
     kept = half.join(strongest, ["stem", "eid"], "left_semi")
     bonds = kept.groupBy("stem", "mid", "nbr").agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("len").alias("len")).groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("mid", "nbr", "n", "len"))).alias("bonds"))
     edges = poly.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.col("mode_all").alias("mode"), F.col("mean_angle").alias("angle")))).alias("poly"))
-    return counts.join(atoms, "stem").join(bonds, "stem", "left").join(edges, "stem", "left")
+    packed = counts.join(atoms, "stem").join(bonds, "stem", "left").join(edges, "stem", "left")
+    if near is None:
+        return packed.withColumn("shells", F.lit(None).cast("array<struct<id:int,outer:array<int>,anions:array<int>>>"))
+    anions = F.transform(F.filter("bonds", lambda b: b["anions"]), lambda b: b["nbr"])
+    shells = atom_views(nodes, half, near).select("stem", F.struct("id", "outer", anions.alias("anions")).alias("s")).groupBy("stem").agg(F.array_sort(F.collect_list("s")).alias("shells"))
+    return packed.join(shells, "stem", "left")
+
+
+def graph_of(graphs: DataFrame) -> list:
+    """The columns of a packed graph that searches need."""
+    return [c for c in ("atoms", "bonds", "poly", "shells") if c in graphs.columns]
 
 
 def compatible(graphs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -68,6 +80,8 @@ class Graph:
     angles: list[list[float]]
     modes: np.ndarray
     groups: dict[str, list[int]] = field(default_factory=dict)
+    outer: list[list[int]] = field(default_factory=list)
+    anions: set[tuple[int, int]] = field(default_factory=set)
 
     @classmethod
     def of(cls, row) -> Graph:
@@ -91,6 +105,11 @@ class Graph:
         out = cls([a[0] for a in atoms], [a[1] for a in atoms], [a[2] for a in atoms], np.array([a[3] for a in atoms]), bonds, length, [sorted(a) for a in angles], modes)
         for k, e in enumerate(out.element):
             out.groups.setdefault(e, []).append(k)
+        out.outer = [[] for _ in range(n)]
+        for x in row["shells"] if row.get("shells") is not None else ():
+            i, outer, anions = x.values() if isinstance(x, dict) else x
+            out.outer[at[i]] = [at[j] for j in outer]
+            out.anions |= {(at[i], at[j]) for j in anions}
         return out
 
 
@@ -202,6 +221,46 @@ class Polyhedral(_Cohort):
         return min(1.0, float(np.abs(a.modes[i] - b.modes[j]).sum()) / 2)
 
 
+class Topology(Cost):
+    """Surplus bonds by element, taken up by a walk through farther neighbours (see shell_walk); graphs need `shells`."""
+
+    def __init__(self, strict: bool = True):
+        self.strict = strict
+
+    def pair(self, a, b, i, j, image, preimage):
+        first = {n: b.element[js[0]] for n, js in image.items() if js}
+        gap: dict[str, int] = {}
+        closed, loose = {1: set(), -1: set()}, 0
+        for g, at, of, sign in ((a, i, first.get, 1), (b, j, lambda m: b.element[m] if preimage.get(m) else None, -1)):
+            for n in np.flatnonzero(g.bonds[at]).tolist():
+                e = of(n)
+                if e is None:
+                    loose += int(g.bonds[at, n])
+                    continue
+                gap[e] = gap.get(e, 0) + sign * int(g.bonds[at, n])
+                if self.strict and (at, n) in g.anions:
+                    closed[sign].add(e)
+        cost = loose / max(a.bonds[i].sum(), b.bonds[j].sum(), 1)
+        for e, n in gap.items():
+            if n > 0:
+                cost += self._walk([b.element[m] for m in b.outer[j]], e, n, e in closed[1])
+            elif n < 0:
+                cost += self._walk([first.get(m) for m in a.outer[i]], e, -n, e in closed[-1])
+        return cost
+
+    @staticmethod
+    def _walk(outer, element, needed, closed):
+        cost = 0.0
+        for e in outer:
+            if not needed:
+                break
+            if e != element:
+                cost += SKIP
+            elif not closed:
+                needed -= 1
+        return cost + LOST * needed
+
+
 class Weighted(Cost):
     """A weighted sum of costs; atoms without partners are judged by the first."""
 
@@ -212,7 +271,7 @@ class Weighted(Cost):
         return sum(w * c.total(a, b, image, preimage, sentinels) for w, c in self.parts)
 
 
-COSTS: dict[str, type[Cost] | Cost] = {"edge_identity": EdgeIdentity, "cn_core_diff": CoreCoordination, "bond_length": BondLength, "bond_angle": BondAngle, "polyhedral": Polyhedral}
+COSTS: dict[str, type[Cost] | Cost] = {"edge_identity": EdgeIdentity, "cn_core_diff": CoreCoordination, "bond_length": BondLength, "bond_angle": BondAngle, "polyhedral": Polyhedral, "topology": Topology, "topology_loose": Topology(strict=False)}
 
 
 def register_cost(name: str, cost) -> None:
@@ -411,7 +470,7 @@ def match_pairs(pairs: DataFrame, graphs: DataFrame, cost: str = "edge_identity"
     Pairs are dealt out by a hash, so that expensive pairs spread; a failing
     pair has an infinite cost and its error as status.
     """
-    side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
+    side = lambda x: graphs.select(F.struct(*graph_of(graphs)).alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
     rows = pairs.select("stem_a", "stem_b").join(side("a"), "stem_a").join(side("b"), "stem_b").select("stem_a", "stem_b", "g_a", "g_b").repartition("stem_a", "stem_b")
     chosen, optimize = _cost(cost), OPTIMIZERS[optimizer]
 
@@ -498,7 +557,7 @@ def compose(to_parent: DataFrame, from_parent: DataFrame, graphs: DataFrame | No
 
 def _paired(cohorts: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
     """(stem_a, stem_b, a_id, b_id): atoms of equally long lists left and right, paired at least summed cost."""
-    side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
+    side = lambda x: graphs.select(F.struct(*graph_of(graphs)).alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
     rows = cohorts.groupBy("stem_a", "stem_b").agg(F.collect_list(F.struct("left", "right")).alias("c")).join(side("a"), "stem_a").join(side("b"), "stem_b")
     chosen = _cost(cost)
 
@@ -519,7 +578,7 @@ def _paired(cohorts: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
 
 def score_mappings(mappings: DataFrame, graphs: DataFrame, cost: str) -> DataFrame:
     """(stem_a, stem_b, cost_fn, cost) of given mappings under another cost."""
-    side = lambda x: graphs.select(F.struct("atoms", "bonds", "poly").alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
+    side = lambda x: graphs.select(F.struct(*graph_of(graphs)).alias(f"g_{x}"), F.col("stem").alias(f"stem_{x}"))
     lists = mappings.where("slot_kind = 'real'").groupBy("stem_a", "stem_b").agg(F.collect_list(F.struct("a_id", "b_id")).alias("m"))
     rows = lists.join(side("a"), "stem_a").join(side("b"), "stem_b").select("stem_a", "stem_b", "g_a", "g_b", "m")
     chosen = _cost(cost)

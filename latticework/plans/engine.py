@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
-from ..operators import build, classify, families, fingerprint, graph, match, metrics, search
+from ..operators import build, classify, families, fingerprint, graph, match, metrics, search, shell_walk
 from .catalog import query, table
 
 #: Elements by node: symbol, role, oxidation state, radius.
@@ -439,6 +439,53 @@ def poly_f1(x: Orders):
     return match.polyhedral_f1(x.poly, _mappings(x)).select("stem_a", "stem_b", *[F.round(c, 7).alias(c) for c in ("recall", "precision", "f1")])
 
 
+_STRONG = "k AS (SELECT h.stem, h.mid, h.nbr, count(*) AS n FROM h JOIN b ON b.stem = h.stem AND b.id = h.eid WHERE greatest(es, et) >= 0.005 GROUP BY ALL)"
+_WALK = (
+    GRAPHS
+    + _MAPPED
+    + f""", {_STRONG},
+    cand AS (SELECT x.stem, x.id, y.id AS nbr, i AS image, (x.id * 3 + y.id * 5) % 7 + x.id * y.id / 10.0 + 4 * i AS dist FROM n x JOIN n y USING (stem), (VALUES (0), (1), (2)) v(i)),
+    nr AS (SELECT *, row_number() OVER (PARTITION BY stem, id ORDER BY dist, nbr, image) AS rank FROM cand QUALIFY rank <= 8),
+    o AS (SELECT nr.stem, nr.id, nr.nbr, row_number() OVER (PARTITION BY nr.stem, nr.id ORDER BY rank) AS step
+      FROM (SELECT *, row_number() OVER (PARTITION BY stem, id, nbr ORDER BY rank) AS place FROM nr) nr LEFT JOIN k ON k.stem = nr.stem AND k.mid = nr.id AND k.nbr = nr.nbr WHERE place > coalesce(n, 0)),
+    pa AS (SELECT m.stem_a, m.stem_b, m.a_id, m.b_id, e.element AS el, sum(k.n) AS c FROM m JOIN k ON k.stem = m.stem_a AND k.mid = m.a_id LEFT JOIN m t ON t.stem_a = m.stem_a AND t.a_id = k.nbr LEFT JOIN n e ON e.stem = t.stem_b AND e.id = t.b_id GROUP BY ALL),
+    pb AS (SELECT m.stem_a, m.stem_b, m.a_id, m.b_id, CASE WHEN t.b_id IS NOT NULL THEN e.element END AS el, sum(k.n) AS c FROM m JOIN k ON k.stem = m.stem_b AND k.mid = m.b_id JOIN n e ON e.stem = k.stem AND e.id = k.nbr LEFT JOIN m t ON t.stem_a = m.stem_a AND t.b_id = k.nbr GROUP BY ALL),
+    d AS (SELECT stem_a, stem_b, a_id, b_id, el, sum(c) AS gap FROM (SELECT * FROM pa WHERE el IS NOT NULL UNION ALL SELECT stem_a, stem_b, a_id, b_id, el, -c FROM pb WHERE el IS NOT NULL) GROUP BY ALL HAVING sum(c) <> 0),
+    s AS (SELECT d.*, step, e.element = el AS fits FROM d LEFT JOIN o ON o.stem = d.stem_b AND o.id = d.b_id LEFT JOIN n e ON e.stem = o.stem AND e.id = o.nbr WHERE gap > 0
+      UNION ALL SELECT d.*, step, coalesce(e.element = el, false) FROM d LEFT JOIN o ON o.stem = d.stem_a AND o.id = d.a_id LEFT JOIN m t ON t.stem_a = d.stem_a AND t.a_id = o.nbr LEFT JOIN n e ON e.stem = t.stem_b AND e.id = t.b_id WHERE gap < 0),
+    w AS (SELECT *, coalesce(sum(CAST(fits AS INTEGER)) OVER (PARTITION BY stem_a, a_id, el ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM s),
+    c AS (SELECT stem_a, a_id, el, 0.1 * count(*) FILTER (step IS NOT NULL AND NOT fits AND had < abs(any_gap)) + greatest(any_value(abs(any_gap)) - count(*) FILTER (fits), 0) AS cost FROM (SELECT *, gap AS any_gap FROM w) GROUP BY ALL),
+    cn AS (SELECT stem, mid, sum(n) AS c FROM k GROUP BY ALL),
+    pc AS (SELECT m.stem_a, m.stem_b, m.a_id, m.b_id, coalesce((SELECT sum(cost) FROM c WHERE c.stem_a = m.stem_a AND c.a_id = m.a_id), 0)
+      + (coalesce((SELECT sum(c) FROM pa WHERE pa.stem_a = m.stem_a AND pa.a_id = m.a_id AND el IS NULL), 0) + coalesce((SELECT sum(c) FROM pb WHERE pb.stem_a = m.stem_a AND pb.a_id = m.a_id AND el IS NULL), 0))
+        / greatest(coalesce(x.c, 0), coalesce(y.c, 0), 1) AS cost FROM m LEFT JOIN cn x ON x.stem = m.stem_a AND x.mid = m.a_id LEFT JOIN cn y ON y.stem = m.stem_b AND y.mid = m.b_id)"""
+)
+
+
+def _near_ids(x: Orders) -> DataFrame:
+    """Made-up distances between all sites of an order and three images of each, from their ids: neighbours within and beyond the bonds."""
+    own = x.sites.select("stem", "id")
+    both = own.join(own.select("stem", F.col("id").alias("nbr")), "stem").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
+    dist = (F.col("id") * 3 + F.col("nbr") * 5) % 7 + F.col("id") * F.col("nbr") / 10 + 4 * F.col("i")
+    return graph.nearest(both.select("stem", "id", "nbr", F.array("i").alias("img"), dist.alias("dist")), 8)
+
+
+@over("q_topology_pairs", _WALK + " SELECT stem_a, stem_b, a_id, b_id, round(cost, 6) AS cost FROM pc")
+def topology_pairs(x: Orders):
+    views = shell_walk.atom_views(x.nodes, x.half, _near_ids(x))
+    return shell_walk.pair_costs(_mappings(x), views).select("stem_a", "stem_b", "a_id", "b_id", F.round("cost", 6).alias("cost"))
+
+
+@over(
+    "q_topology_cost",
+    _WALK
+    + """ SELECT stem_a, stem_b, count(*) AS pairs, round(avg(cost) + (SELECT count(*) FROM n WHERE n.stem = stem_a) + (SELECT count(*) FROM n WHERE n.stem = stem_b) - 2 * count(*), 6) AS cost FROM pc GROUP BY stem_a, stem_b""",
+)
+def topology_cost(x: Orders):
+    views = shell_walk.atom_views(x.nodes, x.half, _near_ids(x))
+    return shell_walk.topology_costs(_mappings(x), views).withColumn("cost", F.round("cost", 6))
+
+
 _PACKED = GRAPHS + ", el AS (SELECT stem, element, count(*) AS c FROM n GROUP BY ALL), pk AS (SELECT stem, list_reduce(list(c), lambda x, y: gcd(x, y)) AS units, list_sort(list(c)) AS cs FROM el GROUP BY stem), rt AS (SELECT stem, units, list_transform(cs, lambda t: t // units) AS ratio FROM pk)"
 
 
