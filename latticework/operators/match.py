@@ -294,6 +294,7 @@ class Found:
     tried: int
     k: int
     swapped: bool
+    lone: dict[tuple[str, int], str] = field(default_factory=dict)
 
 
 def _reverse(image: dict) -> dict:
@@ -458,9 +459,11 @@ _RESULT = "stem_a string, stem_b string, cost_fn string, cost double, k int, rol
 
 
 def _rows_of(found: Found, a: Graph, b: Graph) -> list[dict]:
+    """Rows of a mapping; atoms without a partner are named by their kind, those of b where the search says so."""
     out = [{"a_id": a.ids[i], "slot": s, "b_id": b.ids[j], "slot_kind": "real"} for i, js in sorted(found.image.items()) for s, j in enumerate(js)]
     if found.image:
-        out += [{"a_id": a.ids[i], "slot": 0, "b_id": None, "slot_kind": UNASSIGNED} for i in range(len(a.ids)) if not found.image.get(i)]
+        out += [{"a_id": a.ids[i], "slot": 0, "b_id": None, "slot_kind": found.lone.get(("a", i), UNASSIGNED)} for i in range(len(a.ids)) if not found.image.get(i)]
+        out += [{"a_id": None, "slot": 0, "b_id": b.ids[j], "slot_kind": kind} for (side, j), kind in sorted(found.lone.items()) if side == "b"]
     return out
 
 

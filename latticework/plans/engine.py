@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
-from ..operators import build, classify, families, fingerprint, graph, match, metrics, search, shell_walk
+from ..operators import build, classify, families, fingerprint, graph, match, metrics, search, shell_walk, symmetry, vacancies
 from .catalog import query, table
 
 #: Elements by node: symbol, role, oxidation state, radius.
@@ -398,6 +398,38 @@ def _mappings(x: Orders) -> DataFrame:
 _MAPPED = ", m AS (SELECT x.stem AS stem_a, y.stem AS stem_b, x.id AS a_id, y.id AS b_id FROM n x JOIN n y ON y.stem = x.stem + 1 AND y.id = x.id WHERE x.stem % 2 = 0)"
 
 
+#: Sites of an order on a grid of a cubic cell: quarters along x and halves along y; the largest parity of a place's lines is its element.
+_GRID = "g AS (SELECT l_orderkey AS stem, CAST(l_partkey % 4 AS INTEGER) AS x, CAST(2 * (l_suppkey % 2) AS INTEGER) AS y, CAST(max(l_linenumber % 2) AS INTEGER) AS e FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    "q_symmetry",
+    f"""WITH {_GRID}, s AS (SELECT stem, x * 4 + y AS id, x, y, 0 AS z, e FROM g),
+    p AS (SELECT * FROM (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) v(a, b, c)), q AS (SELECT * FROM (VALUES (-1), (1)) v(q)),
+    w AS (SELECT a, b, c, i.q AS i, j.q AS j, k.q AS k FROM p, q i, q j, q k),
+    t AS (SELECT stem, e, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY id) AS r FROM s) WHERE r = 1),
+    m AS (SELECT s.stem, w.*, s.id, s.e, i * [x, y, z][a + 1] AS u, j * [x, y, z][b + 1] AS v, k * [x, y, z][c + 1] AS o FROM s, w),
+    d AS (SELECT t.stem, w.*, f.x - i * [t.x, t.y, t.z][a + 1] AS dx, f.y - j * [t.x, t.y, t.z][b + 1] AS dy, f.z - k * [t.x, t.y, t.z][c + 1] AS dz FROM t JOIN s f ON f.stem = t.stem AND f.e = t.e, w),
+    h AS (SELECT d.stem, d.a, d.b, d.c, d.i, d.j, d.k, dx, dy, dz, m.id, s.id AS too FROM d JOIN m USING (stem, a, b, c, i, j, k)
+      JOIN s ON s.stem = d.stem AND s.e = m.e AND (s.x - u - dx) % 4 = 0 AND (s.y - v - dy) % 4 = 0 AND (s.z - o - dz) % 4 = 0),
+    n AS (SELECT stem, count(*) AS n FROM s GROUP BY stem),
+    ok AS (SELECT h.stem, a, b, c, i, j, k, dx, dy, dz FROM h JOIN n USING (stem) GROUP BY ALL HAVING count(*) = any_value(n)),
+    ops AS (SELECT stem, count(*) AS operations FROM ok GROUP BY stem)
+    SELECT h.stem, h.id, CAST(min(too) AS INTEGER) AS orbit, any_value(operations) AS operations FROM h JOIN ok USING (stem, a, b, c, i, j, k, dx, dy, dz) JOIN ops USING (stem) GROUP BY h.stem, h.id""",
+)
+def cell_symmetry(spark, sf_dir):
+    """Operations (with translations) and orbits of the sites of every order, which stand on a grid of a cubic cell."""
+    place = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stem"), (F.col("l_partkey") % 4).cast("int").alias("x"), (2 * (F.col("l_suppkey") % 2)).cast("int").alias("y"), (F.col("l_linenumber") % 2).alias("e"))
+    place = place.groupBy("stem", "x", "y").agg(F.max("e").alias("e"))
+    species = F.array(F.struct(F.when(F.col("e") == 1, "Na").otherwise("Cl").alias("symbol"), F.lit(1.0).alias("occupancy")))
+    site = F.struct((F.col("x") * 4 + F.col("y")).alias("id"), F.array(F.col("x") / 4, F.col("y") / 4, F.lit(0.0)).alias("frac"), species.alias("species"))
+    cells = place.groupBy("stem").agg(F.array_sort(F.collect_list(site)).alias("sites"))
+    cells = cells.withColumn("lattice", F.array(*[F.array(*[F.lit(4.0 if i == j else 0.0) for j in range(3)]) for i in range(3)]))
+    found = symmetry.symmetries(cells)
+    total = (F.col("operations") * F.col("translations")).cast("long").alias("operations")
+    return found.select("stem", total, F.explode("site_orbits").alias("o")).select("stem", "o.id", "o.orbit", "operations")
+
+
 @over("q_inverse_map", GRAPHS + _MAPPED + " SELECT stem_b AS stem_a, stem_a AS stem_b, b_id AS a_id, 0 AS slot, a_id AS b_id FROM m")
 def inverse_map(x: Orders):
     return match.inverse(_mappings(x)).drop("slot_kind")
@@ -486,6 +518,32 @@ def topology_cost(x: Orders):
     return shell_walk.topology_costs(_mappings(x), views).withColumn("cost", F.round("cost", 6))
 
 
+def _lone_sql(own: str, other: str) -> str:
+    """Atoms of one side without a partner, with the share of their bonds that their absence explains."""
+    return f""", e{own} AS (SELECT j.stem_a, j.stem_b, n.id, n.element, n.role, coalesce(x.c, 0) AS cn, m.{other}_id AS too, coalesce(y.c, 0) AS cn_too FROM (SELECT DISTINCT stem_a, stem_b FROM m) j JOIN n ON n.stem = j.stem_{own}
+      LEFT JOIN m ON m.stem_a = j.stem_a AND m.{own}_id = n.id LEFT JOIN cn x ON x.stem = n.stem AND x.mid = n.id LEFT JOIN cn y ON y.stem = j.stem_{other} AND y.mid = m.{other}_id),
+    f{own} AS (SELECT stem_a, max(f) = min(f) AS uniform FROM (SELECT stem_a, element, cn, count(*) / count(too) AS f FROM e{own} GROUP BY ALL HAVING count(too) > 0) GROUP BY ALL),
+    l{own} AS (SELECT *, uniform AND EXISTS (SELECT 1 FROM e{own} s WHERE s.stem_a = e.stem_a AND s.element = e.element AND s.cn = e.cn AND s.too IS NOT NULL) AS copy FROM e{own} e JOIN f{own} USING (stem_a) WHERE too IS NULL),
+    g{own} AS (SELECT l.stem_a, l.id, sum(k.n) AS good FROM l{own} l JOIN k ON k.stem = l.stem_{own} AND k.mid = l.id JOIN e{own} e ON e.stem_a = l.stem_a AND e.id = k.nbr AND e.too IS NOT NULL
+      WHERE e.cn - (SELECT sum(z.n) FROM l{own} s JOIN k z ON z.stem = s.stem_{own} AND z.mid = s.id WHERE s.stem_a = l.stem_a AND s.element = l.element AND s.cn = l.cn AND z.nbr = k.nbr) = e.cn_too GROUP BY ALL),
+    r{own} AS (SELECT l.stem_a, l.stem_b, '{own}' AS side, l.id, role, copy, coalesce(good, 0) / greatest(cn, 1) AS completion FROM l{own} l LEFT JOIN g{own} g ON g.stem_a = l.stem_a AND g.id = l.id)"""
+
+
+@over(
+    "q_vacancies",
+    GRAPHS
+    + _MAPPED
+    + ", k AS (SELECT stem, mid, nbr, count(*) AS n FROM h GROUP BY ALL), cn AS (SELECT stem, mid, sum(n) AS c FROM k GROUP BY ALL)"
+    + _lone_sql("a", "b")
+    + _lone_sql("b", "a")
+    + """, u AS (SELECT * FROM ra UNION ALL SELECT * FROM rb), w AS (SELECT u.*, CASE WHEN copy OR completion >= 1 THEN 'vacancy' ELSE 'unassigned' END AS what,
+      NOT copy AND EXISTS (SELECT 1 FROM u o WHERE o.stem_a = u.stem_a AND o.role = u.role AND o.side <> u.side) AS unforced FROM u)
+    SELECT stem_a, stem_b, side, id, round(completion, 6) AS completion, CASE WHEN unforced THEN 'unforced_' || what ELSE what END AS kind, CASE WHEN unforced THEN 2.0 WHEN what = 'vacancy' THEN 0.0 ELSE 1.0 END AS penalty FROM w""",
+)
+def lone(x: Orders):
+    return vacancies.lone_atoms(_mappings(x), x.nodes, x.half).withColumn("completion", F.round("completion", 6))
+
+
 _PACKED = GRAPHS + ", el AS (SELECT stem, element, count(*) AS c FROM n GROUP BY ALL), pk AS (SELECT stem, list_reduce(list(c), lambda x, y: gcd(x, y)) AS units, list_sort(list(c)) AS cs FROM el GROUP BY stem), rt AS (SELECT stem, units, list_transform(cs, lambda t: t // units) AS ratio FROM pk)"
 
 
