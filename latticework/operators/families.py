@@ -22,6 +22,7 @@ from ..functions.scalar import gcd
 from .cluster import _stored as stored
 from .cluster import components
 from .fingerprint import HASH_LENGTH
+from .pair_store import PairCosts
 
 ZERO = 1e-9
 
@@ -138,9 +139,11 @@ def leader_clusters(items: DataFrame, costs_of: Callable[[DataFrame], DataFrame]
     return reduce(DataFrame.unionByName, parts)
 
 
-def families(graphs: DataFrame, order: DataFrame, threshold: float = 0.1, batch: int = 64, cost: str = "edge_identity") -> DataFrame:
+def families(graphs: DataFrame, order: DataFrame, threshold: float = 0.1, batch: int = 64, cost: str = "edge_identity", store: str | None = None) -> DataFrame:
     """L1 families of packed graphs: (class, stem, prototype, cost, family_id, family_size, is_prototype).
 
+    With store, the name of a store of pair costs, pairs that it knows are not searched again.
+
     order: (stem, intermetallic, distortion).  Classes are element ratios, as
     no others can match; families are numbered from 0 by size, then prototype.
     """
@@ -148,7 +151,10 @@ def families(graphs: DataFrame, order: DataFrame, threshold: float = 0.1, batch:
 
     items = graphs.select("stem", F.array_join(F.transform("ratio", lambda n: n.cast("string")), "-").alias("class")).join(order, "stem")
     items = items.withColumn("rank", F.struct(F.col("intermetallic"), F.coalesce("distortion", F.lit(0.0)))).select("class", "stem", "rank")
-    found = leader_clusters(items, lambda pairs: match_pairs(compatible(graphs, pairs), graphs, cost).select("stem_a", "stem_b", "cost"), threshold, batch)
+    costs = lambda pairs: match_pairs(compatible(graphs, pairs), graphs, cost).select("stem_a", "stem_b", "cost")
+    if store:
+        costs = PairCosts(graphs.sparkSession, store, cost, costs).costs
+    found = leader_clusters(items, costs, threshold, batch)
     sizes = found.groupBy("class", "prototype").agg(F.count(F.lit(1)).alias("family_size"))
     sizes = sizes.withColumn("family_id", F.row_number().over(Window.orderBy(F.desc("family_size"), "prototype")) - 1)
     return found.join(sizes, ["class", "prototype"]).withColumn("is_prototype", F.col("stem") == F.col("prototype"))

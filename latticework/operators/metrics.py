@@ -46,22 +46,34 @@ def buckets(nodes: DataFrame, cn: str = "cn") -> DataFrame:
     return nodes.groupBy("stem", cn_bucket(F.col(cn)).alias("bucket"), F.col("ion_role").alias("role")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def geometry(cn: Column, mean_angle: Column, straight: Column) -> Column:
-    """Label of a coordination shell from its number of bonds, mean angle, and how many angles are straight (above 160)."""
-    return (
-        F.when(cn == 2, F.when(mean_angle > 160, "linear").otherwise("bent"))
-        .when(cn == 3, F.when(mean_angle > 115, "trigonal planar").otherwise("trigonal pyramidal"))
-        .when(cn == 4, F.when(straight >= 2, "square planar").when(mean_angle.between(100, 120), "tetrahedral").otherwise("seesaw"))
-        .when(cn == 5, F.when(straight >= 2, "square pyramidal").otherwise("trigonal bipyramidal"))
-        .when(cn == 6, F.when(straight >= 3, "octahedral").otherwise("trigonal prismatic"))
-        .when(cn == 8, "cubic")
-        .when(cn == 12, "cuboctahedral")
-        .otherwise(F.concat(F.lit("CN "), cn.cast("string")))
-    )
+#: Names of coordination shells by number of bonds, and mean angles (or wide ones) from which a name holds.
+SHELL_NAMES = {
+    1: [(None, "mono")],
+    2: [(160, "linear"), (None, "bent")],
+    3: [(115, "trig.plan."), (95, "trig.pyr."), (None, "T-shaped")],
+    4: [(105, "tetrahedral"), (None, "sq.planar")],
+    5: [(100, "trig.bipyr."), (None, "sq.pyr.")],
+    7: [(None, "pent.bipyr.")],
+    8: [(None, "sq.antipr.")],
+    9: [(None, "tricap.TP")],
+    12: [(None, "cubocta.")],
+}
+WIDE = 135
+
+
+def geometry(cn: Column, mean_angle: Column, wide: Column) -> Column:
+    """Label of a coordination shell from its number of bonds, mean angle, and how many angles are WIDE or wider; empty without bonds."""
+    label = F.when(cn <= 0, "")
+    for n, names in SHELL_NAMES.items():
+        for least, name in names:
+            fits = cn == n if least is None else (cn == n) & ((mean_angle > least) if (n, least) != (3, 95) else (mean_angle >= least))
+            label = label.when(fits, name)
+    label = label.when((cn == 6) & (wide >= 2), "octahedral").when(cn == 6, "trig.pris.")
+    return label.otherwise(F.concat(F.lit("CN"), cn.cast("string")))
 
 
 def shell_angles(half: DataFrame) -> DataFrame:
-    """(stem, id, cn, mean_angle, straight, label) of each node's shell."""
+    """(stem, id, cn, mean_angle, straight, wide, label) of each node's shell; straight angles are above 160 degrees."""
     from .graph import dot
 
     ends = half.groupBy("stem", F.col("mid").alias("id")).agg(F.collect_list(F.struct("vec", "len")).alias("h"))
@@ -69,8 +81,9 @@ def shell_angles(half: DataFrame) -> DataFrame:
     angles = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.degrees(F.acos(cosine(x, y))))))
     x = ends.select("stem", "id", F.size("h").alias("cn"), angles.alias("angles"))
     mean = F.aggregate("angles", F.lit(0.0), lambda s, a: s + a) / F.greatest(F.size("angles"), F.lit(1))
-    x = x.select("stem", "id", "cn", F.round(mean, 4).alias("mean_angle"), F.size(F.filter("angles", lambda a: a > 160)).alias("straight"))
-    return x.withColumn("label", geometry(F.col("cn"), F.col("mean_angle"), F.col("straight")))
+    above = lambda test: F.size(F.filter("angles", test))
+    x = x.select("stem", "id", "cn", F.round(mean, 4).alias("mean_angle"), above(lambda a: a > 160).alias("straight"), above(lambda a: a >= WIDE).alias("wide"))
+    return x.withColumn("label", geometry(F.col("cn"), F.col("mean_angle"), F.col("wide")))
 
 
 def collapsed(nodes: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,12 +122,12 @@ def site_table(nodes: DataFrame) -> DataFrame:
     return per.withColumn("role", role)
 
 
-def abx_sites(nodes: DataFrame, by: str = "radius") -> DataFrame:
+def abx_sites(nodes: DataFrame, by: str = "radius", binary: bool = True) -> DataFrame:
     """(stem, a, b, x): A the larger cation, B the next, X the anion.
 
     Cations by (radius, cn), or (cn, radius) with by='cn', largest first; the
-    anion by the most negative state, then cn, radius and name; with one
-    cation only, A is X's partner and B is null.
+    anion by the most negative state, then cn, radius and name.  With one
+    cation only it is B, and A is the anion; binary=False leaves it A, and B null.
     """
     sites = site_table(nodes)
     keys = ("radius", "cn") if by == "radius" else ("cn", "radius")
@@ -122,7 +135,9 @@ def abx_sites(nodes: DataFrame, by: str = "radius") -> DataFrame:
     anions = F.row_number().over(Window.partitionBy("stem", "role").orderBy(F.col("oxi").asc_nulls_last(), F.col("cn").desc_nulls_last(), F.col("radius").desc_nulls_last(), "element"))
     x = sites.withColumn("rank", F.when(F.col("role") == "cation", cations).otherwise(anions))
     site = lambda role, k, name: F.max(F.when((F.col("role") == role) & (F.col("rank") == k), F.struct("element", "radius", "cn", "oxi"))).alias(name)
-    return x.groupBy("stem").agg(site("cation", 1, "a"), site("cation", 2, "b"), site("anion", 1, "x"))
+    found = x.groupBy("stem").agg(site("cation", 1, "a"), site("cation", 2, "b"), site("anion", 1, "x"))
+    lone = F.lit(binary) & F.col("a").isNotNull() & F.col("b").isNull()
+    return found.select("stem", F.when(lone, F.col("x")).otherwise(F.col("a")).alias("a"), F.when(lone, F.col("a")).otherwise(F.col("b")).alias("b"), "x")
 
 
 def abx_214(nodes: DataFrame) -> DataFrame:
@@ -136,7 +151,7 @@ def abx_214(nodes: DataFrame) -> DataFrame:
     sites = sites.withColumn("units", F.array_sort(F.collect_list("unit").over(Window.partitionBy("stem"))))
     by_amount = sites.where("units = array(1L, 2L, 4L)").groupBy("stem").agg(pick("cation", 2, "a2"), pick("cation", 1, "b2"), pick("anion", 4, "x2"))
     same = lambda c: F.when(F.col(f"{c}2").isNotNull(), F.struct(F.col(f"{c}2.element"), F.col(f"{c}2.radius"), F.col(f"{c}2.cn"), F.col(f"{c}2.oxi")))
-    return abx_sites(nodes).join(by_amount, "stem", "left").select("stem", *[F.coalesce(same(c), F.col(c)).alias(c) for c in "abx"])
+    return abx_sites(nodes, binary=False).join(by_amount, "stem", "left").select("stem", *[F.coalesce(same(c), F.col(c)).alias(c) for c in "abx"])
 
 
 def only_anion(nodes: DataFrame, symbol: str = "O") -> DataFrame:

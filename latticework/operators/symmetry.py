@@ -251,16 +251,17 @@ def symmetries(structures: DataFrame, tolerance: float = TOLERANCE) -> DataFrame
     """
 
     def run(parts):
+        fields = ["name", *[f.split()[0] for f in _FIELDS.split(", ")]]
         for part in parts:
             rows = []
             for r in part.itertuples(index=False):
                 try:
                     if r.lattice is None or r.sites is None or not len(r.sites):
                         raise ValueError("no lattice or no sites")
-                    rows.append({"name": r.name} | analysed(r.lattice, r.sites, tolerance))
+                    rows.append(dict.fromkeys(fields) | {"name": r.name} | analysed(r.lattice, r.sites, tolerance))
                 except Exception as e:  # one structure's failure is a row, not the end of the job
-                    rows.append({"name": r.name, "error": str(e)[:200]})
-            yield pd.DataFrame(rows, columns=["name", *[f.split()[0] for f in _FIELDS.split(", ")]])
+                    rows.append(dict.fromkeys(fields) | {"name": r.name, "error": str(e)[:200]})
+            yield pd.DataFrame(rows, columns=fields, dtype=object)
 
     name = F.sha2(F.to_json(F.struct("lattice", "sites")), 256)
     named = structures.select("stem", name.alias("name"), "lattice", "sites")

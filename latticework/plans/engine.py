@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
-from ..operators import build, classify, families, fingerprint, graph, match, metrics, search, shell_walk, symmetry, vacancies
+from ..operators import build, classify, families, fingerprint, graph, match, metrics, neighbours, search, shell_walk, symmetry, vacancies
 from .catalog import query, table
 
 #: Elements by node: symbol, role, oxidation state, radius.
@@ -295,6 +295,21 @@ def shells(x: Orders):
     return metrics.shell_angles(x.half).select("stem", "id", "cn", "mean_angle", "straight")
 
 
+_SHELL = f"""CASE {" ".join("WHEN cn = " + str(n) + (f" AND mean {'>=' if (n, least) == (3, 95) else '>'} {least}" if least else "") + f" THEN '{name}'" for n, names in metrics.SHELL_NAMES.items() for least, name in names)}
+      WHEN cn = 6 AND wide >= 2 THEN 'octahedral' WHEN cn = 6 THEN 'trig.pris.' ELSE 'CN' || cn END"""
+
+
+@over(
+    "q_geometry",
+    GRAPHS
+    + f""", a AS (SELECT x.stem, x.mid AS id, degrees(acos(greatest(-1.0, least(1.0, (x.x * y.x + x.y * y.y + x.z * y.z) / (x.len * y.len))))) AS v FROM h x JOIN h y ON x.stem = y.stem AND x.mid = y.mid AND x.eid < y.eid),
+    c AS (SELECT n.stem, n.id, cn, round(coalesce(avg(v), 0), 4) AS mean, count(v) FILTER (v >= 135) AS wide FROM n LEFT JOIN a USING (stem, id) GROUP BY ALL)
+    SELECT stem, id, cn, wide, {_SHELL} AS label FROM c""",
+)
+def shell_labels(x: Orders):
+    return metrics.shell_angles(x.half).select("stem", "id", "cn", "wide", "label")
+
+
 @over(
     "q_collapsed",
     GRAPHS
@@ -325,7 +340,7 @@ _SITES = GRAPHS + ", s AS (SELECT stem, element, any_value(role) AS role, count(
 _RANKED = _SITES + ", k AS (SELECT *, CASE role WHEN 'cation' THEN row_number() OVER (PARTITION BY stem, role ORDER BY radius DESC NULLS LAST, cn DESC, element) ELSE row_number() OVER (PARTITION BY stem, role ORDER BY oxi NULLS LAST, cn DESC, radius DESC NULLS LAST, element) END AS rank FROM s)"
 
 
-@over("q_abx_sites", _RANKED + " SELECT stem, max(element) FILTER (role = 'cation' AND rank = 1) AS a, max(element) FILTER (role = 'cation' AND rank = 2) AS b, max(element) FILTER (role = 'anion' AND rank = 1) AS x FROM k GROUP BY stem")
+@over("q_abx_sites", _RANKED + ", z AS (SELECT stem, max(element) FILTER (role = 'cation' AND rank = 1) AS a, max(element) FILTER (role = 'cation' AND rank = 2) AS b, max(element) FILTER (role = 'anion' AND rank = 1) AS x FROM k GROUP BY stem) SELECT stem, CASE WHEN a IS NOT NULL AND b IS NULL THEN x ELSE a END AS a, coalesce(b, a) AS b, x FROM z")
 def abx(x: Orders):
     return metrics.abx_sites(x.nodes).select("stem", *[F.col(f"{c}.element").alias(c) for c in "abx"])
 
@@ -334,9 +349,9 @@ def abx(x: Orders):
     "q_abx_214",
     _RANKED
     + """, g AS (SELECT stem, list_reduce(list(amount), lambda x, y: gcd(x, y)) AS g, list_sort(list(amount)) AS am FROM s GROUP BY stem), u AS (SELECT k.*, am, g.g, amount // g.g AS unit FROM k JOIN g USING (stem)),
-    z AS (SELECT stem, list_transform(any_value(am), lambda t: t // any_value(u.g)) = [2, 4] AS never, max(element) FILTER (role = 'cation' AND rank = 1) AS a, max(element) FILTER (role = 'cation' AND rank = 2) AS b, max(element) FILTER (role = 'anion' AND rank = 1) AS x,
+    z AS (SELECT stem, max(element) FILTER (role = 'cation' AND rank = 1) AS a, max(element) FILTER (role = 'cation' AND rank = 2) AS b, max(element) FILTER (role = 'anion' AND rank = 1) AS x,
       string_agg(unit, ',' ORDER BY unit) = '1,2,4' AS is214, max(element) FILTER (role = 'cation' AND unit = 2) AS a2, max(element) FILTER (role = 'cation' AND unit = 1) AS b2, max(element) FILTER (role = 'anion' AND unit = 4) AS x2 FROM u GROUP BY stem)
-    SELECT stem, CASE WHEN is214 THEN coalesce(a2, a) ELSE a END AS a, CASE WHEN is214 THEN coalesce(b2, b) ELSE b END AS b, CASE WHEN is214 THEN coalesce(x2, x) ELSE x END AS x FROM z""".replace("list_transform(any_value(am), lambda t: t // any_value(u.g)) = [2, 4] AS never, ", ""),
+    SELECT stem, CASE WHEN is214 THEN coalesce(a2, a) ELSE a END AS a, CASE WHEN is214 THEN coalesce(b2, b) ELSE b END AS b, CASE WHEN is214 THEN coalesce(x2, x) ELSE x END AS x FROM z""",
 )
 def abx_214(x: Orders):
     return metrics.abx_214(x.nodes).select("stem", *[F.col(f"{c}.element").alias(c) for c in "abx"])
@@ -419,15 +434,31 @@ _GRID = "g AS (SELECT l_orderkey AS stem, CAST(l_partkey % 4 AS INTEGER) AS x, C
 )
 def cell_symmetry(spark, sf_dir):
     """Operations (with translations) and orbits of the sites of every order, which stand on a grid of a cubic cell."""
+    found = symmetry.symmetries(_cells(spark, sf_dir))
+    total = (F.col("operations") * F.col("translations")).cast("long").alias("operations")
+    return found.select("stem", total, F.explode("site_orbits").alias("o")).select("stem", "o.id", "o.orbit", "operations")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """Structures (stem, lattice, sites) of all orders on the grid."""
     place = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stem"), (F.col("l_partkey") % 4).cast("int").alias("x"), (2 * (F.col("l_suppkey") % 2)).cast("int").alias("y"), (F.col("l_linenumber") % 2).alias("e"))
     place = place.groupBy("stem", "x", "y").agg(F.max("e").alias("e"))
     species = F.array(F.struct(F.when(F.col("e") == 1, "Na").otherwise("Cl").alias("symbol"), F.lit(1.0).alias("occupancy")))
     site = F.struct((F.col("x") * 4 + F.col("y")).alias("id"), F.array(F.col("x") / 4, F.col("y") / 4, F.lit(0.0)).alias("frac"), species.alias("species"))
     cells = place.groupBy("stem").agg(F.array_sort(F.collect_list(site)).alias("sites"))
-    cells = cells.withColumn("lattice", F.array(*[F.array(*[F.lit(4.0 if i == j else 0.0) for j in range(3)]) for i in range(3)]))
-    found = symmetry.symmetries(cells)
-    total = (F.col("operations") * F.col("translations")).cast("long").alias("operations")
-    return found.select("stem", total, F.explode("site_orbits").alias("o")).select("stem", "o.id", "o.orbit", "operations")
+    return cells.withColumn("lattice", F.array(*[F.array(*[F.lit(4.0 if i == j else 0.0) for j in range(3)]) for i in range(3)]))
+
+
+@query(
+    "q_range_neighbours",
+    f"""WITH {_GRID}, s AS (SELECT stem, x * 4 + y AS id, x, y FROM g), v AS (SELECT * FROM (VALUES (-1), (0), (1)) v(i))
+    SELECT a.stem, a.id, b.id AS nbr, i.i AS i0, j.i AS i1, k.i AS i2, round(sqrt((b.x + 4 * i.i - a.x) ** 2 + (b.y + 4 * j.i - a.y) ** 2 + (4 * k.i) ** 2), 6) AS dist
+    FROM s a JOIN s b USING (stem), v i, v j, v k WHERE (b.x + 4 * i.i - a.x) ** 2 + (b.y + 4 * j.i - a.y) ** 2 + (4 * k.i) ** 2 BETWEEN 1 AND 16""",
+)
+def range_neighbours(spark, sf_dir):
+    """Neighbours within 4 of all sites of the cells of orders, images included."""
+    n = neighbours.within(_cells(spark, sf_dir), 4.0)
+    return n.select("stem", "id", "nbr", *[F.col("img")[i].alias(f"i{i}") for i in range(3)], F.round("dist", 6).alias("dist"))
 
 
 @over("q_inverse_map", GRAPHS + _MAPPED + " SELECT stem_b AS stem_a, stem_a AS stem_b, b_id AS a_id, 0 AS slot, a_id AS b_id FROM m")
@@ -746,8 +777,8 @@ def select_bonds(spark, sf_dir):
 @over(
     "q_edge_attributes",
     GRAPHS
-    + """, t AS (SELECT id, CASE element WHEN 'Ca' THEN 1.0 WHEN 'Ti' THEN 1.54 WHEN 'O' THEN 3.44 END AS p FROM e)
-    SELECT stem, b.id, round(len / (s.r + u.r), 6) AS ratio, round(abs(v.p - w.p), 6) AS dchi FROM b JOIN e s ON s.id = source JOIN e u ON u.id = target JOIN t v ON v.id = source JOIN t w ON w.id = target""",
+    + """, t AS (SELECT id, CAST(CASE element WHEN 'Ca' THEN 1.0 WHEN 'Ti' THEN 1.54 WHEN 'O' THEN 3.44 END AS DOUBLE) AS p FROM e)
+    SELECT stem, b.id, CAST(round(len / (s.r + u.r), 6) AS DOUBLE) AS ratio, CAST(round(abs(v.p - w.p), 6) AS DOUBLE) AS dchi FROM b JOIN e s ON s.id = source JOIN e u ON u.id = target JOIN t v ON v.id = source JOIN t w ON w.id = target""",
 )
 def edge_attributes(x: Orders):
     chi = x.sites.sparkSession.createDataFrame([("Ca", 1.0, 1.03), ("Ti", 1.54, 1.38), ("O", 3.44, 3.61)], "symbol string, pauling double, allen double")
@@ -763,7 +794,7 @@ _SHANNON = [("Ca", 2.0, 6, "", 1.14), ("Ca", 2.0, 12, "", 1.48), ("Ti", 4.0, 6,
     "q_site_radii",
     GRAPHS
     + """, exact AS (SELECT * FROM (VALUES ('Ca', 6, 1.14), ('Ca', 12, 1.48), ('Ti', 6, 0.745), ('Ti', 4, 0.56), ('O', 3, 1.22), ('O', 2, 1.21)) v(element, cn, r)), known AS (SELECT * FROM (VALUES ('Ca', 1.48), ('Ti', 0.745), ('O', 1.22)) v(element, r)), atomic AS (SELECT * FROM (VALUES ('Mg', 1.5), ('S', 1.0)) v(element, r))
-    SELECT stem, id, round(coalesce(x.r, k.r, a.r, 1.0), 6) AS radius, CASE WHEN x.r IS NOT NULL THEN 'exact' WHEN k.r IS NOT NULL THEN 'known' WHEN a.r IS NOT NULL THEN 'atomic' ELSE 'default' END AS source
+    SELECT stem, id, CAST(round(coalesce(x.r, k.r, a.r, 1.0), 6) AS DOUBLE) AS radius, CASE WHEN x.r IS NOT NULL THEN 'exact' WHEN k.r IS NOT NULL THEN 'known' WHEN a.r IS NOT NULL THEN 'atomic' ELSE 'default' END AS source
     FROM n LEFT JOIN exact x ON x.element = n.element AND x.cn = n.cn LEFT JOIN known k ON k.element = n.element LEFT JOIN atomic a ON a.element = n.element""",
 )
 def site_radii(x: Orders):
@@ -791,7 +822,7 @@ def max_radii(spark, sf_dir):
     """
     WITH st AS (SELECT DISTINCT 'E' || p_size AS symbol, CAST(1 + p_partkey % 5 AS DOUBLE) AS oxi FROM part), sh AS (SELECT DISTINCT symbol, oxi FROM st),
     k AS (SELECT DISTINCT 'E' || (p_partkey % 50) || 'E' || p_size || 'O3' AS formula FROM part)
-    SELECT a.symbol AS a_element, a.oxi AS a_oxi, b.symbol AS b_element, b.oxi AS b_oxi, CASE WHEN a.symbol = b.symbol THEN a.symbol || '2O3' ELSE a.symbol || b.symbol || 'O3' END AS f, k.formula IS NOT NULL AS "exists", round(1 + a.oxi / 8, 4) AS r_a, round(0.5 + b.oxi / 8, 4) AS r_b, 1.26 AS r_x
+    SELECT a.symbol AS a_element, a.oxi AS a_oxi, b.symbol AS b_element, b.oxi AS b_oxi, CASE WHEN a.symbol = b.symbol THEN a.symbol || '2O3' ELSE a.symbol || b.symbol || 'O3' END AS f, k.formula IS NOT NULL AS "exists", round(1 + a.oxi / 8, 4) AS r_a, round(0.5 + b.oxi / 8, 4) AS r_b, CAST(1.26 AS DOUBLE) AS r_x
     FROM sh a JOIN sh b ON a.oxi + b.oxi = 6 LEFT JOIN k ON k.formula = CASE WHEN a.symbol = b.symbol THEN a.symbol || '2O3' ELSE a.symbol || b.symbol || 'O3' END""",
 )
 def candidates(spark, sf_dir):
