@@ -1,8 +1,8 @@
 """Generated crystal structures of common types, and queries of the graph engine over them.
 
-The driver's tables hold no crystals; these queries build graphs from
-structures that are made here, so that every stage of the engine runs from
-the entry point.
+The driver's tables hold no crystals; each supplier is given one of those made
+here by its key.  A crystal is built once, and what is found of it is a row for
+each supplier that has it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.formula import composition, formula_key, ratio, reduced
 from ..operators import build, classify, families, fingerprint, graph, match, metrics, search, similarity
 from ..sources import sinks
-from .catalog import query
+from .catalog import query, table
 
 _FCC = [(0, 0, 0), (0, 0.5, 0.5), (0.5, 0, 0.5), (0.5, 0.5, 0)]
 _shift = lambda points, s: [tuple((a + b) % 1 for a, b in zip(p, s)) for p in points]
@@ -36,14 +36,20 @@ CRYSTALS = [
 ]
 
 
+def _formula(kind: str, elements: tuple) -> str:
+    counts = [sum(p == i for p, _ in TYPES[kind][1]) for i in range(len(elements))]
+    return "".join(e + (str(n // min(counts)) if n > min(counts) else "") for (e, _), n in zip(elements, counts))
+
+
+STEMS = [f"{_formula(kind, elements)}_{kind}-{k}" for k, (kind, elements, _) in enumerate(CRYSTALS)]
+
+
 def structures(spark: SparkSession, chosen=None) -> DataFrame:
     """(stem, formula, lattice, sg_symbol, sg_number, sites, error) of generated crystals."""
     rows = []
     for k, (kind, elements, scale) in enumerate(CRYSTALS if chosen is None else chosen):
         cell, sites, (symbol, number) = TYPES[kind]
-        counts = [sum(p == i for p, _ in sites) for i in range(len(elements))]
-        least = min(counts)
-        formula = "".join(e + (str(n // least) if n > least else "") for (e, _), n in zip(elements, counts))
+        formula = _formula(kind, elements)
         lattice = [[x * scale if i == j else 0.0 for j in range(3)] for i, x in enumerate(cell)]
         placed = [(i, list(map(float, f)), [(elements[p][0], 1.0, float(elements[p][1]), True)]) for i, (p, f) in enumerate(sites)]
         rows.append((f"{formula}_{kind}-{k}", formula, lattice, symbol, number, placed, None))
@@ -51,11 +57,22 @@ def structures(spark: SparkSession, chosen=None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, stem): the crystal of each supplier, by its key."""
+    names = spark.createDataFrame([(k, r) for k, r in enumerate(STEMS)], "k long, stem string")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(STEMS)).alias("k")).join(F.broadcast(names), "k").select("s_suppkey", "stem")
+
+
 class Built:
-    """Tables of the generated crystals."""
+    """Tables of the generated crystals, of those that suppliers have where a folder of tables is given."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None):
         self.structures = structures(spark)
+        self.suppliers = None
+        if sf_dir is not None:
+            # Each crystal is built once, however many suppliers have it.
+            self.suppliers = of_suppliers(spark, sf_dir)
+            self.structures = self.structures.join(self.suppliers.select("stem").distinct(), "stem", "left_semi")
         nodes, bonds = build.build_graphs(self.structures, rescue=False)
         self.nodes, self.bonds = families.stored(nodes, "crystal-nodes"), families.stored(bonds, "crystal-bonds")
         self.half = graph.half_bonds(self.bonds)
@@ -67,14 +84,52 @@ class Built:
         return metrics.flags(self.nodes).join(metrics.angle_distortion(self.poly), "stem", "left").select("stem", "intermetallic", "distortion")
 
 
-def _over_crystals(name: str):
+def _over_crystals(name: str, sql: str | None = None):
+    """Registers a query over the crystals of all suppliers: what holds for a crystal (or the first of a pair) is a row for each supplier that has it."""
+
+    def for_suppliers(x: Built, found: DataFrame) -> DataFrame:
+        first = next((c for c in ("stem", "stem_a", "prototype") if c in found.columns), None)
+        return found if first is None else found.join(x.suppliers.withColumnRenamed("stem", first), first)
+
     def add(run):
-        query(name)(lambda spark, _: run(Built(spark)))
+        def over(spark, sf_dir):
+            x = Built(spark, sf_dir)
+            return for_suppliers(x, run(x))
+
+        query(name, sql)(over)
         return run
 
     return add
 
 
+#: Known coordination numbers of the elements of each type, in their order, and the shortest bond as SQL over the cell's edges a and c.
+COORDINATION = {"rock_salt": (6, 6), "cscl": (8, 8), "zinc_blende": (4, 4), "fluorite": (8, 4), "rutile": (6, 3), "perovskite": (12, 6, 6)}
+SHORTEST = {"rock_salt": "a / 2", "cscl": "a * sqrt(3) / 2", "zinc_blende": "a * sqrt(3) / 4", "fluorite": "a * sqrt(3) / 4", "rutile": "sqrt(2 * (0.195 * a) ** 2 + c ** 2 / 4)", "perovskite": "a / 2"}
+
+
+def _known(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join(str(r) for r in rows)}) v({names})"
+
+
+_SITES = [(k, STEMS[k], e, sum(p == i for p, _ in TYPES[kind][1]), COORDINATION[kind][i]) for k, (kind, elements, _) in enumerate(CRYSTALS) for i, (e, _) in enumerate(elements)]
+_CELLS = [(k, STEMS[k], kind, TYPES[kind][0][0] * scale, TYPES[kind][0][2] * scale, sum(s * n for j, _, e, s, n in _SITES if j == k and dict(elements)[e] > 0)) for k, (kind, elements, scale) in enumerate(CRYSTALS)]
+
+
+@_over_crystals("g_site_coordination", f"SELECT s_suppkey, stem, element, sites, cn FROM supplier JOIN {_known(_SITES, 'k, stem, element, sites, cn')} ON s_suppkey % {len(STEMS)} = k")
+def site_coordination(x: Built):
+    """Sites and coordination number of every element of the built crystals, against those known of their types."""
+    return graph.coordination(x.nodes, x.half).join(x.nodes.select("stem", "id", "element"), ["stem", "id"]).groupBy("stem", "element", "cn").agg(F.count(F.lit(1)).alias("sites"))
+
+
+@_over_crystals(
+    "g_cell_bonds",
+    f"SELECT s_suppkey, stem, bonds, round(CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SHORTEST.items())} END, 4) AS shortest FROM supplier JOIN {_known(_CELLS, 'k, stem, kind, a, c, bonds')} ON s_suppkey % {len(STEMS)} = k",
+)
+def cell_bonds(x: Built):
+    """Bonds of a cell and the shortest of them, against those known of the types."""
+    return x.bonds.groupBy("stem").agg(F.count(F.lit(1)).alias("bonds"), F.round(F.min("bond_length"), 4).alias("shortest"))
+
+
 @_over_crystals("g_build_bonds")
 def build_bonds(x: Built):
     return x.bonds.select("stem", "source", "target", "img", F.round("bond_length", 6).alias("length"), "vw_s", "vw_t", "ecn_s", "ecn_t", "sphere")
