@@ -9,12 +9,14 @@ independent, so the work grows with the table and no graph is large.
 from __future__ import annotations
 
 from functools import reduce as fold
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula
 from ..operators import build, classify, families, fingerprint, graph, match, metrics, neighbours, search, shell_walk, symmetry, vacancies
+from ..operators.cluster import shared_folder
 from .catalog import query, table
 
 #: Elements by node: symbol, role, oxidation state, radius.
@@ -23,9 +25,18 @@ _pick = lambda k, kind: F.element_at(F.array(*[F.lit(e[k]).cast(kind) for e in E
 
 
 class Orders:
-    """The graphs of all orders."""
+    """The graphs of all orders.
+
+    What several queries need (bonds with their weights, nodes, polyhedral
+    edges) is a table in the shared folder, written when it is first asked for
+    and read by all queries of the session after that; its inputs are taken not
+    to change meanwhile.  A table that is gone is written again.
+    """
+
+    _of: dict[tuple, Orders] = {}
 
     def __init__(self, spark, sf_dir: str):
+        self.spark, self._tables = spark, {}
         line = table(spark, sf_dir, "lineitem")
         place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
         x, y, z = F.col("l_quantity") / 10, F.col("l_discount") * 20, F.col("l_tax") * 20 + 0.5
@@ -34,14 +45,51 @@ class Orders:
             F.array(F.col("l_linenumber") % 3 - 1, F.col("l_quantity").cast("int") % 2, F.lit(0)).alias("img"), F.array(x, y, z).alias("cart_vec"), F.sqrt(x * x + y * y + z * z).alias("bond_length"),
             F.col("l_discount").alias("vw_s"), F.col("l_tax").alias("vw_t"), (F.col("l_quantity") / 25).alias("ratio"),
         )
-        self.bonds = graph.with_spheres(self.plain)
-        self.half = graph.half_bonds(self.bonds)
-        ids = self.plain.select("stem", F.explode(F.array("source", "target")).alias("id")).distinct()
+
+    @classmethod
+    def of(cls, spark, sf_dir: str) -> Orders:
+        """The graphs of a folder, one object a session."""
+        key = spark.sparkContext.applicationId, id(spark), sf_dir
+        if key not in cls._of:
+            cls._of[key] = cls(spark, sf_dir)
+        return cls._of[key]
+
+    def _kept(self, name: str, make) -> DataFrame:
+        files = self.spark._jvm.org.apache.hadoop.fs
+        if name in self._tables:
+            path, found = self._tables[name]
+            at = files.Path(path)
+            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                return found
+        made, path = make(), f"{shared_folder(self.spark)}/orders-{name}-{uuid4().hex}"
+        made.write.parquet(path)
+        self._tables[name] = path, self.spark.read.schema(made.schema).parquet(path)
+        return self._tables[name][1]
+
+    @property
+    def bonds(self) -> DataFrame:
+        return self._kept("bonds", lambda: graph.with_spheres(self.plain))
+
+    @property
+    def half(self) -> DataFrame:
+        return graph.half_bonds(self.bonds)
+
+    @property
+    def sites(self) -> DataFrame:
+        return self._kept("sites", self._made_sites)
+
+    def _made_sites(self) -> DataFrame:
+        ids = self.bonds.select("stem", F.explode(F.array("source", "target")).alias("id")).distinct()
         species = F.array(F.struct(_pick(0, "string").alias("symbol"), F.lit(1.0).alias("occupancy"), _pick(2, "double").alias("oxi_state")))
-        sites = ids.select("stem", "id", _pick(0, "string").alias("element"), _pick(1, "string").alias("ion_role"), _pick(2, "double").alias("oxidation_state"), _pick(3, "double").alias("shannon_r"), species.alias("species"))
-        self.sites = sites
-        self.nodes = sites.join(graph.coordination(sites, self.half), ["stem", "id"])
-        self.poly = graph.polyhedral_edges(self.nodes, self.half)
+        return ids.select("stem", "id", _pick(0, "string").alias("element"), _pick(1, "string").alias("ion_role"), _pick(2, "double").alias("oxidation_state"), _pick(3, "double").alias("shannon_r"), species.alias("species"))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._kept("nodes", lambda: self.sites.join(graph.coordination(self.sites, self.half), ["stem", "id"]))
+
+    @property
+    def poly(self) -> DataFrame:
+        return self._kept("poly", lambda: graph.polyhedral_edges(self.nodes, self.half))
 
 
 _MEAN = "list_sum(list_transform(l, lambda v: v * exp(1 - pow(v / s, 6)))) / list_sum(list_transform(l, lambda v: exp(1 - pow(v / s, 6))))"
@@ -89,7 +137,7 @@ def over(name: str, sql: str):
     """Registers a query over the graphs of all orders."""
 
     def add(run):
-        query(name, sql)(lambda spark, sf_dir: run(Orders(spark, sf_dir)))
+        query(name, sql)(lambda spark, sf_dir: run(Orders.of(spark, sf_dir)))
         return run
 
     return add

@@ -324,3 +324,133 @@ def test_families_with_a_store_search_nothing_again(spark, world):
     second = families.families(world.packed, order, store="families-test")
     assert sorted(map(tuple, first.select("stem", "prototype", "cost").collect())) == sorted(map(tuple, second.select("stem", "prototype", "cost").collect()))
     assert sorted(map(tuple, spark.read.parquet(families.PairCosts(spark, "families-test", "edge_identity", None).path).collect())) == known
+
+
+# ---- exact search -------------------------------------------------------------
+
+
+def random_graph(rng, counts: dict, most: int = 2):
+    """A graph of random bonds, lengths, angles and modes."""
+    element = [e for e, n in counts.items() for _ in range(n)]
+    n = len(element)
+    bonds = rng.integers(0, most + 1, (n, n)) * (rng.random((n, n)) < 0.5)
+    bonds = np.triu(bonds) + np.triu(bonds, 1).T
+    length = rng.uniform(1.5, 3, (n, n))
+    modes = rng.random((n, 4))
+    g = match.Graph(list(range(n)), element, ["cation"] * n, rng.integers(1, 7, n), bonds, (length + length.T) / 2, [sorted(rng.uniform(60, 180, rng.integers(1, 4)).tolist()) for _ in range(n)], modes / modes.sum(1, keepdims=True))
+    for i, e in enumerate(element):
+        g.groups.setdefault(e, []).append(i)
+    return g
+
+
+@pytest.mark.parametrize("cost", ["edge_identity", "bond_length", "cn_core_diff", "bond_angle", "polyhedral"])
+def test_branch_and_bound_equals_enumeration(cost):
+    from latticework.operators import exact
+
+    rng = np.random.default_rng(11)
+    for k, (x, y) in enumerate([({"A": 2, "B": 3}, {"C": 2, "D": 3}), ({"A": 1, "B": 2}, {"A": 2, "B": 4}), ({"A": 2, "B": 4}, {"C": 1, "D": 2}), ({"A": 2, "B": 2}, {"C": 2, "D": 2}), ({"A": 4}, {"B": 4})] * 2):
+        a, b = random_graph(rng, x), random_graph(rng, y)
+        want, got = match.best_mapping(a, b, cost, most=10**7), exact.branch_and_bound(a, b, cost, most=10**6)
+        assert got.status == "exact" and abs(got.cost - want.cost) < 1e-9, (k, cost, got.cost, want.cost)
+    assert exact.branch_and_bound(random_graph(rng, {"A": 2}), random_graph(rng, {"A": 1, "B": 1}), cost).status == "incompatible"
+
+
+def test_large_cells_are_solved_exactly(world):
+    """An element of 48 atoms in a cell, which enumeration refuses: a permuted copy is found at no cost, and a node budget states its gap."""
+    from latticework.operators import exact
+
+    rng = np.random.default_rng(2)
+    n = 48
+    ring = np.zeros((n, n), int)
+    for i in range(n):
+        for d in (1, 5):
+            ring[i, (i + d) % n] += 1
+            ring[(i + d) % n, i] += 1
+    plain = random_graph(rng, {"A": n})
+    plain.bonds = ring
+    p = rng.permutation(n)
+    other = random_graph(rng, {"B": n})
+    other.bonds = ring[np.ix_(p, p)]
+    assert match.best_mapping(plain, other).status == "too many atoms"
+    found = exact.branch_and_bound(plain, other)
+    assert found.cost < 1e-9 and found.status == "exact"
+    other.bonds = random_graph(rng, {"B": n}).bonds
+    cut = exact.branch_and_bound(plain, other, most=50)
+    assert cut.status.startswith("bounded, gap ") and float(cut.status.split()[-1]) > 0
+    with pytest.raises(ValueError):
+        exact.branch_and_bound(plain, other, "topology")
+
+
+# ---- hybrid bonds --------------------------------------------------------------
+
+
+def test_bonds_split_by_hand_are_admitted_again(spark, world):
+    """Core bonds of one atom that are made extended come back, whatever the order of sites, and nothing else does."""
+    from latticework.operators import hybrid
+
+    (start,) = stems(world, "SrTiO3")
+    nodes = world.nodes.where(F.col("stem") == start).select("stem", "id", "ion_role", F.col("cn").alias("cn_core"))
+    bonds = world.bonds.where(F.col("stem") == start).select("stem", "id", "source", "target", F.lit("core").alias("sphere"), "ecn_s", "ecn_t")
+    own = bonds.collect()
+    ti = next(r.id for r in nodes.join(world.nodes.select("stem", "id", "element"), ["stem", "id"]).collect() if r.element == "Ti")
+    split = sorted(r.id for r in own if ti in (r.source, r.target))[:2]
+    for turn in (lambda i: i, lambda i: 40 - i):
+        lost = {}
+        for r in own:
+            if r.id in split:
+                for end in (r.source, r.target):
+                    lost[end] = lost.get(end, 0) + 1
+        less = [("split", turn(r.id), r.ion_role, r.cn_core - lost.get(r.id, 0)) for r in nodes.collect()]
+        cut = [("split", r.id, turn(r.source), turn(r.target), "extended" if r.id in split else "core", r.ecn_s, r.ecn_t) for r in own]
+        all_nodes = nodes.withColumn("cn_core", F.col("cn_core").cast("int")).unionByName(spark.createDataFrame(less, "stem string, id int, ion_role string, cn_core int"))
+        all_bonds = bonds.unionByName(spark.createDataFrame(cut, bonds.schema))
+        pairs = spark.createDataFrame([(start, "split"), ("split", start), (start, start)], "stem_a string, stem_b string")
+        got = {(r.stem_a, r.stem_b): (r.admitted_a, r.admitted_b, r.left) for r in hybrid.hybrid_bonds(pairs, all_nodes, all_bonds).collect()}
+        assert got == {(start, "split"): ([], split, 0.0), ("split", start): (split, [], 0.0), (start, start): ([], [], 0.0)}
+    one = hybrid.hybrid_bonds(pairs.limit(1), all_nodes, all_bonds, rounds=1).first()
+    assert len(one.admitted_b) == 1 and one.left > 0
+
+
+def test_no_bond_is_admitted_that_makes_things_worse():
+    from latticework.operators import hybrid
+
+    a = {0: ("cation", 4), 1: ("anion", 4)}
+    # The only extended bond would take both atoms of b past those of a.
+    x, y, left = hybrid.resolve((a, []), (dict(a), [(7, 0, 1, 0.4)]))
+    assert (x, y, left) == ([], [], 0.0)
+    x, y, left = hybrid.resolve((a, []), ({0: ("cation", 3), 1: ("anion", 4)}, [(7, 0, 1, 0.4)]))
+    assert y == [] and left == 1.0
+
+
+# ---- refinement inside groups ----------------------------------------------------
+
+
+def test_refinement_reaches_the_optimum_and_never_falls():
+    from latticework.operators import refine
+
+    rng = np.random.default_rng(5)
+    for n in (3, 5, 6, 12):
+        edges = [(int(p), int(q), m) for p in range(n) for q in range(p + 1, n) for m in ("corner", "edge") if rng.random() < 0.3]
+        turn = rng.permutation(n)
+        wanted = {(*sorted((int(turn[p]), int(turn[q]))), m) for p, q, m in edges}
+        image = {i: int(j) for i, j in enumerate(rng.permutation(n))}
+        found = refine.refined(image, edges, wanted, [list(range(n))])
+        assert sorted(found.values()) == list(range(n))
+        assert refine.f1(found, edges, wanted) >= refine.f1(image, edges, wanted)
+        if n <= 8:
+            assert refine.f1(found, edges, wanted) == 1.0
+        # Two classes: images stay inside them.
+        half = refine.refined(image, edges, wanted, [[0, 1], list(range(2, n))])
+        assert {half[0], half[1]} == {image[0], image[1]} and refine.f1(half, edges, wanted) >= refine.f1(image, edges, wanted)
+
+
+def test_mappings_are_refined_pair_by_pair(spark):
+    from latticework.operators import refine
+
+    poly = spark.createDataFrame([("a", 0, 1, "edge"), ("a", 1, 2, "corner"), ("b", 0, 1, "corner"), ("b", 1, 2, "edge"), ("c", 0, 1, "edge")], "stem string, a int, b int, mode_all string")
+    m = spark.createDataFrame([("a", y, i, 0, i, "real") for y in "bc" for i in range(3 if y == "b" else 2)] + [("a", "d", 0, 0, 0, "real"), ("a", "d", 0, 1, 1, "real")], "stem_a string, stem_b string, a_id int, slot int, b_id int, slot_kind string")
+    classes = spark.createDataFrame([("a", i, 0) for i in range(3)], "stem string, id int, class int")
+    got = {(r.stem_b, r.a_id): (r.b_id, r.f1_before, r.f1_after) for r in refine.refine_mappings(m, poly, classes).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("b", 0): 2, ("b", 1): 1, ("b", 2): 0, ("c", 0): 0, ("c", 1): 1}
+    assert got["b", 0][1:] == (0.0, 1.0) and got["c", 0][1:] == (1.0, 1.0)
+    assert refine.refine_mappings(m.limit(0), poly, classes).count() == 0
