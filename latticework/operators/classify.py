@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from itertools import combinations, product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,33 +155,129 @@ def octahedra(nodes: DataFrame, poly: DataFrame, least: int = 5, most: int = 7)
     return b.join(n, "stem", "left").na.fill(0, ["corner", "edge", "face", "links"])
 
 
-def perovskites(nodes: DataFrame, poly: DataFrame) -> DataFrame:
-    """(stem, confidence, label): octahedra that share corners throughout, with a large cation and the right number of links.
+_NETWORK = "b_element string, sites long, octahedral double, all_octahedral double, largest double, corner double, degree double, high double"
 
-    Confidence weighs the share of corner links (0.5), links for each
-    octahedron against three (0.3) and a cation of coordination 8 or more
-    (0.2).
+
+def _network(cations: list[tuple], least: int, most: int) -> tuple:
+    """Octahedra of one cell, doubled along each axis so that chains and layers of a small cell come apart; cations are (element, anion neighbours (id, image))."""
+    by: dict[str, list[list]] = {}
+    for element, ends in cations:
+        by.setdefault(element, []).append(ends)
+    fits = lambda ends: least <= len(ends) <= most and len(ends) > 0
+    if not any(fits(e) for own in by.values() for e in own):
+        return (None, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    stats = {e: (sum(map(fits, own)) / len(own), -abs(sum(map(len, own)) / len(own) - 6.0), -len(own)) for e, own in sorted(by.items())}
+    b = max(stats, key=lambda e: stats[e])
+    cells = list(product((0, 1), repeat=3))
+    shells = [{(n, *((c + i) % 2 for c, i in zip(cell, image))) for n, image in ends} for ends in by[b] if fits(ends) for cell in cells]
+    at: dict[tuple, list[int]] = {}
+    for k, shell in enumerate(shells):
+        for x in shell:
+            at.setdefault(x, []).append(k)
+    shared: Counter = Counter(pair for own in at.values() for pair in combinations(own, 2))
+    root = list(range(len(shells)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in shared:
+        root[find(y)] = find(x)
+    largest = max(Counter(map(find, root)).values())
+    others = [len(e) for element, own in by.items() if element != b for e in own] or [len(e) for own in by.values() for e in own]
+    return (
+        b, len(by[b]), stats[b][0], sum(fits(e) for own in by.values() for e in own) / len(cations), largest / len(shells),
+        sum(n == 1 for n in shared.values()) / len(shared) if shared else 0.0, 2 * len(shared) / len(shells), sum(n >= 8 for n in others) / len(others),
+    )
+
+
+def octahedral_network(nodes: DataFrame, half: DataFrame, least: int = 5, most: int = 7) -> DataFrame:
+    """(stem, b_element, sites, octahedral, all_octahedral, largest, corner, degree, high) of every graph with cations.
+
+    b_element is the cation most of whose sites have from `least` to `most`
+    anions, then the one whose mean is nearest to six, then the rarer, then by
+    name; octahedral its share of such sites and all_octahedral that of all
+    cations.  Of its octahedra in a cell doubled along each axis: the largest
+    network's share, the share of linked pairs with one common anion, and the
+    mean number of linked neighbours.  high: the other cations' share with eight
+    anions or more (of all cations, if there is no other).  Without octahedra
+    all is 0.
+    """
+    cations = nodes.where("ion_role = 'cation'").select("stem", F.col("id").alias("mid"), "element")
+    anions = nodes.where("ion_role = 'anion'").select("stem", F.col("id").alias("nbr"))
+    ends = half.join(anions, ["stem", "nbr"], "left_semi").groupBy("stem", "mid").agg(F.collect_list(F.struct("nbr", "img")).alias("ends"))
+    one = F.struct("mid", "element", "ends")
+    rows = cations.join(ends, ["stem", "mid"], "left").groupBy("stem").agg(F.collect_list(one).alias("cations"))
+    kind = dict(nodes.dtypes)["stem"]
+
+    def run(parts):
+        values = lambda x: list(x.values()) if isinstance(x, dict) else list(x)
+        for part in parts:
+            out = []
+            for stem, own in zip(part["stem"], part["cations"]):
+                plain = [(element, [(n, tuple(image)) for n, image in map(values, ends)] if ends is not None else []) for _, element, ends in sorted(map(values, own), key=lambda x: x[0])]
+                out.append((stem, *_network(plain, least, most)))
+            yield pd.DataFrame(out, columns=["stem", *[c.split()[0] for c in _NETWORK.split(", ")]])
+
+    return rows.select("stem", "cations").mapInPandas(run, f"stem {kind}, {_NETWORK}")
+
+
+#: Anions of the perovskite scan; its ratios of anions to cations are 3/2, and (3n + 1) / (2n + 1) of layered ones.
+COMMON_ANIONS = ("O", "F", "Cl", "Br", "I", "N", "S", "Se", "Te")
+
+
+def _ratios(nodes: DataFrame) -> DataFrame:
+    """(stem, ratio of anions to cations, cation kinds, whether an anion is common)."""
+    n = lambda role: F.count_if(F.col("ion_role") == role)
+    kinds = F.count_distinct(F.when(F.col("ion_role") == "cation", F.col("element")))
+    common = F.coalesce(F.bool_or((F.col("ion_role") == "anion") & F.col("element").isin(*COMMON_ANIONS)), F.lit(False))
+    return nodes.groupBy("stem").agg(F.when(n("cation") > 0, n("anion") / n("cation")).alias("ratio"), kinds.alias("kinds"), common.alias("common"))
+
+
+def _near(ratio, at: float, within: float):
+    return F.greatest(F.lit(0.0), 1 - F.abs(ratio - at) / within)
+
+
+def perovskites(nodes: DataFrame, half: DataFrame, least: int = 5, most: int = 7) -> DataFrame:
+    """(stem, b_element, confidence, family, label): the perovskite scan.
+
+    Confidence: 0.30 of the ratio's score (nearness to 3/2, or to a layered
+    ratio), 0.25 of B's octahedral share, 0.25 of the largest network, 0.20 of
+    the high coordination of A, and 0.05 for a common anion; 0.65 of that
+    without the topology, 0.30 without a common anion.  The family takes two
+    kinds of cations, a ratio above 1.15, one of the two matches, and 0.45.
+    """
+    x = octahedral_network(nodes, half, least, most).join(_ratios(nodes), "stem")
+    r = F.col("ratio")
+    x = x.withColumn("abx3", _near(r, 1.5, 0.45)).withColumn("layers", F.greatest(*[_near(r, (3 * n + 1) / (2 * n + 1), 0.25) for n in range(1, 9)]))
+    score = F.least(F.greatest("abx3", "layers"), F.lit(1.0))
+    network = 0.35 * F.least(F.col("octahedral") / 0.75, F.lit(1.0)) + 0.35 * F.col("largest") + 0.15 * F.least(F.col("degree") / 2, F.lit(1.0)) + 0.15 * F.col("high")
+    basic = (F.col("sites") > 0) & (F.col("octahedral") >= 0.55) & (F.col("largest") >= 0.30) & (F.col("high") >= 0.20)
+    full = basic & (F.col("largest") >= 0.45)
+    sum_ = 0.30 * score + 0.25 * F.col("octahedral") + 0.25 * F.col("largest") + 0.20 * F.col("high") + F.when(F.col("common"), 0.05).otherwise(0.0)
+    sum_ = sum_ * F.when(basic & (network >= 0.45), 1.0).otherwise(0.65) * F.when(F.col("common"), 1.0).otherwise(0.30)
+    x = x.withColumn("confidence", F.round(F.least(sum_, F.lit(1.0)), 4))
+    three, layered_ = (F.col("abx3") >= 0.60) & full, (F.col("layers") >= 0.65) & basic
+    family = (F.col("kinds") >= 2) & F.col("common") & (r > 1.15) & (three | layered_) & (F.col("confidence") >= 0.45)
+    label = F.when(~family, "none").when(layered_ & (F.col("layers") > F.col("abx3") + 0.20), "layered perovskite").otherwise("perovskite")
+    return x.select("stem", "b_element", "confidence", family.alias("family"), label.alias("label"))
+
+
+def layered(nodes: DataFrame, half: DataFrame, strict: bool = False, least: int = 5, most: int = 7) -> DataFrame:
+    """(stem, confidence, is_layered): the scan of 2:1:4 compounds.
+
+    Confidence: 0.40 of the ratio's nearness to 4/3, 0.20 of the octahedral
+    share's to a third of the cations, 0.15 of the largest network's to a half,
+    0.15 of B's links (two are full), 0.10 of the high coordination of A.  A
+    compound is layered with octahedra, 0.70 for the ratio, 0.20 for the share
+    and for the network, and a confidence of 0.55 (0.75 if strict).
     """
-    o = octahedra(nodes, poly)
-    large = nodes.where("ion_role = 'cation'").groupBy("stem").agg(F.max("cn").alias("largest"))
-    x = o.join(large, "stem")
-    share = F.when(F.col("links") > 0, F.col("corner") / F.col("links")).otherwise(0.0)
-    degree = F.least(F.col("links") / (3 * F.col("octahedra")), F.lit(1.0))
-    score = F.round(0.5 * share + 0.3 * degree + 0.2 * (F.col("largest") >= 8).cast("double"), 4)
-    label = F.when(score >= 0.9, "perovskite").when(score >= 0.7, "distorted perovskite").when(F.col("face") > F.col("corner"), "hexagonal perovskite").otherwise("none")
-    return x.select("stem", "b_element", score.alias("confidence"), label.alias("label"))
-
-
-def layered(nodes: DataFrame, poly: DataFrame, strict: bool = False) -> DataFrame:
-    """(stem, confidence, is_layered) of 2:1:4 compounds: corner links (0.40), links for each octahedron near two (0.20), no face or edge links (0.15), a spread of the large cation's coordination (0.15), an octahedral B (0.10)."""
-    o = octahedra(nodes, poly)
-    large = nodes.where("ion_role = 'cation'").groupBy("stem", "element").agg(F.avg("cn").alias("cn"), F.stddev_pop("cn").alias("spread")).groupBy("stem").agg(F.max_by("spread", "cn").alias("spread"), F.max("cn").alias("largest"))
-    x = o.join(large, "stem")
-    links = F.greatest("links", F.lit(1))
-    near_two = F.greatest(1 - F.abs(F.col("links") / F.col("octahedra") - 2) / 2, F.lit(0.0))
-    score = 0.40 * F.col("corner") / links + 0.20 * near_two + 0.15 * (1 - (F.col("edge") + F.col("face")) / links) + 0.15 * F.least(F.col("spread"), F.lit(1.0)) + 0.10 * (F.col("octahedra") > 0).cast("double")
-    score = F.round(F.when(F.col("links") > 0, score).otherwise(0.0), 4)
-    return x.select("stem", score.alias("confidence"), (score >= (0.8 if strict else 0.6)).alias("is_layered"))
+    x = octahedral_network(nodes, half, least, most).join(_ratios(nodes), "stem")
+    ratio, share, net = _near(F.col("ratio"), 4 / 3, 0.18), _near(F.col("all_octahedral"), 1 / 3, 0.25), _near(F.col("largest"), 0.5, 0.5)
+    sum_ = 0.40 * ratio + 0.20 * share + 0.15 * net + 0.15 * F.least(F.col("degree") / 2, F.lit(1.0)) + 0.10 * F.col("high")
+    fits = (F.col("sites") > 0) & (ratio >= 0.70) & (share >= 0.20) & (net >= 0.20) & (F.round(sum_, 4) >= (0.75 if strict else 0.55))
+    return x.select("stem", F.round(sum_, 4).alias("confidence"), fits.alias("is_layered"))
 
 
 def abo3_candidates(states: DataFrame, shannon: DataFrame, known: DataFrame, charge: int = 6) -> DataFrame:

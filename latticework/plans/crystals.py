@@ -192,9 +192,18 @@ def averages(x: Built):
     return metrics.species_averages(x.nodes)
 
 
+_CELLS_OF = [(k, STEMS[k], kind in ("perovskite",)) for k, (kind, _, _) in enumerate(CRYSTALS)]
+
+
+@_over_crystals("g_perovskite_family", f"SELECT s_suppkey, stem, family FROM supplier JOIN {_known(_CELLS_OF, 'k, stem, family').replace('True', 'true').replace('False', 'false')} ON s_suppkey % {len(STEMS)} = k")
+def perovskite_family(x: Built):
+    """Which crystals the scan takes for perovskites: those of that type."""
+    return classify.perovskites(x.nodes, x.half).select("stem", "family")
+
+
 @_over_crystals("g_perovskites")
 def perovskites(x: Built):
-    return classify.perovskites(x.nodes, x.poly)
+    return classify.perovskites(x.nodes, x.half)
 
 
 @_over_crystals("g_mapping_json")

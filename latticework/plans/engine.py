@@ -700,6 +700,43 @@ def tolerance(spark, sf_dir):
     return r.select("p_partkey", *[F.round(c, 7).alias(k) for k, c in metrics.tolerance_factors(F.col("ra"), F.col("rn"), F.col("rb"), F.col("rx")).items()])
 
 
+_OCTA = (
+    GRAPHS.replace("WITH e", "WITH RECURSIVE e", 1)
+    + """, c AS (SELECT stem, id, element, cn, cn BETWEEN 2 AND 4 AS fits FROM n WHERE role = 'cation'),
+    st AS (SELECT stem, element, count(*) AS sites, avg(CAST(fits AS INTEGER)) AS octahedral, abs(avg(cn) - 6) AS off FROM c GROUP BY ALL),
+    bs AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY octahedral DESC, off, sites, element) AS rank FROM st QUALIFY rank = 1),
+    cl AS (SELECT x.i AS c1, y.i AS c2, z.i AS c3 FROM (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(i), (VALUES (0), (1)) z(i)),
+    sh AS (SELECT DISTINCT c.stem, c.id * 8 + c1 * 4 + c2 * 2 + c3 AS k, nbr, (c1 + i1 + 2) % 2 AS e1, (c2 + i2 + 2) % 2 AS e2, c3 AS e3 FROM c JOIN bs ON bs.stem = c.stem AND bs.element = c.element AND fits JOIN h ON h.stem = c.stem AND h.mid = c.id, cl),
+    pr AS (SELECT x.stem, x.k AS a, y.k AS b, count(*) AS shared FROM sh x JOIN sh y ON x.stem = y.stem AND x.nbr = y.nbr AND x.e1 = y.e1 AND x.e2 = y.e2 AND x.e3 = y.e3 AND x.k < y.k GROUP BY ALL),
+    ed AS (SELECT stem, a, b FROM pr UNION ALL SELECT stem, b, a FROM pr),
+    rc AS (SELECT DISTINCT stem, k AS node, k AS root FROM sh UNION SELECT rc.stem, ed.b, rc.root FROM rc JOIN ed ON ed.stem = rc.stem AND ed.a = rc.node),
+    lg AS (SELECT stem, max(c) / sum(c) AS largest FROM (SELECT stem, root, count(*) AS c FROM (SELECT stem, node, min(root) AS root FROM rc GROUP BY ALL) GROUP BY ALL) GROUP BY stem),
+    lk AS (SELECT stem, count(*) AS links, count(*) FILTER (shared = 1) AS ones FROM pr GROUP BY stem), nk AS (SELECT stem, count(DISTINCT k) AS n FROM sh GROUP BY stem),
+    hi AS (SELECT c.stem, coalesce(avg(CASE WHEN c.element <> bs.element THEN CAST(cn >= 8 AS INTEGER) END), avg(CAST(cn >= 8 AS INTEGER))) AS high, avg(CAST(fits AS INTEGER)) AS every FROM c JOIN bs USING (stem) GROUP BY c.stem),
+    oc AS (SELECT bs.stem, CASE WHEN every > 0 THEN bs.element END AS b_element, CASE WHEN every > 0 THEN sites ELSE 0 END AS sites, octahedral, every AS all_octahedral, coalesce(largest, 0) AS largest, coalesce(ones / links, 0) AS corner, coalesce(2 * links / nk.n, 0) AS degree, CASE WHEN every > 0 THEN high ELSE 0 END AS high
+      FROM bs JOIN hi USING (stem) LEFT JOIN lg USING (stem) LEFT JOIN lk USING (stem) LEFT JOIN nk USING (stem))"""
+)
+_SEVEN = ("octahedral", "all_octahedral", "largest", "corner", "degree", "high")
+
+
+@over("q_octahedral_network", _OCTA + f" SELECT stem, b_element, sites, {', '.join(f'round({c}, 6) AS {c}' for c in _SEVEN)} FROM oc")
+def octahedral_network(x: Orders):
+    found = classify.octahedral_network(x.nodes, x.half, 2, 4)
+    return found.select("stem", "b_element", "sites", *[F.round(c, 6).alias(c) for c in _SEVEN])
+
+
+@over(
+    "q_layered_scan",
+    _OCTA
+    + """, rt AS (SELECT stem, count(*) FILTER (role = 'anion') / count(*) FILTER (role = 'cation') AS r FROM n GROUP BY stem),
+    sc AS (SELECT stem, sites, greatest(0, 1 - abs(r - 4 / 3) / 0.18) AS a, greatest(0, 1 - abs(all_octahedral - 1 / 3) / 0.25) AS b, greatest(0, 1 - abs(largest - 0.5) / 0.5) AS c, least(degree / 2, 1) AS d, high FROM oc JOIN rt USING (stem)),
+    sm AS (SELECT *, round(0.40 * a + 0.20 * b + 0.15 * c + 0.15 * d + 0.10 * high, 4) AS s FROM sc)
+    SELECT stem, CAST(s AS DOUBLE) AS confidence, sites > 0 AND a >= 0.70 AND b >= 0.20 AND c >= 0.20 AND s >= 0.55 AS is_layered FROM sm""",
+)
+def layered_scan(x: Orders):
+    return classify.layered(x.nodes, x.half, least=2, most=4)
+
+
 @over("q_octahedra", PATHS + """
     , s AS (SELECT stem, id, element FROM n WHERE role = 'cation' AND cn BETWEEN 2 AND 4), o AS (SELECT stem, element, count(*) AS c FROM s GROUP BY ALL), m AS (SELECT stem, max((c, element)) AS m FROM o GROUP BY stem),
     w AS (SELECT s.stem, s.id FROM s JOIN m ON m.stem = s.stem AND m.m[2] = s.element), l AS (SELECT q.* FROM q JOIN w x ON x.stem = q.stem AND x.id = q.a JOIN w y ON y.stem = q.stem AND y.id = q.b)
