@@ -26,7 +26,9 @@ pair of similarity 0.75 meets in no band with probability
 
 Defined results: null or empty texts have an empty set and link with nothing;
 a text of fewer than SHINGLE words is one shingle; repeated rows are returned
-each; a row whose id is null links with nothing, has a null component and is
+each; rows of one id with different texts are
+one document of several sets, so what resembles any of them is linked with the id;
+a row whose id is null links with nothing, has a null component and is
 kept; pairs of exactly 75 percent are linked.  A very long text is sketched
 whole, in the memory of one task.  No rows give no rows.  Other columns of the
 input are ignored.

@@ -90,7 +90,9 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFra
     if (most or 0) <= bar:
         return rows.join(facts, keys, how)
     hot = F.broadcast(counts.where(F.col("n") > bar).select(*keys))
-    return rows.join(F.broadcast(facts.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
+    # Rows of a hot key without a fact stay in a left join.
+    crowded = rows if how == "inner" else rows.join(hot, keys, "left_semi")
+    return crowded.join(F.broadcast(facts.join(hot, keys, "left_semi")), keys, how).unionByName(rows.join(hot, keys, "left_anti").join(facts, keys, how))
 
 
 #: Edges of a block of one task.

@@ -13,7 +13,7 @@ No pair of single rows is ever a row of the plan.
 
 Defined results: ties go to the smaller id; a query with fewer than k rows
 gets all of them; null vectors have no code and are left out, null ids are
-rows but never queries; null components and missing ones count as not
+rows (answered as 2**63 - 1) but never queries; null components and missing ones count as not
 positive; repeated rows are answered each; no rows or no queries give no rows.
 A very long vector is as wide as its components, all of which count in
 op5_topk_search; its SQL compares the first DIMENSIONS components.  Other

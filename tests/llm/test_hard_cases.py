@@ -133,7 +133,7 @@ def test_mixed_bands_lose_no_link(spark, monkeypatch):
 
 def test_hot_join_is_a_join(spark, monkeypatch):
     monkeypatch.setattr(shared, "HOT_ROWS", 5)
-    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(99, 0)], "key long, v long")
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(99, 0)] + [(77, k) for k in range(50)], "key long, v long")
     facts = spark.createDataFrame([(k, f"f{k}") for k in range(7)], "key long, fact string")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     for how in ("inner", "left"):
@@ -286,3 +286,11 @@ def test_mixing_of_rows_without_ids(spark):
 
 def test_redaction_of_overlapping_spans():
     assert secret_scan.redacted("abcdefgh", [(1, 3), (2, 5), (7, 8)]) == "a<secret>fg<secret>" and secret_scan.redacted("", []) == ""
+
+
+def test_one_id_of_two_texts_links_what_resembles_either(spark):
+    words = [f"w{k}" for k in range(120)]
+    one, two = " ".join(words[:60]), " ".join(words[60:])
+    rows = [(5, one), (5, two), (7, one + " more"), (9, "more " + two), (11, " ".join(reversed(words)))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5), (11, 11)} and len(got) == 5
