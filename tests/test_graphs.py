@@ -66,7 +66,7 @@ def test_sharing_modes(built):
     got = by_kind(rows, lambda r: r.mode_all)
     assert got["rock_salt"] == {"corner", "edge"}
     assert got["zinc_blende"] == {"corner"}
-    assert got["fluorite"] == {"edge", "corner"}
+    assert got["fluorite"] == {"edge"}
     assert "corner" in got["perovskite"]
 
 
