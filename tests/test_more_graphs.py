@@ -213,3 +213,34 @@ def test_fragments_by_score(built):
     t = search.Template([search.TemplateNode(role="anion"), search.TemplateNode(role="cation", cn=6)], [(0, 1, None, False)])
     best = search.best_matches(search.matches(built.nodes, search.simple_graph(built.bonds), t), 3).collect()
     assert 0 < len(best) <= 3 and best[0].score >= best[-1].score
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def order_tables(spark, tmp_path_factory):
+    """Lines of 40 orders, as the driver's table has them."""
+    folder = tmp_path_factory.mktemp("orders")
+    lines = [(o, o * 5 + k * 3, o + k * k, k + 1, float(1 + (o * 7 + k * 11) % 50), 100.0 + k, (o + k) % 11 / 100, (o * k) % 9 / 100) for o in range(40) for k in range(1 + o % 7)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(lines, names).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["q_topology_cost", "q_topology_pairs"])
+def test_topology_costs_gather_nothing_in_the_driver(spark, order_tables, name):
+    """Tables that grow with the atoms are no broadcasts, however small their files are."""
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    found = catalog.QUERIES[name](spark, order_tables)
+    assert "BroadcastExchange" not in _plan(found) and found.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_hist_intersection", "q_angle_hist", "q_distortions", "q_octahedra", "q_wl_hash"])
+def test_graphs_of_orders_are_dealt_once(spark, order_tables, name):
+    """Their tables are bucketed by order: nothing inside an order is exchanged again."""
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    assert "Exchange hashpartitioning" not in _plan(catalog.QUERIES[name](spark, order_tables))
