@@ -229,8 +229,8 @@ def order_tables(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["q_topology_cost", "q_topology_pairs"])
-def test_topology_costs_gather_nothing_in_the_driver(spark, order_tables, name):
+@pytest.mark.parametrize("name", ["q_topology_cost", "q_topology_pairs", "q_range_neighbours"])
+def test_costs_and_neighbours_gather_nothing_in_the_driver(spark, order_tables, name):
     """Tables that grow with the atoms are no broadcasts, however small their files are."""
     from latticework.plans import catalog, engine  # noqa: F401
 
@@ -244,3 +244,12 @@ def test_graphs_of_orders_are_dealt_once(spark, order_tables, name):
     from latticework.plans import catalog, engine  # noqa: F401
 
     assert "Exchange hashpartitioning" not in _plan(catalog.QUERIES[name](spark, order_tables))
+
+
+def test_small_and_large_structures_have_the_same_neighbours(spark, order_tables, monkeypatch):
+    from latticework.operators import neighbours
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    own = sorted(map(tuple, catalog.QUERIES["q_range_neighbours"](spark, order_tables).collect()))
+    monkeypatch.setattr(neighbours, "SMALL", 0)
+    assert own and own == sorted(map(tuple, catalog.QUERIES["q_range_neighbours"](spark, order_tables).collect()))
