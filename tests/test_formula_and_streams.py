@@ -2,10 +2,12 @@ import time
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import formula as f
+from latticework.operators import cluster, pairs
 from latticework.plans import catalog, engine  # noqa: F401
 from latticework.streaming import incremental
 
@@ -111,3 +113,33 @@ def test_new_documents_are_handled_once(spark, tmp_path):
         go()
         time.sleep(0.1)
     assert sorted(seen) == ["m0", "m1"]
+
+
+def test_pairs_by_products_are_exact(spark, monkeypatch):
+    """Products of matrices lose places where vectors are long or nearly equal; such distances are computed again."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(60, 8)) * 1e-3 + 1e6, np.full((4, 8), 0.25)]).astype(np.float32)
+    rows = [(i, x[i].tolist(), i % 3) for i in range(len(x))] + [(500, None, 0), (501, [1.0] * 8, None), (502, [float("nan")] + [1.0] * 7, 1), (None, [1.0] * 8, 1)]
+    t = spark.createDataFrame(rows, "k long, v array<float>, g int")
+    monkeypatch.setattr(pairs, "SLICE", 100)
+    y = x.astype(float)
+    far = {(g, i, j): np.floor(np.sqrt(((y[i] - y[j]) ** 2).sum()) * 1e4 + 0.5) / 1e4 for j in range(len(x)) for i in range(j) for g in [i % 3] if i % 3 == j % 3}
+    got = {tuple(r)[:3]: r.dist for r in pairs.pairwise_distances(t, "k", "v", "g", 13).collect()}
+    assert {k: d for k, d in got.items() if 502 not in k} == far and sum(502 in k and np.isnan(d) for k, d in got.items()) == sum(i % 3 == 1 for i in range(len(x)))
+    near = {tuple(r) for r in pairs.pairwise_distances(t, "k", "v", "g", 13, 1.2).collect()}
+    assert near == {(*k, d) for k, d in far.items() if d < 1.2} and len(near) > 100
+    sums = {r.node: (r.units, r.n) for r in pairs.distance_sums(t.where("k < 500"), "k", "v", "g", 13).collect()}
+    assert sums == {i: (sum(round(d * 1e4) for k, d in far.items() if i in k[1:]), sum(i in k[1:] for k in far)) for i in range(len(x))}
+
+
+def test_few_links_give_the_clusters_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(200, 2)) * 0.2, rng.normal(size=(60, 2)) * 4])
+    t = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in enumerate(x)] + [(0, x[1].tolist(), 0)], "k long, v array<double>, g int")
+    monkeypatch.setattr(pairs, "EDGES", 500)
+    nodes = t.select(F.col("k").alias("node")).distinct()
+    for members in (2, 3, 5):
+        every = pairs.pairwise_distances(t, "k", "v", "g", 70, 0.5).select("a", "b")
+        links = pairs.dbscan_links(t, "k", "v", "g", 0.5, members, 70)
+        assert links.count() < every.count() / 3
+        assert {tuple(r) for r in cluster.dbscan(nodes, links, members).collect()} == {tuple(r) for r in cluster.dbscan(nodes, every, members).collect()}
