@@ -1,7 +1,9 @@
 """The graph engine on generated structures, against values known for these structure types."""
 
+import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -301,3 +303,75 @@ def test_workflows(built, spark):
     assert got["MgO"] == ("salt", "classified") and got["SnO2"] == ("rutile", "classified") and got["CsCl"][1] == "flagged"
     made, failed = workflows.build_missing(built.structures, spark.createDataFrame([("NaCl_rock_salt-0", [], [])], "stem string, nodes array<int>, edges array<int>"), "1-1-O3")
     assert failed.count() == 0 and {r.stem.split("_")[0] for r in made.select("stem").collect()} == {"SrTiO3", "BaZrO3"}
+
+
+def _random_half(spark, seed=4):
+    """Half bonds among three cations and three anions, with bonds between like ions, an atom's own images and a null role."""
+    draw = random.Random(seed)
+    rows = []
+    for stem in "pqrs":
+        for eid in range(draw.randrange(5, 12)):
+            a, b = draw.randrange(6), draw.randrange(6)
+            img, vec = [draw.randrange(-1, 2) for _ in range(3)], [draw.uniform(0.5, 3) * draw.choice((-1, 1)) for _ in range(3)]
+            size = math.sqrt(sum(v * v for v in vec))
+            core = draw.random() < 0.8
+            rows.append((stem, eid, 0, a, b, img, vec, size, core))
+            rows.append((stem, eid, 1, b, a, [-v for v in img], [-v for v in vec], size, core))
+    roles = {i: "cation" if i < 3 else "anion" if i < 5 else None for i in range(6)}
+    nodes = spark.createDataFrame([(s, i, r) for s in "pqrs" for i, r in roles.items()], "stem string, id int, ion_role string")
+    return rows, roles, nodes, spark.createDataFrame(rows, "stem string, eid int, dir int, mid int, nbr int, img array<int>, vec array<double>, len double, is_core boolean")
+
+
+def test_torsions_against_enumeration(spark):
+    """Ligands and pairs of bonds are rows of generated code: no lambda is evaluated for each of them."""
+    rows, roles, nodes, half = _random_half(spark)
+    paths, found = {}, {}
+    for x, y in itertools.combinations(sorted(rows, key=lambda r: r[:3]), 2):
+        if x[0] == y[0] and x[3] == y[3]:
+            there = [q - p for p, q in zip(x[5], y[5])]
+            back = [-v for v in there]
+            turned = (x[4], back) > (y[4], there) if x[4] != y[4] else back < there
+            p, q = (y, x) if turned else (x, y)
+            paths.setdefault((x[0], p[4], q[4], tuple(back if turned else there)), []).append((x[3], p[6]))
+    flat = lambda v, axis: np.array(v) - np.array(axis) * np.dot(v, axis) / np.dot(axis, axis)
+    for (stem, a, b, img), ((mid, axis), *more) in paths.items():
+        if more or (roles[a], roles[mid], roles[b]) != ("cation", "anion", "cation"):
+            continue
+        legs = [[flat(r[6], axis) for r in rows if r[0] == stem and r[3] == end and r[4] != mid and r[8]] for end in (a, b)]
+        angles = [math.degrees(math.acos(max(-1, min(1, np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))))) for u in legs[0] for v in legs[1] if np.linalg.norm(u) > 1e-6 and np.linalg.norm(v) > 1e-6]
+        if angles:
+            found[stem, a, b, img] = min(angles)
+    made = graph.corner_torsions(nodes, half)
+    got = {(r.stem, r.a, r.b, tuple(r.img)): r.torsion for r in made.collect()}
+    assert found and got.keys() == found.keys()
+    assert all(abs(got[k] - v) < 1e-3 for k, v in found.items())
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spheres_gather_lengths_alone(spark):
+    """Weights of both ends, with a bond without a length and one without an end; vectors are not gathered by node."""
+    rows = [("s", 0, 0, 1, 2.0), ("s", 1, 0, 1, 2.1), ("s", 2, 0, 2, 3.5), ("s", 3, 1, 2, None), ("s", 4, None, 2, 2.5), ("s", 5, None, None, 1.0), ("t", 0, 0, 0, 2.0)]
+    bonds = spark.createDataFrame([(*r[:4], [1, 0, 0], [r[4], 0.0, 0.0], r[4], 0.1, 0.2) for r in rows], "stem string, id int, source int, target int, img array<int>, cart_vec array<double>, bond_length double, vw_s double, vw_t double")
+    made = graph.with_spheres(bonds)
+    got = {(r.stem, r.id): r for r in made.collect()}
+    assert got.keys() == {(r[0], r[1]) for r in rows if (r[2], r[3]) != (None, None)}
+    lengths = {}
+    for s, _, a, b, size in rows:
+        for end in (a, b):
+            if end is not None and size is not None:
+                lengths.setdefault((s, end), []).append(size)
+    for s, i, a, b, size in rows[:5]:
+        for end, ecn in ((a, got[s, i].ecn_s), (b, got[s, i].ecn_t)):
+            if end is None or size is None:
+                assert ecn is None
+                continue
+            mean = min(lengths[s, end])
+            for _ in range(20):
+                w = [math.exp(1 - (x / mean) ** 6) for x in lengths[s, end]]
+                new = sum(x * y for x, y in zip(w, lengths[s, end])) / sum(w)
+                done, mean = abs(new - mean) < 1e-6, new
+                if done:
+                    break
+            assert abs(ecn - math.exp(1 - (size / mean) ** 6)) < 1e-5
+    lists = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
+    assert lists and not any("vec" in x or "img" in x for x in lists)
