@@ -253,3 +253,18 @@ def test_small_and_large_structures_have_the_same_neighbours(spark, order_tables
     own = sorted(map(tuple, catalog.QUERIES["q_range_neighbours"](spark, order_tables).collect()))
     monkeypatch.setattr(neighbours, "SMALL", 0)
     assert own and own == sorted(map(tuple, catalog.QUERIES["q_range_neighbours"](spark, order_tables).collect()))
+
+
+@pytest.mark.parametrize("name", ["q_edge_attributes"])
+def test_attributes_and_walks_leave_rows_of_orders_where_they_are(spark, order_tables, name):
+    """Few elements hold most sites, so no site is dealt by its element; edges from both ends are no union."""
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    found = catalog.QUERIES[name](spark, order_tables)
+    assert "Exchange hashpartitioning" not in _plan(found) and found.count() > 0
+
+
+def test_radii_of_sites_are_not_dealt_by_element(spark, order_tables):
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    assert "SortMergeJoin [symbol" not in _plan(catalog.QUERIES["q_site_radii"](spark, order_tables))
