@@ -36,18 +36,27 @@ def simple_graph(bonds: DataFrame) -> DataFrame:
 
 
 def both_ways(simple: DataFrame) -> DataFrame:
-    return simple.unionByName(simple.select("stem", F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in simple.columns if c not in ("stem", "a", "b")]))
+    """Every edge from both ends, in one pass."""
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = [c for c in simple.columns if c not in ("stem", "a", "b")]
+    return simple.select("stem", *rest, F.explode(ends).alias("e")).select("stem", "e.a", "e.b", *rest)
 
 
 def neighbourhood(simple: DataFrame, centres: DataFrame, hops: int) -> DataFrame:
-    """(stem, centre, id, hops): nodes within so many steps of each centre (stem, centre)."""
-    edges = both_ways(simple).select("stem", F.col("a").alias("id"), F.col("b").alias("next"))
-    seen = centres.select("stem", "centre", F.col("centre").alias("id"), F.lit(0).alias("hops"))
-    edge = seen
+    """(stem, centre, id, hops): nodes within so many steps of each centre (stem, centre).
+
+    In each step the nodes that the last one reached give their neighbours and stay.
+    """
+    edges = both_ways(simple).select("stem", F.col("a").alias("id"), F.col("b").alias("next"), F.lit(True).alias("_edge"))
+    least = lambda x: x.groupBy("stem", "centre", "id").agg(F.min("hops").alias("hops"))
+    seen = least(centres.select("stem", "centre", F.col("centre").alias("id"), F.lit(0).alias("hops")))
     for k in range(1, hops + 1):
-        edge = edge.join(edges, ["stem", "id"]).select("stem", "centre", F.col("next").alias("id"), F.lit(k).alias("hops")).distinct()
-        seen = seen.unionByName(edge)
-    return seen.groupBy("stem", "centre", "id").agg(F.min("hops").alias("hops"))
+        # Graphs may be tables that are dealt by stem: a join with a side for each step and no union leaves them so.
+        near = edges.withColumn("hops", F.lit(k - 1))
+        own, there = F.struct("id", "hops"), F.struct(F.col("next").alias("id"), F.lit(k).alias("hops"))
+        both = F.when(F.col("_edge"), F.array(own, there)).otherwise(F.array(own))
+        seen = least(seen.join(near, ["stem", "id", "hops"], "left").select("stem", "centre", F.explode(both).alias("x")).select("stem", "centre", "x.id", "x.hops"))
+    return seen
 
 
 def template_of(spark_rows: list, edges: list, any_sphere: bool = True) -> Template:

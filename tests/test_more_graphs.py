@@ -255,7 +255,7 @@ def test_small_and_large_structures_have_the_same_neighbours(spark, order_tables
     assert own and own == sorted(map(tuple, catalog.QUERIES["q_range_neighbours"](spark, order_tables).collect()))
 
 
-@pytest.mark.parametrize("name", ["q_edge_attributes"])
+@pytest.mark.parametrize("name", ["q_edge_attributes", "q_khop", "q_template_search"])
 def test_attributes_and_walks_leave_rows_of_orders_where_they_are(spark, order_tables, name):
     """Few elements hold most sites, so no site is dealt by its element; edges from both ends are no union."""
     from latticework.plans import catalog, engine  # noqa: F401
@@ -268,3 +268,20 @@ def test_radii_of_sites_are_not_dealt_by_element(spark, order_tables):
     from latticework.plans import catalog, engine  # noqa: F401
 
     assert "SortMergeJoin [symbol" not in _plan(catalog.QUERIES["q_site_radii"](spark, order_tables))
+
+
+def test_neighbourhoods_by_brute_force(spark):
+    """A ring of six with a tail of two, two nodes by themselves, and a centre without bonds."""
+    rings = {7: [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (0, 5), (3, 6), (6, 7)], 8: [(0, 1)]}
+    edges = spark.createDataFrame([(s, a, b) for s, e in rings.items() for a, b in e], "stem long, a int, b int")
+    centres = spark.createDataFrame([(7, 0), (7, 6), (7, 0), (8, 1), (9, 4)], "stem long, centre int")
+    for most in range(4):
+        want = set()
+        for s, c in {(7, 0), (7, 6), (8, 1), (9, 4)}:
+            far, edge = {c: 0}, {c}
+            for k in range(1, most + 1):
+                edge = {y for a, b in rings.get(s, []) for x, y in ((a, b), (b, a)) if x in edge} - set(far)
+                far |= dict.fromkeys(edge, k)
+            want |= {(s, c, i, k) for i, k in far.items()}
+        got = search.neighbourhood(edges, centres, most).select("stem", "centre", "id", "hops").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
