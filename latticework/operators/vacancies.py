@@ -157,31 +157,35 @@ def lone_atoms(mappings: DataFrame, nodes: DataFrame, half: DataFrame) -> DataFr
     """
     keys = ["stem_a", "stem_b"]
     real = mappings.where("slot_kind = 'real'")
-    pairs = real.select(*keys).distinct()
     near = half.groupBy("stem", F.col("mid").alias("id"), "nbr").agg(F.count(F.lit(1)).alias("n"))
     cn = near.groupBy("stem", "id").agg(F.sum("n").alias("cn"))
     atoms = nodes.select("stem", "id", "element", F.col("ion_role").alias("role")).join(cn, ["stem", "id"], "left").withColumn("cn", F.coalesce("cn", F.lit(0)))
 
     def side(own: str, other: str) -> DataFrame:
-        partner = real.groupBy(*keys, F.col(f"{own}_id").alias("id")).agg(F.min(f"{other}_id").alias("to"))
-        x = pairs.join(atoms.withColumnRenamed("stem", f"stem_{own}"), f"stem_{own}").join(partner, [*keys, "id"], "left")
-        return x.join(cn.select(F.col("stem").alias(f"stem_{other}"), F.col("id").alias("to"), F.col("cn").alias("cn_to")), [f"stem_{other}", "to"], "left").withColumn("side", F.lit(own))
+        # A partner learns its bonds where its graph lies; the partners of a graph then travel as one short row, with which its atoms meet.
+        there = cn.select(F.col("stem").alias(f"stem_{other}"), F.col("id").alias(f"{other}_id"), F.col("cn").alias("cn_to"))
+        partner = real.join(there, [f"stem_{other}", f"{other}_id"], "left").groupBy(*keys, F.col(f"{own}_id").alias("id")).agg(F.min(f"{other}_id").alias("to"), F.min_by("cn_to", f"{other}_id").alias("cn_to"))
+        graph = partner.groupBy(*keys).agg(F.collect_list(F.struct("id", "to", "cn_to")).alias("_partners"))
+        x = atoms.withColumnRenamed("stem", f"stem_{own}").hint("merge").join(graph, f"stem_{own}")
+        x = x.withColumn("_p", F.filter("_partners", lambda p: p["id"] == F.col("id"))).drop("_partners")
+        return x.select(*keys, "id", "element", "role", "cn", F.get("_p", F.lit(0))["to"].alias("to"), F.get("_p", F.lit(0))["cn_to"].alias("cn_to"))
 
     def judged(own: str, other: str) -> DataFrame:
-        every = side(own, other)
         kind = Window.partitionBy(*keys, "element", "cn")
-        classes = every.withColumn("_all", F.count(F.lit(1)).over(kind)).withColumn("_met", F.count("to").over(kind))
+        classes = side(own, other).withColumn("_all", F.count(F.lit(1)).over(kind)).withColumn("_met", F.count("to").over(kind))
         factor = F.when(F.col("_met") > 0, F.col("_all") / F.col("_met"))
         whole = Window.partitionBy(*keys)
         classes = classes.withColumn("_uniform", F.min(factor).over(whole) == F.max(factor).over(whole))
-        lone = classes.where("to is null").withColumn("copy", F.coalesce((F.col("_met") > 0) & F.col("_uniform"), F.lit(False)))
+        classes = classes.withColumn("copy", F.coalesce((F.col("_met") > 0) & F.col("_uniform"), F.lit(False)))
         # Bonds of a class's lone atoms at each neighbour, the atom's own included, against what its partner has.
-        n = near.select(F.col("stem").alias(f"stem_{own}"), "id", "nbr", "n")
-        at = lone.select(*keys, "element", "cn", "id").join(n, [f"stem_{own}", "id"])
-        at = at.withColumn("_gone", F.sum("n").over(Window.partitionBy(*keys, "element", "cn", "nbr")))
-        ends = every.where("to is not null").select(*keys, F.col("id").alias("nbr"), F.col("cn").alias("_cn"), F.coalesce("cn_to", F.lit(0)).alias("_to"))
-        good = at.join(ends, [*keys, "nbr"]).where(F.col("_cn") - F.col("_gone") == F.col("_to")).groupBy(*keys, "id").agg(F.sum("n").alias("_good"))
-        return lone.join(good, [*keys, "id"], "left").select(*keys, "side", "id", "role", "copy", (F.coalesce("_good", F.lit(0)) / F.greatest("cn", F.lit(1))).alias("completion"))
+        # Every bond is seen from both ends, so a neighbour's own row is at hand.
+        at = classes.join(near.select(F.col("stem").alias(f"stem_{own}"), "id", "nbr", "n"), [f"stem_{own}", "id"], "left")
+        ends = Window.partitionBy(*keys, F.least("id", "nbr"), F.greatest("id", "nbr"))
+        left = F.max(F.when(F.col("to").isNotNull(), F.col("cn") - F.coalesce("cn_to", F.lit(0)))).over(ends)
+        lone = at.withColumn("_left", left).where("to is null").withColumn("_gone", F.sum("n").over(Window.partitionBy(*keys, "element", "cn", "nbr")))
+        good = F.coalesce(F.sum(F.when(F.col("_left") == F.col("_gone"), F.col("n"))), F.lit(0))
+        lone = lone.groupBy(*keys, "id", "role", "copy", "cn").agg(good.alias("_good"))
+        return lone.select(*keys, F.lit(own).alias("side"), "id", "role", "copy", (F.col("_good") / F.greatest("cn", F.lit(1))).alias("completion"))
 
     both = judged("a", "b").unionByName(judged("b", "a"))
     sides = F.size(F.collect_set("side").over(Window.partitionBy(*keys, "role"))) == 2

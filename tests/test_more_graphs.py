@@ -285,3 +285,12 @@ def test_neighbourhoods_by_brute_force(spark):
             want |= {(s, c, i, k) for i, k in far.items()}
         got = search.neighbourhood(edges, centres, most).select("stem", "centre", "id", "hops").collect()
         assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["q_vacancies"])
+def test_pairs_of_graphs_are_dealt_a_few_times(spark, order_tables, name):
+    """A mapping goes to each of its graphs, what is found meets once, and nothing that grows is a broadcast."""
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    found = catalog.QUERIES[name](spark, order_tables)
+    assert _plan(found).count("Exchange hashpartitioning") <= 6 and "BroadcastExchange" not in _plan(found) and found.count() > 0
