@@ -287,10 +287,17 @@ def test_neighbourhoods_by_brute_force(spark):
         assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("name", ["q_vacancies"])
+@pytest.mark.parametrize("name", ["q_poly_f1", "q_vacancies", "q_translate_edges"])
 def test_pairs_of_graphs_are_dealt_a_few_times(spark, order_tables, name):
     """A mapping goes to each of its graphs, what is found meets once, and nothing that grows is a broadcast."""
     from latticework.plans import catalog, engine  # noqa: F401
 
     found = catalog.QUERIES[name](spark, order_tables)
     assert _plan(found).count("Exchange hashpartitioning") <= 6 and "BroadcastExchange" not in _plan(found) and found.count() > 0
+
+
+def test_edges_of_pairs_without_edges(spark):
+    poly = spark.createDataFrame([(1, 0, 1, "corner", 90.0), (1, 0, 2, "edge", 90.0), (1, 0, 2, "edge", 80.0), (2, 0, 1, "corner", 90.0), (2, 1, 2, "face", 90.0)], "stem long, a int, b int, mode_all string, mean_angle double")
+    m = spark.createDataFrame([(a, b, i, 0, i, "real") for a, b in ((1, 2), (1, 3), (3, 2), (3, 4)) for i in range(3)], "stem_a long, stem_b long, a_id int, slot int, b_id int, slot_kind string")
+    got = {(r.stem_a, r.stem_b): (r.recall, r.precision, r.f1) for r in match.polyhedral_f1(poly, m).collect()}
+    assert got == {(1, 2): (0.5, 0.5, 0.5), (1, 3): (0.0, 0.0, 0.0), (3, 2): (0.0, 0.0, 0.0), (3, 4): (1.0, 1.0, 1.0)}
