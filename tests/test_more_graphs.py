@@ -296,6 +296,16 @@ def test_pairs_of_graphs_are_dealt_a_few_times(spark, order_tables, name):
     assert _plan(found).count("Exchange hashpartitioning") <= 6 and "BroadcastExchange" not in _plan(found) and found.count() > 0
 
 
+@pytest.mark.parametrize("name", ["q_topology_cost", "q_topology_pairs"])
+def test_views_of_atoms_are_made_once(spark, order_tables, name):
+    """Views cost more than the walk: neighbours are ranked once (by distance, then by image), and cells meet their mappings in a few exchanges."""
+    from latticework.plans import catalog, engine  # noqa: F401
+
+    found = catalog.QUERIES[name](spark, order_tables)
+    plan = _plan(found)
+    assert plan.count("row_number()") == 2 and plan.count("Exchange hashpartitioning") <= 3 and found.count() > 0
+
+
 def test_edges_of_pairs_without_edges(spark):
     poly = spark.createDataFrame([(1, 0, 1, "corner", 90.0), (1, 0, 2, "edge", 90.0), (1, 0, 2, "edge", 80.0), (2, 0, 1, "corner", 90.0), (2, 1, 2, "face", 90.0)], "stem long, a int, b int, mode_all string, mean_angle double")
     m = spark.createDataFrame([(a, b, i, 0, i, "real") for a, b in ((1, 2), (1, 3), (3, 2), (3, 4)) for i in range(3)], "stem_a long, stem_b long, a_id int, slot int, b_id int, slot_kind string")
