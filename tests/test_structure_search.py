@@ -118,6 +118,17 @@ def test_anion_bonds_are_not_absorbed(spark):
     assert round(rows_of(shell_walk.topology_costs(free, views, False))["a", "c"].cost, 6) == 0.1
 
 
+def test_costs_of_rows_without_partners(spark):
+    """Real rows without an atom are no pairs; an atom named by several rows has the best of their kinds; unknown graphs have no row."""
+    views = spark.createDataFrame([(s, i, "Si", [], []) for s, n in (("a", 3), ("b", 2)) for i in range(n)], "stem string, id int, element string, bonds array<struct<nbr:int,n:int,anions:boolean>>, outer array<int>")
+    rows = [("a", "b", 0, 0, 1, "real"), ("a", "b", None, 0, 0, "real"), ("a", "b", 1, 0, None, "vacancy"), ("a", "b", 1, 0, None, "unassigned"), ("a", "b", 7, 0, 1, "real"), ("a", "c", 0, 0, 0, "real"), ("b", "b", 0, 0, 0, "real"), ("b", "a", 0, 0, None, "vacancy"), (None, "b", 0, 0, 0, "real")]
+    m = spark.createDataFrame(rows, "stem_a string, stem_b string, a_id int, slot int, b_id int, slot_kind string")
+    got = {(r.stem_a, r.stem_b): (r.pairs, r.cost) for r in shell_walk.topology_costs(m, views).collect()}
+    # Atom 2 of a is not named; atom 0 of b is by a real row.
+    assert got == {("a", "b"): (1, 1.0), ("b", "b"): (1, 2.0)}
+    assert {(r.stem_a, r.stem_b, r.a_id, r.b_id, r.cost) for r in shell_walk.pair_costs(m, views).collect()} == {("a", "b", 0, 1, 0.0), ("b", "b", 0, 0, 0.0)}
+
+
 # ---- symmetry ----------------------------------------------------------------
 
 KNOWN = {
